@@ -1 +1,84 @@
-"""Registered queries."""
+"""Registered queries for vector search over the ``embeddings`` table; every row is a query."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowlens.operators.knn import approximate_knn, fit_cells, hits, knn, with_cells
+from flowlens.operators.latest import upsert
+from flowlens.suite.registry import query, register
+
+_DISTANCE = {
+    "cosine": "1 - list_cosine_similarity(q.v, b.v)",
+    "l2": "list_distance(q.v, b.v)",
+    "ip": "-list_inner_product(q.v, b.v)",
+}
+
+
+def _sql(metric: str, k: int, condition: str = "true", columns: str = "label") -> str:
+    return f"""
+WITH vectors AS (SELECT vec_id, label, cast(embedding AS double[]) AS v FROM embeddings),
+pairs AS (SELECT q.vec_id AS query_id, b.vec_id AS id, b.label, round({_DISTANCE[metric]}, 6) + 0 AS distance
+ FROM vectors q, vectors b WHERE {condition}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM pairs)
+SELECT query_id, rank, distance, id{', ' + columns if columns else ''} FROM ranked
+WHERE rank <= {k}"""
+
+
+def _base(v):
+    return v.table("embeddings").withColumnRenamed("vec_id", "id")
+
+
+def _queries(v):
+    return v.table("embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _shown(df):
+    return df.withColumns({"rank": F.col("rank").cast("bigint"), "distance": F.round("distance", 6)})
+
+
+for _metric in ("cosine", "l2", "ip"):
+    register(f"v1_knn_{_metric}",
+             lambda v, m=_metric: _shown(knn(_base(v), _queries(v), 5, m)), _sql(_metric, 5))
+register("o6_top_k_cap",
+         lambda v: _shown(knn(_base(v), _queries(v), 1000, fields=[])), _sql("cosine", 100, columns=""))
+register("v2_knn_filtered",
+         lambda v: _shown(knn(_base(v), _queries(v), 5, where="label == 3")), _sql("cosine", 5, "b.label = 3"))
+register("v2_knn_request_filter",
+         lambda v: _shown(knn(_base(v), _queries(v), 3, where=[{"field": "label", "op": "in", "value": [1, 4]}])),
+         _sql("cosine", 3, "b.label IN (1, 4)"))
+register("v3_output_fields",
+         lambda v: _shown(knn(_base(v), _queries(v), 5, fields=[])), _sql("cosine", 5, columns=""))
+
+
+@query("v4_hit_shape", _sql("cosine", 5))
+def _hit_shape(v):
+    shaped = hits(knn(_base(v), _queries(v), 5))
+    return _shown(shaped.select("query_id", "rank", "hit.id", "hit.distance", "hit.fields.label"))
+
+
+register("v5_upsert",
+         lambda v: upsert(
+             v.table("embeddings").select("vec_id", "label"),
+             v.table("embeddings").select((F.col("vec_id") * 2).alias("vec_id"), (F.col("label") + 100).alias("label")),
+             ["vec_id"]),
+         "SELECT coalesce(n.vec_id, o.vec_id) AS vec_id, coalesce(n.label, o.label) AS label FROM embeddings o "
+         "FULL JOIN (SELECT vec_id * 2 AS vec_id, label + 100 AS label FROM embeddings) n ON o.vec_id = n.vec_id")
+
+
+def _approximate(v, probes):
+    base = _base(v)
+    centroids = fit_cells(base, 16)
+    return _shown(approximate_knn(with_cells(base, centroids), _queries(v), centroids, probes, fields=["label"]))
+
+
+register("v6_approximate_all_cells", lambda v: _approximate(v, 16), _sql("cosine", 5))
+register("v6_approximate", lambda v: _approximate(v, 4))
+
+
+@query("v7_similar_past", _sql("cosine", 5, "b.vec_id < q.vec_id"))
+def _similar_past(v):
+    """For each vector its nearest among those with a smaller id, that is, the earlier ones."""
+    base = _base(v).withColumn("at", F.col("id"))
+    queries = _queries(v).withColumn("at", F.col("query_id"))
+    return _shown(knn(base, queries, 5, fields=["label"], before="at"))
