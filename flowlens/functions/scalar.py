@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ def parse_time(text: str | Column) -> Column:
     return F.try_to_timestamp(F.col(text) if isinstance(text, str) else text)
 
 
+def moment(at: dt.datetime) -> Column:
+    """A Python time as a timestamp literal; without a zone it is UTC, whatever the driver's zone."""
+    return F.lit(at if at.tzinfo else at.replace(tzinfo=dt.timezone.utc))
+
+
 def guess_flag(flag: str | Column) -> Column:
     """boolean, number or their text to 0/1."""
     col = F.col(flag) if isinstance(flag, str) else flag

@@ -248,12 +248,12 @@ def _deviation(square: Column, total: Column, n: Column) -> Column:
     return F.when(n > 1, F.sqrt(spread / F.greatest(n - 1, F.lit(1)))).otherwise(F.lit(0.0))
 
 
-def flow_statistics(rows: DataFrame) -> DataFrame:
-    """One row per flow from rows merged per millisecond that carry ``start`` and ``prev``."""
+def flow_sums(rows: DataFrame) -> DataFrame:
+    """Sums, extremes and counts per flow, from merged rows that carry ``start`` and ``prev``."""
     gap = F.when(F.col("prev") >= F.col("start"), (F.col("t") - F.col("prev")).cast("double"))
     # Packets in the same millisecond follow each other with gap 0.
     none = F.when(F.col("n") > 1, F.lit(0.0))
-    sums = rows.withColumns({"_gap": gap, "_least": F.least(none, gap), "_most": F.greatest(none, gap)}).groupBy(
+    return rows.withColumns({"_gap": gap, "_least": F.least(none, gap), "_most": F.greatest(none, gap)}).groupBy(
         *SESSION
     ).agg(
         F.max("t").alias("last"),
@@ -272,6 +272,10 @@ def flow_statistics(rows: DataFrame) -> DataFrame:
         *[F.sum(f).alias(f) for f in FLAGS],
     )
 
+
+def flows_from_sums(sums: DataFrame) -> DataFrame:
+    """The flow record of each row of :func:`flow_sums`."""
+
     def by_direction(a_to_b: str, b_to_a: str) -> Column:
         return F.when(F.col("first_forward"), F.col(a_to_b)).otherwise(F.col(b_to_a))
 
@@ -341,7 +345,7 @@ def meter(
     rows = sessionize(merge_instants(with_pair(packets), slice_s), idle_ms)
     if active_s is not None:
         rows = _cut_long_sessions(rows, idle_ms, int(active_s * 1000), slice_s * 1000)
-    return flow_statistics(rows)
+    return flows_from_sums(flow_sums(rows))
 
 
 def inter_arrival(packets: DataFrame, slice_s: int = SLICE_S) -> DataFrame:

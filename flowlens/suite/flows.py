@@ -83,8 +83,8 @@ def _flow_view(flows):
 register("a12_flow_statistics", lambda v: _flow_view(metering.meter(v.packets, IDLE_S, None)),
          f"WITH {PAIRS_SQL}, {SESSIONS_SQL}, members AS (SELECT *, session AS flow FROM numbered) "
          + _flows_sql(f"{_KEY}, flow"))
-register("t7_meter", lambda v: _flow_view(metering.meter(v.packets, IDLE_S, ACTIVE_S)),
-         f"""WITH RECURSIVE {PAIRS_SQL}, {SESSIONS_SQL},
+# The flows of both timeouts, as the common table expression "metered"; a chain of starts per session.
+METERED_SQL = f"""WITH RECURSIVE {PAIRS_SQL}, {SESSIONS_SQL},
 chain AS (
  SELECT {_KEY}, session, min(t) AS flow FROM numbered GROUP BY {_KEY}, session
  UNION ALL
@@ -96,8 +96,11 @@ chain AS (
 members AS (
  SELECT n.*, c.flow FROM numbered n ASOF JOIN chain c ON c.ip_a = n.ip_a AND c.port_a = n.port_a
   AND c.ip_b = n.ip_b AND c.port_b = n.port_b AND c.protocol = n.protocol AND c.session = n.session
-  AND n.t >= c.flow)
-""" + _flows_sql(f"{_KEY}, session, flow"))
+  AND n.t >= c.flow),
+metered AS ({_flows_sql(f"{_KEY}, session, flow")})
+"""
+register("t7_meter", lambda v: _flow_view(metering.meter(v.packets, IDLE_S, ACTIVE_S)),
+         METERED_SQL + "SELECT * FROM metered")
 
 # ------------------------------------------------------------------ scalar functions
 

@@ -20,10 +20,12 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     ])
 
 
-def _ask(name: str, sql: str, row_cap: int | None = None, fill_defaults: bool = False, **request) -> None:
+def _ask(
+    name: str, sql: str, row_cap: int | None = None, fill_defaults: bool = False, digits: int = 4, **request
+) -> None:
     register(
         name,
-        lambda v: rounded(olap_query(v.catalog(row_cap), request, fill_defaults=fill_defaults)),
+        lambda v: rounded(olap_query(v.catalog(row_cap), request, fill_defaults=fill_defaults), digits),
         sql,
     )
 
@@ -160,12 +162,12 @@ _ask("j6_several_pairs",
      joins=[{"collection": "net.repeat_flows", "alias": "r",
              "on": [{"left": c, "right": c} for c in ("src_ip", "dst_ip", "collected_at")]}])
 _ask("j7_join_sequence",
-     "SELECT n.n_name, count(*) AS n_lines, round(sum(l.l_extendedprice), 2) AS revenue, "
-     "round(avg(l.l_discount), 4) AS discount, count(DISTINCT o.o_custkey) AS customers "
+     "SELECT n.n_name, count(*) AS n_lines, round(sum(l.l_extendedprice), 6) AS revenue, "
+     "round(avg(l.l_discount), 6) AS discount, count(DISTINCT o.o_custkey) AS customers "
      "FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey "
      "JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey "
      "GROUP BY n.n_name",
-     collection="shop.lineitem", dimensions=["n.n_name"],
+     digits=6, collection="shop.lineitem", dimensions=["n.n_name"],
      metrics=[_metric("count", "*", "n_lines"), _metric("sum", "l_extendedprice", "revenue"),
               _metric("avg", "l_discount", "discount"), _metric("count_distinct", "o.o_custkey", "customers")],
      joins=[{"collection": "shop.orders", "alias": "o", "on": [{"left": "l_orderkey", "right": "o_orderkey"}]},

@@ -1 +1,181 @@
-"""Registered queries."""
+"""Registered queries for stored tables, streams and cursors.
+
+Each writes below the shared folder and returns what it reads back.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from flowlens.operators import incidents
+from flowlens.operators.augment import classified_flows
+from flowlens.operators.scoring import score
+from flowlens.schemas import CLASSIFIED_FLOWS, CLASSIFIER_ALARMS, FETCH_COLUMNS, FLOWS, SECURITY_EVENTS
+from flowlens.session import scratch_path
+from flowlens.sources import storage
+from flowlens.sources.flows import flow_stream
+from flowlens.streaming import cursor
+from flowlens.streaming.classify import Outputs, start_classification, start_threats
+from flowlens.streaming.counters import running_counters
+from flowlens.streaming.incidents import start_incidents
+from flowlens.streaming.ingest import start_ingest
+from flowlens.streaming.meter import meter_stream
+from flowlens.suite.flows import ACTIVE_S, IDLE_S, METERED_SQL
+from flowlens.suite.registry import query, register
+from flowlens.suite.requests import rounded
+from flowlens.suite.scoring import _CLASSIFIED
+from flowlens.suite.views import Views
+
+_FLOW_COLUMNS = ", ".join(f.name for f in FLOWS.fields)
+MID_MONTH = dt.datetime(2024, 1, 15)
+
+register("s3_scan_columns", lambda v: storage.fetch_columns(v.flows), f"SELECT {', '.join(FETCH_COLUMNS)} FROM flows")
+
+
+@query("s2_ingest_stream", f"SELECT {_FLOW_COLUMNS} FROM flows")
+def _ingest(v: Views):
+    """Flows as JSON lines (S11), streamed back into a stored table."""
+    raw, table, bad, mark = (scratch_path(v.spark, n) for n in ("raw", "flows", "rejected", "ingest"))
+    storage.export_json_lines(v.flows, raw)
+    start_ingest(flow_stream(v.spark, raw), table, bad, mark).awaitTermination()
+    return storage.read_table(v.spark, table, FLOWS, "collected_at")
+
+
+@query("s4_append_classified", f"SELECT {_CLASSIFIED} FROM classified_flows")
+def _append(v: Views):
+    path = scratch_path(v.spark, "classified")
+    storage.append(v.classified_flows, path, "collected_at", ["collected_at", "label", "src_ip"])
+    return rounded(storage.read_table(v.spark, path, CLASSIFIED_FLOWS, "collected_at").drop("probabilities"))
+
+
+@query("s8_month_layout", f"SELECT {_FLOW_COLUMNS} FROM flows WHERE collected_at > TIMESTAMP '2024-01-15' "
+                          "AND collected_at <= TIMESTAMP '2024-01-22'")
+def _layout(v: Views):
+    path = scratch_path(v.spark, "flows")
+    storage.append(v.flows, path, "collected_at", storage.FLOW_ORDER)
+    return storage.read_table(v.spark, path, FLOWS, "collected_at", MID_MONTH, MID_MONTH + dt.timedelta(days=7))
+
+
+register("s9_retain",
+         lambda v: storage.retain(v.flows, "collected_at", 10, v.flows.agg(F.max("collected_at")).scalar())
+         .select("flow_id", "collected_at"),
+         "SELECT flow_id, collected_at FROM flows "
+         "WHERE collected_at + INTERVAL 10 DAY >= (SELECT max(collected_at) FROM flows)")
+
+
+@query("s9_expire", "SELECT flow_id, collected_at FROM flows WHERE collected_at >= TIMESTAMP '2024-01-15'")
+def _expire(v: Views):
+    path = scratch_path(v.spark, "flows")
+    storage.append(v.flows, path, "collected_at", storage.FLOW_ORDER)
+    days = storage.RETENTION_DAYS["flows"]
+    storage.expire(v.spark, path, FLOWS, "collected_at", days, MID_MONTH + dt.timedelta(days=days))
+    return storage.read_table(v.spark, path, FLOWS, "collected_at").select("flow_id", "collected_at")
+
+
+# ------------------------------------------------------------------ incremental classification
+
+
+def _classified_stream(v: Views) -> Outputs:
+    out = Outputs(*(scratch_path(v.spark, n) for n in ("classified", "events", "alarms")))
+    start_classification(
+        v.flows_of(v.event_stream()), out, scratch_path(v.spark, "classify"), now=F.col("collected_at")
+    ).awaitTermination()
+    return out
+
+
+@query("t2_incremental_classification", f"SELECT {_CLASSIFIED} FROM classified_flows")
+def _classify(v: Views):
+    out = _classified_stream(v)
+    return rounded(storage.read_table(v.spark, out.classified, CLASSIFIED_FLOWS, "collected_at").drop("probabilities"))
+
+
+@query("t6_events_output",
+       "SELECT detected_at, flow_id, label, bidirectional_bytes FROM security_events")
+def _events_output(v: Views):
+    out = _classified_stream(v)
+    return storage.read_table(v.spark, out.events, SECURITY_EVENTS, "detected_at").select(
+        "detected_at", "flow_id", "label", "bidirectional_bytes")
+
+
+@query("s6_audit_output", "SELECT flow_id, label, is_threat FROM classified_flows")
+def _audit_output(v: Views):
+    out = _classified_stream(v)
+    return storage.read_table(v.spark, out.alarms, CLASSIFIER_ALARMS, "classified_at").select(
+        "flow_id", "label", "is_threat")
+
+
+@query("t11_threat_stream", "SELECT flow_id, label FROM security_events")
+def _threats(v: Views):
+    path = scratch_path(v.spark, "threats")
+    stream = classified_flows(score(v.flows_of(v.event_stream())), now=F.col("collected_at"))
+    start_threats(stream, path, scratch_path(v.spark, "threats-mark")).awaitTermination()
+    return v.spark.read.schema(CLASSIFIED_FLOWS).parquet(path).select("flow_id", "label")
+
+
+@query("t3_cursor_runs", f"SELECT {_CLASSIFIED} FROM classified_flows "
+                         "WHERE collected_at > (SELECT min(collected_at) FROM flows)")
+def _runs(v: Views):
+    """Runs of a third of the flows each, until the cursor stays; the first run starts a day back."""
+    out = Outputs(*(scratch_path(v.spark, n) for n in ("classified", "events")))
+    state = scratch_path(v.spark, "cursor")
+    start, total = v.flows.agg(F.unix_micros(F.min("collected_at")), F.count(F.lit(1))).first()
+    now = dt.datetime(1970, 1, 2) + dt.timedelta(microseconds=start)
+    version = -1
+    while True:
+        reached = cursor.run_once(v.flows, out, state, now, limit=total // 3 + 1)
+        if reached.version == version:
+            break
+        version = reached.version
+    found = storage.read_table(v.spark, out.classified, CLASSIFIED_FLOWS, "collected_at")
+    return rounded(found.withColumn("classified_at", F.col("collected_at")).drop("probabilities"))
+
+
+CURSOR_US = int(MID_MONTH.replace(tzinfo=dt.timezone.utc).timestamp()) * 1_000_000
+register("p19_cursor", lambda v: v.flows.filter(cursor.after(cursor.Cursor(1, CURSOR_US))).select("flow_id", "collected_at"),
+         "SELECT flow_id, collected_at FROM flows WHERE collected_at > TIMESTAMP '2024-01-15'")
+register("o4_page",
+         lambda v: cursor.page(v.flows, cursor.Cursor(1, CURSOR_US), 256).select("flow_id", "collected_at"),
+         "SELECT flow_id, collected_at FROM flows WHERE collected_at > TIMESTAMP '2024-01-15' "
+         "ORDER BY collected_at, flow_id LIMIT 256")
+register("t4_cursor_advance", lambda v: cursor.last_of(v.flows),
+         "SELECT collected_at, flow_id FROM flows ORDER BY collected_at DESC, flow_id DESC LIMIT 1")
+register("t12_counters", lambda v: running_counters(v.flows),
+         "SELECT count(*) AS flows_published, max(collected_at) AS last_flow_at FROM flows")
+
+# ------------------------------------------------------------------ metering and incidents as streams
+
+LATE_S = 10
+
+
+@query("t7_meter_stream", METERED_SQL + f"""
+SELECT src_ip, dst_ip, src_port, dst_port, first_ms, last_ms, packets, bytes FROM (
+ SELECT *, lead(first_ms) OVER (PARTITION BY least(src_ip, dst_ip), greatest(src_ip, dst_ip),
+   least(src_port, dst_port), greatest(src_port, dst_port) ORDER BY first_ms) AS following,
+  (SELECT max(t) FROM pairs) - {LATE_S * 1000} AS mark FROM metered) f
+WHERE following IS NOT NULL OR last_ms + {IDLE_S * 1000} + 1 < mark""")
+def _meter_stream(v: Views):
+    """The flows a stream has finished: those a later packet or the watermark has ended."""
+    path, mark = scratch_path(v.spark, "metered"), scratch_path(v.spark, "metered-mark")
+    flows = meter_stream(v.packets_of(v.event_stream()), IDLE_S, ACTIVE_S, f"{LATE_S} seconds")
+    flows.writeStream.format("parquet").option("path", path).option("checkpointLocation", mark).trigger(
+        availableNow=True).start().awaitTermination()
+    return v.spark.read.schema(FLOWS).parquet(path).select(
+        "src_ip", "dst_ip", "src_port", "dst_port", F.col("bidirectional_first_seen_ms").alias("first_ms"),
+        F.col("bidirectional_last_seen_ms").alias("last_ms"), F.col("bidirectional_packets").alias("packets"),
+        F.col("bidirectional_bytes").alias("bytes"))
+
+
+register("e1_embedding", lambda v: incidents.embed(v.security_events).select("flow_id", "summary", "embedding"))
+
+
+@query("e3_incident_stream")
+def _incident_stream(v: Views):
+    """Incidents from the stream of security events, with the similar earlier events of each."""
+    vectors, out, mark = (scratch_path(v.spark, n) for n in ("vectors", "incidents", "incidents-mark"))
+    source = scratch_path(v.spark, "events")
+    v.security_events.repartitionByRange(2, "detected_at").write.parquet(source)
+    stream = v.spark.readStream.schema(SECURITY_EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
+    start_incidents(stream, vectors, out, mark).awaitTermination()
+    return v.spark.read.parquet(out)
