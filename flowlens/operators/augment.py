@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.probabilities import json_label_order, json_sorted
 from flowlens.functions.scalar import is_threat
 from flowlens.operators.latest import last_per_key
+from flowlens.operators.skew import join_unique
 from flowlens.schemas import CLASSIFIED_FLOWS, CLASSIFIER_ALARMS, LABELS, SECURITY_EVENTS
 
 
@@ -63,11 +64,11 @@ def classifier_alarms(
 def augment(results: DataFrame, flows: DataFrame) -> DataFrame:
     """Outside results joined to the last flow of the same id; results without a flow are dropped.
 
-    ``results`` holds flow_id, label, confidence and probabilities. The flows side has one row per id, so
-    a hot id in ``results`` is split by the adaptive skew join and never multiplied.
+    ``results`` holds flow_id, label, confidence and probabilities. A flow id is a bare 5-tuple, so one busy
+    conversation may hold much of either side: flows are cut to their last record before they are shuffled,
+    and the results of the most frequent ids are not shuffled at all.
     """
-    last = last_per_key(flows, ["flow_id"], ["collected_at"])
-    return results.join(last, "flow_id", "inner")
+    return join_unique(results, last_per_key(flows, ["flow_id"], ["collected_at"]), "flow_id")
 
 
 def run_summary(classified: DataFrame) -> DataFrame:

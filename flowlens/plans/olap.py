@@ -116,7 +116,8 @@ class Side:
     """One input of a branch; its columns are renamed ``alias__column`` so that names never clash."""
 
     alias: str
-    df: DataFrame
+    collection: str
+    catalog: Catalog
     types: dict[str, T.DataType]
     early: list[Filter] = field(default_factory=list)
     late: list[Filter] = field(default_factory=list)
@@ -130,7 +131,12 @@ class Side:
         return f"{self.alias}__{column}"
 
     def filtered(self) -> DataFrame:
-        return apply_filters(self.df, self.early)
+        return apply_filters(self.catalog.view(self.collection, self.early), self.early)
+
+
+def _side(catalog: Catalog, collection: str, alias: str) -> Side:
+    schema = catalog.view(collection).schema
+    return Side(alias, collection, catalog, {f.name: f.dataType for f in schema.fields})
 
 
 class Scope:
@@ -191,9 +197,9 @@ def _top(df: DataFrame, keys: list[tuple[str, bool]], limit: int | None) -> Data
 
 def _single(catalog: Catalog, branch: Branch) -> DataFrame:
     """A branch without joins: filter, then project or aggregate."""
-    df = catalog.view(branch.collection)
-    scope = Scope([Side(branch.alias, df, {f.name: f.dataType for f in df.schema.fields})])
-    df = apply_filters(df, [replace(f, field=scope.find(f.field)[1]) for f in branch.filters])
+    scope = Scope([_side(catalog, branch.collection, branch.alias)])
+    scope.sides[0].early += [replace(f, field=scope.find(f.field)[1]) for f in branch.filters]
+    df = scope.sides[0].filtered()
     dims = [(F.col(column), name) for _, column, name in _output_names(scope, branch.dimensions)]
     metrics = [
         aggregate(m, None if m.field == "*" else F.col(scope.find(m.field)[1])).alias(m.alias)
@@ -207,13 +213,8 @@ def _single(catalog: Catalog, branch: Branch) -> DataFrame:
 
 
 def _sides(catalog: Catalog, branch: Branch) -> list[Side]:
-    sides = []
-    for collection, alias in [(branch.collection, branch.alias)] + [
-        (j.collection, j.alias) for j in branch.joins
-    ]:
-        df = catalog.view(collection)
-        sides.append(Side(alias, df, {f.name: f.dataType for f in df.schema.fields}))
-    return sides
+    inputs = [(branch.collection, branch.alias)] + [(j.collection, j.alias) for j in branch.joins]
+    return [_side(catalog, collection, alias) for collection, alias in inputs]
 
 
 def _place_filters(branch: Branch, scope: Scope) -> None:
@@ -312,12 +313,11 @@ def _joined_rows(
     for side, column, _ in outputs:
         side.dims.add(column)
 
-    spark = scope.sides[0].df.sparkSession
-    bound = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     frames = []
     for side in scope.sides:
         needed = side.dims | side.link | {o.field for o in side.order} | {f.field for f in side.late}
         df = side.filtered().select(*[F.col(c).alias(side.own(c)) for c in sorted(needed)])
+        bound = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
         same = sorted(side.own(c) for c in side.link | {f.field for f in side.late})
         rank = [
             F.desc_nulls_last(side.own(o.field)) if o.descending else F.asc_nulls_last(side.own(o.field))
@@ -443,8 +443,7 @@ def _branch(
             return _top(df, [(o.field, o.descending) for o in order], limit)
         if branch.metrics:
             raise RequestError(f"order_by must name output columns: {sorted(names)}")
-        base = catalog.view(branch.collection)
-        scope = Scope([Side(branch.alias, base, {f.name: f.dataType for f in base.schema.fields})])
+        scope = Scope([_side(catalog, branch.collection, branch.alias)])
         whole = _single(catalog, replace(branch, dimensions=()))
         dims = _output_names(scope, branch.dimensions)
         by_output = {name: column for _, column, name in dims}

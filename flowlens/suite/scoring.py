@@ -75,7 +75,7 @@ register("c3_model_backend",
          lambda v: rounded(score(v.flows, ModelBackend(_linear())).select("flow_id", "label", "confidence"), 3),
          "SELECT flow_id, ['BENIGN', 'DoS', 'DDoS', 'PortScan', 'BruteForce', 'WebAttack', 'Botnet', 'Malware']"
          "[list_position(z, list_max(z))] AS label, "
-         "round(1.0 / list_sum([exp(y - list_max(z)) FOR y IN z]), 3) AS confidence "
+         "round(cast(cast(1.0 / list_sum([exp(y - list_max(z)) FOR y IN z]) AS float) AS double), 3) AS confidence "
          f"FROM (SELECT flow_id, [{_DOTS}] AS z FROM (SELECT flow_id, [{_X}] AS x FROM flows) a) b")
 
 _CLASSIFIED = (

@@ -207,6 +207,17 @@ def test_outside_results(spark):
     assert augment.augment(results.limit(0), known).count() == 0
 
 
+def test_hot_results_are_not_shuffled(spark):
+    """More distinct ids than hot ones, and one id with a third of the rows: every row once."""
+    from flowlens.operators.skew import join_unique
+
+    left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), "id")
+    right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    got = join_unique(left, right, "k", hot_keys=3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+    assert got._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") >= 2
+
+
 def test_last_per_key_is_cut_before_the_shuffle(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), ("b", 1, "w")], "k string, t int, v string")
     last = last_per_key(df, ["k"], ["t"])

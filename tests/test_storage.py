@@ -245,3 +245,26 @@ def test_running_counters(spark, tmp_path):
     stream.writeStream.format("memory").queryName("counters").outputMode("complete").trigger(
         availableNow=True).start().awaitTermination()
     assert spark.table("counters").first().flows_published == 3
+
+
+def test_requests_over_stored_tables_read_only_their_months(spark, tmp_path):
+    from flowlens.plans.catalog import Catalog, StoredTable
+    from flowlens.plans.olap import olap_query
+
+    path = str(tmp_path / "t")
+    for i, month in enumerate((1, 2, 3)):
+        storage.append(flows(spark, [f"m{month}"], collected_at=dt.datetime(2024, month, 9)), path, "collected_at",
+                       storage.FLOW_ORDER)
+    catalog = Catalog({"net.flows": StoredTable(spark, path, FLOWS, "collected_at")}, ["net.flows"])
+    request = {"collection": "net.flows", "dimensions": ["flow_id"],
+               "filters": [{"field": "collected_at", "op": "gte", "value": "2024-02-01T00:00:00+00:00"},
+                           {"field": "collected_at", "op": "lt", "value": "2024-03-01T00:00:00Z"}]}
+    found = olap_query(catalog, request)
+    assert [r.flow_id for r in found.collect()] == ["m2"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "(yyyymm#" in plan and ">= 202401)" in plan and "<= 202403)" in plan
+    joined = olap_query(catalog, {**request, "joins": [{
+        "collection": "net.flows", "alias": "o", "on": [{"left": "src_ip", "right": "src_ip"}],
+        "filters": [{"field": "collected_at", "op": "gt", "value": "2024-03-02"}]}], "dimensions": ["flow_id", "o.flow_id"]})
+    assert [tuple(r) for r in joined.collect()] == [("m2", "m3")]
+    assert olap_query(catalog, {"collection": "net.flows"}).columns == FLOWS.names
