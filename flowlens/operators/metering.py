@@ -7,12 +7,12 @@ the next flow. Times are whole milliseconds.
 One endpoint pair may hold a large part of all packets, so no step sorts a whole pair in one task:
 
 1. packets of one pair in the same millisecond are merged, partially before the shuffle;
-2. gaps are found per pair and time slice (at most one merged row per millisecond of the slice), and a
-   summary with one row per slice links the slices;
-3. sessions longer than ``active`` are cut by following "first packet more than ``active`` later" pointers.
-   Pointers are doubled block by block, so a session of n flows takes log2(n) joins, and each doubling
-   keeps only the packets that can open a block, which halves the rows;
-4. flow statistics are plain aggregates and merge partially.
+2. merged rows are sorted per pair and time slice (at most one row per millisecond of the slice) and summed
+   up to one row per slice. A slice is no longer than ``idle``, so no session ends inside one: sessions,
+   and their sums, follow from the slices alone;
+3. only sessions longer than ``active`` go back to their packets. They are cut by following "first packet
+   more than ``active`` later" pointers. Pointers are doubled block by block, so a session of n flows takes
+   log2(n) joins, and each doubling keeps only the packets that can open a block, which halves the rows.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from flowlens.session import written
 IDLE_S = 120
 ACTIVE_S = 1800
 SLICE_S = 3600
+FEW_SESSIONS = 100_000
 PAIR = ["ip_a", "port_a", "ip_b", "port_b", "protocol"]
 FLAGS = ["syn", "ack", "psh", "rst", "fin"]
 
@@ -64,10 +65,10 @@ def _bucket(x: Column, width: int) -> Column:
     return x - F.pmod(x, F.lit(width).cast("bigint"))
 
 
-def merge_instants(pairs: DataFrame, slice_s: int = SLICE_S) -> DataFrame:
+def merge_instants(pairs: DataFrame, slice_ms: int) -> DataFrame:
     """One row per pair and millisecond, with the sums a flow needs."""
     size = F.col("size").cast("double")
-    return pairs.groupBy(*PAIR, _bucket(F.col("t"), slice_s * 1000).alias("slice"), "t").agg(
+    return pairs.groupBy(*PAIR, _bucket(F.col("t"), slice_ms).alias("slice"), "t").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("size").alias("bytes"),
         F.sum(size * size).alias("square"),
@@ -81,37 +82,55 @@ def merge_instants(pairs: DataFrame, slice_s: int = SLICE_S) -> DataFrame:
     )
 
 
-def sessionize(rows: DataFrame, idle_ms: int) -> DataFrame:
-    """Add ``prev`` (previous time of the pair) and ``start`` (start of the idle-gap session).
+def with_previous(rows: DataFrame) -> DataFrame:
+    """Add ``prev``, the previous time of the pair inside the slice."""
+    return rows.withColumn("prev", F.lag("t").over(Window.partitionBy(*PAIR, "slice").orderBy("t")))
 
-    ``rows`` holds ``t`` and ``slice`` once per pair and millisecond.
+
+def pieces(rows: DataFrame) -> DataFrame:
+    """Merged rows as pieces of a flow: first and last time, the gaps inside, and the gap that leads to it.
+
+    Packets in the same millisecond follow each other with gap 0.
     """
-    in_slice = Window.partitionBy(*PAIR, "slice").orderBy("t")
-    rows = rows.withColumn("prev", F.lag("t").over(in_slice))
-    opens = F.when(F.col("t") - F.col("prev") > idle_ms, F.col("t"))
-    rows = rows.withColumn("start", F.max(opens).over(in_slice.rowsBetween(Window.unboundedPreceding, 0)))
-
-    over_slices = Window.partitionBy(*PAIR).orderBy("slice")
-    links = (
-        rows.groupBy(*PAIR, "slice")
-        .agg(F.min("t").alias("_first"), F.max("t").alias("_last"), F.max("start").alias("_open"))
-        .withColumn("_before", F.lag("_last").over(over_slices))
-        .withColumn(
-            "_head",
-            F.when(F.col("_before").isNull() | (F.col("_first") - F.col("_before") > idle_ms), F.col("_first")),
-        )
-        .withColumn(
-            "_carry",
-            F.last(F.coalesce("_open", "_head"), ignorenulls=True)
-            .over(over_slices.rowsBetween(Window.unboundedPreceding, -1)),
-        )
-        .select(*PAIR, "slice", "_before", "_head", "_carry")
+    inside = F.when(F.col("n") > 1, F.lit(0.0))
+    return rows.withColumns({
+        "first": F.col("t"), "last": F.col("t"), "least_gap": inside, "most_gap": inside,
+        "gap_square": F.lit(0.0), "lead": (F.col("t") - F.col("prev")).cast("double"),
+    })
+
+
+def combine(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Put consecutive pieces together, per slice or per flow; merges partially before a shuffle."""
+    lead = F.col("lead")
+    return parts.groupBy(*keys).agg(
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+        F.sum("n").alias("n"),
+        F.sum("bytes").alias("bytes"),
+        F.sum("square").alias("square"),
+        F.min("smallest").alias("smallest"),
+        F.max("largest").alias("largest"),
+        F.sum("forward_n").alias("forward_n"),
+        F.sum("forward_bytes").alias("forward_bytes"),
+        F.min_by("first_forward", "first").alias("first_forward"),
+        F.min("ip_version").alias("ip_version"),
+        F.min(F.least("least_gap", lead)).alias("least_gap"),
+        F.max(F.greatest("most_gap", lead)).alias("most_gap"),
+        F.sum(F.col("gap_square") + F.coalesce(lead * lead, F.lit(0.0))).alias("gap_square"),
+        *[F.sum(f).alias(f) for f in FLAGS],
     )
+
+
+def link(slices: DataFrame, idle_ms: int) -> DataFrame:
+    """Add to each slice ``before`` (the pair's last time in earlier slices), ``start`` (first time of
+    its idle-gap session) and ``lead`` (the gap to ``before`` inside the session)."""
+    over = Window.partitionBy(*PAIR).orderBy("slice")
+    gap = F.col("first") - F.col("before")
+    opens = F.when(F.col("before").isNull() | (gap > idle_ms), F.col("first"))
     return (
-        rows.join(links, [*PAIR, "slice"])
-        .withColumn("prev", F.coalesce("prev", "_before"))
-        .withColumn("start", F.coalesce("start", "_head", "_carry"))
-        .drop("_before", "_head", "_carry")
+        slices.withColumn("before", F.lag("last").over(over))
+        .withColumn("start", F.max(opens).over(over.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("lead", F.when(F.col("before") >= F.col("start"), gap.cast("double")))
     )
 
 
@@ -155,7 +174,7 @@ def cut_points(points: DataFrame, idle_ms: int, active_ms: int, longest_ms: int,
     Time since the session start is divided into blocks of ``active_ms + 1``: two starts never share one.
     Level k holds, for the points that can be the first start in a block of 2**k blocks, the first start
     after it. Going up doubles the blocks, going down collects the starts. Writes each level to the shared
-    folder, as both directions read it.
+    folder, as the next level and the way down read it.
     """
     width = active_ms + 1
     reach = active_ms + idle_ms  # the first start in a block comes less than this after its beginning
@@ -181,35 +200,25 @@ def cut_points(points: DataFrame, idle_ms: int, active_ms: int, longest_ms: int,
 
     starts = points.select(*SESSION).distinct().withColumn("t", F.col("start"))
     for level in reversed(levels[:-1]):
-        found = (
-            starts.join(level, [*SESSION, "t"])
-            .filter(block("next", width) == block("t", width))
-            .select(*SESSION, F.col("next").alias("t"))
+        inside = F.when(block("next", width) == block("t", width), F.col("next"))
+        starts = starts.join(level, [*SESSION, "t"], "left").select(
+            *SESSION, F.explode(F.array_compact(F.array("t", inside))).alias("t")
         )
-        starts = written(starts.unionByName(found), "starts")
         width //= 2
     return starts
 
 
-def _cut_long_sessions(rows: DataFrame, idle_ms: int, active_ms: int, slice_ms: int) -> DataFrame:
-    """Replace ``start`` of the rows by the start of their flow. Runs jobs."""
-    rows = written(rows, "sessions")
-    spans = rows.groupBy(*SESSION).agg(F.max("t").alias("_end"))
-    longest = spans.agg(F.max(F.col("_end") - F.col("start"))).first()[0]
-    if longest is None or longest <= active_ms:
-        return rows
-    # One row per slice of a long session, so that a hot session meets its rows slice by slice.
-    slices = F.sequence(
-        _bucket(F.col("start"), slice_ms), _bucket(F.col("_end"), slice_ms), F.lit(slice_ms).cast("bigint")
-    )
-    long_slices = (
-        spans.filter(F.col("_end") - F.col("start") > active_ms)
-        .select(*SESSION, F.explode(slices).alias("slice"))
-        .withColumn("_long", F.lit(True))
+def _long_flows(rows: DataFrame, slices: DataFrame, spans: DataFrame, idle_ms: int, active_ms: int,
+                longest_ms: int, slice_ms: int) -> DataFrame:
+    """Pieces of the sessions longer than ``active_ms``, with the start of their flow as ``start``."""
+    long_slices = slices.join(spans, SESSION).select(*PAIR, "slice", "before", "start")
+    # Slice by slice, so that a hot session meets its packets in many tasks.
+    points = written(
+        with_previous(rows).join(long_slices, [*PAIR, "slice"])
+        .withColumn("prev", F.coalesce("prev", "before")).drop("before"),
+        "points",
     )
-    marked = rows.join(long_slices, [*SESSION, "slice"], "left")
-    points = written(marked.filter("_long").select(*SESSION, "t"), "points")
-    starts = cut_points(points, idle_ms, active_ms, longest, slice_ms)
+    starts = written(cut_points(points.select(*SESSION, "t"), idle_ms, active_ms, longest_ms, slice_ms), "starts")
 
     width = active_ms + 1
     in_session = Window.partitionBy(*SESSION).orderBy("t")
@@ -221,7 +230,7 @@ def _cut_long_sessions(rows: DataFrame, idle_ms: int, active_ms: int, slice_ms:
     cover = (
         starts.withColumn("_until", F.lead("t").over(in_session))
         .join(spans, SESSION)
-        .withColumn("_until", F.coalesce("_until", F.col("_end") + 1))
+        .withColumn("_until", F.coalesce("_until", F.col("end") + 1))
         .select(
             *SESSION, F.col("t").alias("_from"), "_until",
             F.explode(
@@ -230,13 +239,13 @@ def _cut_long_sessions(rows: DataFrame, idle_ms: int, active_ms: int, slice_ms:
         )
     )
     cut = (
-        marked.filter("_long").withColumn("_block", block(F.col("t")))
+        points.withColumn("_block", block(F.col("t")))
         .join(cover, [*SESSION, "_block"])
         .filter((F.col("t") >= F.col("_from")) & (F.col("t") < F.col("_until")))
         .withColumn("start", F.col("_from"))
-        .select(*rows.columns)
+        .withColumn("prev", F.when(F.col("prev") >= F.col("start"), F.col("prev")))
     )
-    return marked.filter(F.col("_long").isNull()).select(*rows.columns).unionByName(cut)
+    return pieces(cut)
 
 
 # --------------------------------------------------------------------------- flows
@@ -248,38 +257,13 @@ def _deviation(square: Column, total: Column, n: Column) -> Column:
     return F.when(n > 1, F.sqrt(spread / F.greatest(n - 1, F.lit(1)))).otherwise(F.lit(0.0))
 
 
-def flow_sums(rows: DataFrame) -> DataFrame:
-    """Sums, extremes and counts per flow, from merged rows that carry ``start`` and ``prev``."""
-    gap = F.when(F.col("prev") >= F.col("start"), (F.col("t") - F.col("prev")).cast("double"))
-    # Packets in the same millisecond follow each other with gap 0.
-    none = F.when(F.col("n") > 1, F.lit(0.0))
-    return rows.withColumns({"_gap": gap, "_least": F.least(none, gap), "_most": F.greatest(none, gap)}).groupBy(
-        *SESSION
-    ).agg(
-        F.max("t").alias("last"),
-        F.sum("n").alias("packets"),
-        F.sum("bytes").alias("bytes"),
-        F.sum("square").alias("square"),
-        F.min("smallest").alias("smallest"),
-        F.max("largest").alias("largest"),
-        F.sum("forward_n").alias("forward_n"),
-        F.sum("forward_bytes").alias("forward_bytes"),
-        F.min_by("first_forward", "t").alias("first_forward"),
-        F.min("ip_version").alias("ip_version"),
-        F.min("_least").alias("least_gap"),
-        F.max("_most").alias("most_gap"),
-        F.sum(F.col("_gap") * F.col("_gap")).alias("gap_square"),
-        *[F.sum(f).alias(f) for f in FLAGS],
-    )
-
-
 def flows_from_sums(sums: DataFrame) -> DataFrame:
-    """The flow record of each row of :func:`flow_sums`."""
+    """The flow record of each flow that :func:`combine` put together."""
 
     def by_direction(a_to_b: str, b_to_a: str) -> Column:
         return F.when(F.col("first_forward"), F.col(a_to_b)).otherwise(F.col(b_to_a))
 
-    packets, total = F.col("packets"), F.col("bytes").cast("double")
+    packets, total = F.col("n"), F.col("bytes").cast("double")
     gaps, duration = packets - 1, (F.col("last") - F.col("start")).cast("double")
     zero = F.lit(0.0)
     named = sums.withColumns({
@@ -329,6 +313,12 @@ def as_flows(named: DataFrame) -> DataFrame:
     }).select(*[F.col(f.name).cast(f.dataType) for f in FLOWS.fields])
 
 
+def linked_slices(pairs: DataFrame, idle_ms: int, slice_ms: int) -> DataFrame:
+    """Slices of the packets with their sums and sessions; ``slice_ms`` is at most ``idle_ms``."""
+    rows = with_previous(merge_instants(pairs, slice_ms))
+    return link(combine(pieces(rows), [*PAIR, "slice"]), idle_ms)
+
+
 def meter(
     packets: DataFrame,
     idle_s: float = IDLE_S,
@@ -338,26 +328,48 @@ def meter(
     """Packets to flows.
 
     ``slice_s`` bounds the sorted unit: a task sees at most 1000 * ``slice_s`` merged rows of one pair.
-    With an active timeout the sessions are written to the shared folder and measured, which runs jobs;
+    With an active timeout the slices are written to the shared folder and measured, which runs jobs;
     ``active_s=None`` cuts at idle gaps only and stays lazy.
     """
     idle_ms = int(idle_s * 1000)
-    rows = sessionize(merge_instants(with_pair(packets), slice_s), idle_ms)
-    if active_s is not None:
-        rows = _cut_long_sessions(rows, idle_ms, int(active_s * 1000), slice_s * 1000)
-    return flows_from_sums(flow_sums(rows))
+    slice_ms = max(1, min(slice_s * 1000, idle_ms))
+    pairs = with_pair(packets)
+    slices = linked_slices(pairs, idle_ms, slice_ms)
+    if active_s is None:
+        return flows_from_sums(combine(slices, SESSION))
+    active_ms = int(active_s * 1000)
+    slices = written(slices, "slices")
+    spans = slices.groupBy(*SESSION).agg(F.max("last").alias("end")).filter(F.col("end") - F.col("start") > active_ms)
+    longest, n_long = spans.agg(F.max(F.col("end") - F.col("start")), F.count(F.lit(1))).first()
+    if not n_long:
+        return flows_from_sums(combine(slices, SESSION))
+    if n_long <= FEW_SESSIONS:
+        # Counted, so small enough to send to every task: other pairs' packets are not shuffled again.
+        pairs = pairs.join(F.broadcast(spans.select(*PAIR).distinct()), PAIR, "left_semi")
+    rows = merge_instants(pairs, slice_ms)
+    long_flows = _long_flows(rows, slices, spans, idle_ms, active_ms, longest, slice_ms)
+    columns = [c for c in slices.columns if c not in ("slice", "before")]
+    short = slices.join(spans, SESSION, "left_anti").select(*columns)
+    return flows_from_sums(combine(short.unionByName(long_flows.select(*columns)), SESSION))
 
 
 def inter_arrival(packets: DataFrame, slice_s: int = SLICE_S) -> DataFrame:
     """Per pair and millisecond the time since the pair's previous packet (NULL for its first)."""
-    rows = sessionize(merge_instants(with_pair(packets), slice_s).select(*PAIR, "slice", "t", "n"), 0)
-    return rows.select(*PAIR, "t", "n", (F.col("t") - F.col("prev")).alias("gap_ms"))
+    rows = merge_instants(with_pair(packets), slice_s * 1000).select(*PAIR, "slice", "t", "n")
+    ends = rows.groupBy(*PAIR, "slice").agg(F.max("t").alias("last"))
+    before = ends.withColumn("before", F.lag("last").over(Window.partitionBy(*PAIR).orderBy("slice"))).drop("last")
+    linked = with_previous(rows).join(before, [*PAIR, "slice"])
+    return linked.select(*PAIR, "t", "n", (F.col("t") - F.coalesce("prev", "before")).alias("gap_ms"))
 
 
 def sessions(packets: DataFrame, idle_s: float = IDLE_S, slice_s: int = SLICE_S) -> DataFrame:
     """Idle-gap sessions per pair: first and last time, packets, bytes."""
-    rows = merge_instants(with_pair(packets), slice_s).select(*PAIR, "slice", "t", "n", "bytes")
-    return (
-        sessionize(rows, int(idle_s * 1000)).groupBy(*SESSION)
-        .agg(F.max("t").alias("end"), F.sum("n").alias("packets"), F.sum("bytes").alias("bytes"))
+    idle_ms = int(idle_s * 1000)
+    slice_ms = max(1, min(slice_s * 1000, idle_ms))
+    # Without gap statistics nothing has to be sorted but the slices.
+    slices = with_pair(packets).groupBy(*PAIR, _bucket(F.col("t"), slice_ms).alias("slice")).agg(
+        F.min("t").alias("first"), F.max("t").alias("last"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")
+    )
+    return link(slices, idle_ms).groupBy(*SESSION).agg(
+        F.max("last").alias("end"), F.sum("n").alias("packets"), F.sum("bytes").alias("bytes")
     )

@@ -49,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session without that setting gets a temporary folder, because there driver and
     executors are one machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):

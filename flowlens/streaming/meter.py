@@ -39,7 +39,7 @@ MERGED = T.StructType(
     + [T.StructField(f, T.LongType()) for f in FLAGS]
 )
 OPEN = T.StructType(
-    _fields("start long,last long,packets long,bytes long,square double,smallest long,largest long,"
+    _fields("start long,last long,n long,bytes long,square double,smallest long,largest long,"
             "forward_n long,forward_bytes long,first_forward boolean,ip_version short,least_gap double,"
             "most_gap double,gap_square double")
     + [T.StructField(f, T.LongType()) for f in FLAGS]
@@ -98,9 +98,7 @@ def _segment(rows: pd.DataFrame, t: np.ndarray, gaps: np.ndarray, lo: int, hi: i
     inner = gaps[lo:hi] if continues else gaps[lo + 1:hi]
     if (part["n"].to_numpy() > 1).any():
         inner = np.append(inner, 0.0)
-    out = {name: part[name].sum() for name in _SUMS}
-    out["packets"] = out.pop("n")
-    return out | {
+    return {name: part[name].sum() for name in _SUMS} | {
         "start": int(t[lo]), "last": int(t[hi - 1]),
         "smallest": part["smallest"].min(), "largest": part["largest"].max(),
         "first_forward": bool(part["first_forward"].iloc[0]), "ip_version": part["ip_version"].min(),
@@ -112,9 +110,9 @@ def _segment(rows: pd.DataFrame, t: np.ndarray, gaps: np.ndarray, lo: int, hi: i
 
 def _join(a: dict, b: dict) -> dict:
     """The sums of an open flow and of its continuation."""
-    out = {k: a[k] + b[k] for k in ("packets", "bytes", "square", "forward_n", "forward_bytes", "gap_square", *FLAGS)}
+    out = {k: a[k] + b[k] for k in (*_SUMS, "gap_square")}
 
-    lone = a["packets"] == 1  # then its gaps are placeholders
+    lone = a["n"] == 1  # then its gaps are placeholders
     return out | {
         "start": a["start"], "last": b["last"], "first_forward": a["first_forward"],
         "smallest": min(a["smallest"], b["smallest"]), "largest": max(a["largest"], b["largest"]),

@@ -135,7 +135,7 @@ def test_hot_instant_is_merged_before_the_shuffle(spark):
         F.lit("2.2.2.2").alias("dst_ip"), F.lit(1).alias("src_port"), F.lit(2).alias("dst_port"),
         F.lit(6).cast("short").alias("protocol"), F.lit(4).cast("short").alias("ip_version"),
         F.lit(50).cast("bigint").alias("size"), *[F.lit(False).alias(f) for f in FLAGS])
-    merged = metering.merge_instants(metering.with_pair(df))
+    merged = metering.merge_instants(metering.with_pair(df), 60_000)
     plan = merged._jdf.queryExecution().executedPlan().toString()
     assert plan.index("partial_count") > plan.index("Exchange")  # the tree lists the partial step below it
     assert merged.first()["n"] == 100_000
