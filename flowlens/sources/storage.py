@@ -47,6 +47,11 @@ def overwrite_batch(df: DataFrame, path: str, batch_id: int, ts: str, order: Seq
     )
 
 
+def _partitions(batched: bool) -> list[T.StructField]:
+    month = T.StructField(MONTH, T.IntegerType())
+    return [T.StructField(BATCH, T.LongType()), month] if batched else [month]
+
+
 def read_table(
     spark: SparkSession,
     path: str,
@@ -56,9 +61,7 @@ def read_table(
     until: dt.datetime | None = None,
 ) -> DataFrame:
     """The rows of a stored table with ``since`` < time <= ``until``; only their months are read."""
-    parts = [T.StructField(MONTH, T.IntegerType())]
-    if _glob(spark, f"{path.rstrip('/')}/{BATCH}=*"):
-        parts.insert(0, T.StructField(BATCH, T.LongType()))
+    parts = _partitions(bool(_glob(spark, f"{path.rstrip('/')}/{BATCH}=*")))
     df = spark.read.schema(T.StructType(schema.fields + parts)).parquet(path)
     if since is not None:
         df = df.filter((F.col(MONTH) >= since.year * 100 + since.month) & (F.col(ts) > moment(since)))
@@ -74,8 +77,8 @@ def fetch_columns(flows: DataFrame) -> DataFrame:
 
 def retain(df: DataFrame, ts: str, days: int, now: Column | None = None) -> DataFrame:
     """Rows that are not older than ``days``."""
-    moment = F.current_timestamp() if now is None else now
-    return df.filter(F.col(ts) + F.make_dt_interval(days=F.lit(days)) >= moment)
+    now = F.current_timestamp() if now is None else now
+    return df.filter(F.col(ts) >= now - F.make_dt_interval(days=F.lit(days)))
 
 
 def _glob(spark: SparkSession, pattern: str) -> list[str]:
@@ -99,23 +102,27 @@ def expire(
     path = path.rstrip("/")
     cut = now - dt.timedelta(days=days)
     month = cut.year * 100 + cut.month
-    folders = _glob(spark, f"{path}/{MONTH}=*") + _glob(spark, f"{path}/{BATCH}=*/{MONTH}=*")
-    at_cut = []
-    for folder in folders:
-        value = folder.rsplit("=", 1)[1]
-        if not value.isdigit():
-            continue
-        if int(value) < month:
+    batches = _glob(spark, f"{path}/{BATCH}=*/{MONTH}=*")
+    parts = _partitions(bool(batches))
+    at_cut = {}
+    for folder in batches or _glob(spark, f"{path}/{MONTH}=*"):
+        values = tuple(v.split("=", 1)[1] for v in folder.split("/")[-len(parts):])
+        if not values[-1].isdigit():
+            continue  # rows without a time have no age
+        if int(values[-1]) < month:
             _delete(spark, folder)
-        elif int(value) == month:
-            at_cut.append(folder)
-    for folder in at_cut:
-        rows = spark.read.schema(schema).parquet(folder)
-        kept = written(retain(rows, ts, days, moment(now)), "retain")
-        if kept.isEmpty():
+        elif int(values[-1]) == month:
+            at_cut[values] = folder
+    if not at_cut:
+        return
+    rows = spark.read.schema(T.StructType(schema.fields + parts)).option("basePath", path).parquet(*at_cut.values())
+    kept = written(retain(rows, ts, days, moment(now)), "retain")
+    names = [p.name for p in parts]
+    left = {tuple(str(v) for v in r) for r in kept.select(*names).distinct().collect()}
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*names).parquet(path)
+    for values, folder in at_cut.items():
+        if values not in left:
             _delete(spark, folder)
-        else:
-            kept.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder)
 
 
 def with_generated(df: DataFrame, id_column: str | None = None, time_column: str | None = None) -> DataFrame:

@@ -115,6 +115,26 @@ register("f3_bytes_per_second",
          lambda v: rounded(v.flows.select("flow_id", scalar.per_second("bidirectional_bytes").alias("r"))),
          "SELECT flow_id, round(CASE WHEN bidirectional_duration_ms > 0 THEN bidirectional_bytes / "
          "(bidirectional_duration_ms / 1000.0e0) ELSE 0 END, 4) AS r FROM flows")
+register("f4_parse_time",
+         lambda v: v.table("events").select(
+             "event_id", scalar.parse_time(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+02:00")))
+             .alias("utc"), scalar.parse_time("event_type").alias("none")),
+         "SELECT event_id, ts - INTERVAL 2 HOUR AS utc, cast(NULL AS timestamp) AS none FROM events")
+register("f5_guess_flag",
+         lambda v: v.table("events").select(
+             "event_id", scalar.guess_flag(F.col("event_type") == "view").alias("flag"),
+             scalar.guess_flag((F.col("event_id") % 2).cast("string")).alias("text_flag")),
+         "SELECT event_id, cast(event_type = 'view' AS smallint) AS flag, cast(event_id % 2 AS smallint) AS text_flag "
+         "FROM events")
+register("f6_defaults",
+         lambda v: scalar.with_defaults(v.flows.select(
+             "flow_id", F.expr("nullif(bidirectional_max_ps, bidirectional_mean_ps)").alias("bidirectional_max_ps")))
+         .select("flow_id", "bidirectional_max_ps", "bidirectional_fin_packets", "requested_server_name"),
+         "SELECT flow_id, coalesce(nullif(bidirectional_max_ps, bidirectional_mean_ps), cast(0 AS float)) "
+         "AS bidirectional_max_ps, cast(0 AS bigint) AS bidirectional_fin_packets, '' AS requested_server_name FROM flows")
+register("f8_feature_frame", lambda v: scalar.feature_frame(v.flows),
+         "SELECT flow_id, src_ip, dst_ip, src_port, dst_port, cast(protocol AS int) AS protocol, "
+         f"{', '.join(FEATURES)} FROM flows")
 register("f7_feature_vector",
          lambda v: v.flows.select("flow_id", F.posexplode(scalar.feature_vector()).alias("i", "x"))
          .select("flow_id", F.col("i").cast("bigint").alias("i"), F.round(F.col("x").cast("double"), 2).alias("x")),

@@ -47,6 +47,14 @@ register("f12_json_number",
          "SELECT event_id, coalesce(cast(json_extract_string(props, '$.k') AS double), 0) AS k, "
          "cast(0 AS double) AS none FROM events")
 
+_LABEL_LIST = ", ".join(f"'{x}'" for x in LABELS)
+register("f10_probability_json",
+         lambda v: rounded(v.classified_flows.select(
+             "flow_id", F.explode(F.from_json("probabilities", "map<string,double>")).alias("class", "p"))),
+         "SELECT flow_id, class, round(cast(CASE WHEN label = class THEN confidence "
+         "ELSE cast((1.0e0 - cast(confidence AS double)) / 7 AS float) END AS double), 4) AS p "
+         f"FROM classified_flows, (SELECT unnest([{_LABEL_LIST}]) AS class)")
+
 register("c2_deterministic_backend",
          lambda v: rounded(score(v.flows).select("flow_id", "label", "confidence")),
          "SELECT flow_id, label, round(cast(confidence AS double), 4) AS confidence FROM classified_flows")

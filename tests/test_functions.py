@@ -143,6 +143,52 @@ def test_model_backend_keeps_every_row_and_order_of_features(spark):
     assert score(df.limit(0), ModelBackend(load)).count() == 0
 
 
+def _field(number, value):
+    """One protocol-buffer field: an integer, or bytes with their length."""
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def _onnx_linear(weights):
+    """An ONNX model: output = Softmax(input x weights)."""
+    def node(kind, inputs, output):
+        return b"".join(_field(1, i) for i in inputs) + _field(2, output) + _field(4, kind)
+
+    def value(name, width):
+        shape = _field(1, _field(2, "n")) + _field(1, _field(1, width))
+        return _field(1, name) + _field(2, _field(1, _field(1, 1) + _field(2, shape)))
+
+    rows, classes = weights.shape
+    tensor = _field(1, rows) + _field(1, classes) + _field(2, 1) + _field(8, "w") + _field(9, weights.tobytes())
+    graph = (_field(1, node("MatMul", ["input", "w"], "z")) + _field(1, node("Softmax", ["z"], "output"))
+             + _field(2, "g") + _field(5, tensor) + _field(11, value("input", rows)) + _field(12, value("output", classes)))
+    return _field(1, 8) + _field(7, graph) + _field(8, _field(2, 13))
+
+
+def test_onnx_backend(spark, tmp_path):
+    pytest.importorskip("onnxruntime")
+    from flowlens.operators.scoring import onnx_model
+
+    weights = np.zeros((len(FEATURES), 3), dtype=np.float32)
+    weights[FEATURES.index("bidirectional_packets"), 2] = 0.1
+    weights[FEATURES.index("bidirectional_fin_packets"), 1] = 5
+    (tmp_path / "m.onnx").write_bytes(_onnx_linear(weights))
+    df = flows(spark, ["a"], bidirectional_packets=100).unionByName(
+        flows(spark, ["b"], bidirectional_packets=1, bidirectional_fin_packets=3))
+    got = score(df, ModelBackend(onnx_model(str(tmp_path / "m.onnx"))), ["BENIGN", "Scan", "DoS"]).collect()
+    assert {r.flow_id: r.label for r in got} == {"a": "DoS", "b": "Scan"}
+    for r in got:
+        assert len(r.probabilities) == 3 and sum(r.probabilities) == pytest.approx(1, abs=1e-5)
+
+
 def test_pipeline_backend(spark):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector

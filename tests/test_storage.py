@@ -85,6 +85,13 @@ def test_expire(spark, tmp_path):
     storage.expire(spark, path, FLOWS, "collected_at", 30, dt.datetime(2024, 2, 9))
     left = storage.read_table(spark, path, FLOWS, "collected_at")
     assert sorted(r.flow_id for r in left.collect()) == ["f2", "f3"]
+    # Without batches, the month of the cut keeps its younger rows; a second time changes nothing.
+    plain = str(tmp_path / "plain")
+    both = flows(spark, ["old"], collected_at=days[1]).unionByName(flows(spark, ["young"], collected_at=days[2]))
+    storage.append(both, plain, "collected_at", storage.FLOW_ORDER)
+    for _ in range(2):
+        storage.expire(spark, plain, FLOWS, "collected_at", 30, dt.datetime(2024, 2, 9))
+        assert [r.flow_id for r in storage.read_table(spark, plain, FLOWS, "collected_at").collect()] == ["young"]
 
 
 def test_generated_columns(spark):
