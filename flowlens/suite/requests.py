@@ -22,12 +22,12 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
 
 def _ask(
     name: str, sql: str, row_cap: int | None = None, fill_defaults: bool = False, digits: int = 4,
-    whole: tuple[str, ...] | list[str] = (), **request
+    cents: tuple[str, ...] = (), **request
 ) -> None:
-    """Register a request; ``whole`` names sums too large for decimals to compare."""
+    """Register a request; ``cents`` names sums of amounts with two decimals, compared as whole cents."""
     def run(v: Views) -> DataFrame:
         found = olap_query(v.catalog(row_cap), request, fill_defaults=fill_defaults)
-        return rounded(found.withColumns({c: F.round(c).cast("bigint") for c in whole}), digits)
+        return rounded(found.withColumns({c: F.round(F.col(c) * 100).cast("bigint") for c in cents}), digits)
 
     register(name, run, sql)
 
@@ -164,12 +164,12 @@ _ask("j6_several_pairs",
      joins=[{"collection": "net.repeat_flows", "alias": "r",
              "on": [{"left": c, "right": c} for c in ("src_ip", "dst_ip", "collected_at")]}])
 _ask("j7_join_sequence",
-     "SELECT n.n_name, count(*) AS n_lines, cast(round(sum(l.l_extendedprice)) AS bigint) AS revenue, "
+     "SELECT n.n_name, count(*) AS n_lines, cast(round(sum(l.l_extendedprice) * 100) AS bigint) AS revenue, "
      "round(avg(l.l_discount), 6) AS discount, count(DISTINCT o.o_custkey) AS customers "
      "FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey "
      "JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey "
      "GROUP BY n.n_name",
-     digits=6, whole=["revenue"], collection="shop.lineitem", dimensions=["n.n_name"],
+     digits=6, cents=("revenue",), collection="shop.lineitem", dimensions=["n.n_name"],
      metrics=[_metric("count", "*", "n_lines"), _metric("sum", "l_extendedprice", "revenue"),
               _metric("avg", "l_discount", "discount"), _metric("count_distinct", "o.o_custkey", "customers")],
      joins=[{"collection": "shop.orders", "alias": "o", "on": [{"left": "l_orderkey", "right": "o_orderkey"}]},
