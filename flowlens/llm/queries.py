@@ -9,16 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import crc32_mod, read_table
+from flowlens.llm.embedding_cells import near_embeddings
+from flowlens.llm.langid import learn, predict
 from flowlens.llm.mixing import mix
 from flowlens.llm.quality import fit, label_rows, quality_scores
+from flowlens.llm.simhash_pivots import near_duplicates
 from flowlens.llm.tokens import token_counts
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source", "source_size", "target", "copies", "taken")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc32_mod("doc_id", 3) == 1, F.lit(False))
+    known = learn(docs, ~held_out & F.col("doc_id").isNotNull())
+    return predict(docs.select("doc_id", "text"), known).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, keep=["doc_id"])
@@ -32,7 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_source_mix, op9_token_counts, op10_quality)
+    f.__name__: f for f in (op1_simhash_near_dedup, op3_embedding_near_dedup, op4_source_mix, op5_language_id, op9_token_counts, op10_quality)
 }
 
 SQL: dict[str, str] = {}
