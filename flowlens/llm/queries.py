@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.common import crc32_mod, read_table
 from flowlens.llm.embedding_cells import near_embeddings
+from flowlens.llm.fingerprints import edited_fingerprints, with_neighbours
 from flowlens.llm.langid import learn, predict
 from flowlens.llm.mixing import mix
 from flowlens.llm.quality import fit, label_rows, quality_scores
 from flowlens.llm.simhash_pivots import near_duplicates
 from flowlens.llm.tokens import token_counts
+from flowlens.session import written
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +40,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = written(edited_fingerprints(read_table(spark, sf_dir, "documents")), "fingerprints")
+    return with_neighbours(found).drop("hi", "lo")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, keep=["doc_id"])
@@ -51,7 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op3_embedding_near_dedup, op4_source_mix, op5_language_id, op9_token_counts, op10_quality)
+    f.__name__: f for f in (op1_simhash_near_dedup, op3_embedding_near_dedup, op4_source_mix, op5_language_id, op6_fingerprints, op9_token_counts, op10_quality)
 }
 
 SQL: dict[str, str] = {}
