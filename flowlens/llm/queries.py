@@ -12,6 +12,8 @@ from flowlens.llm.common import crc32_mod, read_table
 from flowlens.llm.embedding_cells import near_embeddings
 from flowlens.llm.fingerprints import edited_fingerprints, with_neighbours
 from flowlens.llm.langid import learn, predict
+from flowlens.llm.line_templates import SQL as LINE_SQL
+from flowlens.llm.line_templates import without_recurring_lines
 from flowlens.llm.mixing import mix
 from flowlens.llm.quality import fit, label_rows, quality_scores
 from flowlens.llm.simhash_pivots import near_duplicates
@@ -45,6 +47,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_neighbours(found).drop("hi", "lo")
 
 
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_recurring_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, keep=["doc_id"])
@@ -58,10 +65,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op3_embedding_near_dedup, op4_source_mix, op5_language_id, op6_fingerprints, op9_token_counts, op10_quality)
+    f.__name__: f for f in (op1_simhash_near_dedup, op3_embedding_near_dedup, op4_source_mix, op5_language_id, op6_fingerprints,
+                              op7_line_templates, op9_token_counts, op10_quality)
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_line_templates": LINE_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
