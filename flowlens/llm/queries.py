@@ -15,6 +15,7 @@ from flowlens.llm.langid import learn, predict
 from flowlens.llm.line_templates import SQL as LINE_SQL
 from flowlens.llm.line_templates import without_recurring_lines
 from flowlens.llm.mixing import mix
+from flowlens.llm.packing import pack
 from flowlens.llm.quality import fit, label_rows, quality_scores
 from flowlens.llm.simhash_pivots import near_duplicates
 from flowlens.llm.tokens import token_counts
@@ -52,6 +53,12 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_recurring_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, keep=["doc_id"])
@@ -66,7 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash_near_dedup, op3_embedding_near_dedup, op4_source_mix, op5_language_id, op6_fingerprints,
-                              op7_line_templates, op9_token_counts, op10_quality)
+                              op7_line_templates, op8_curve_packing, op9_token_counts, op10_quality)
 }
 
 SQL: dict[str, str] = {"op7_line_templates": LINE_SQL}
