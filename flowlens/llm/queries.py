@@ -18,6 +18,7 @@ from flowlens.llm.mixing import mix
 from flowlens.llm.packing import pack
 from flowlens.llm.quality import fit, label_rows, quality_scores
 from flowlens.llm.simhash_pivots import near_duplicates
+from flowlens.llm.suffix_dedup import without_repeats
 from flowlens.llm.tokens import token_counts
 from flowlens.session import written
 
@@ -26,6 +27,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embeddings(read_table(spark, sf_dir, "embeddings"))
 
@@ -72,7 +79,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op3_embedding_near_dedup, op4_source_mix, op5_language_id, op6_fingerprints,
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_suffix_dedup, op3_embedding_near_dedup, op4_source_mix, op5_language_id, op6_fingerprints,
                               op7_line_templates, op8_curve_packing, op9_token_counts, op10_quality)
 }
 
