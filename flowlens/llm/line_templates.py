@@ -3,8 +3,9 @@
 A line goes down a tree of fixed depth: by its number of tokens, then by its leading tokens, where a token with a digit
 is a variable field. In a leaf that several documents reach, the rest of the line is cut into segments; a segment that
 recurs in the leaf is fixed, any other is variable. A line's template is its leaf with the fixed segments; a template
-that is mostly fixed and occurs in several documents is boilerplate. It stays in the document with the smallest id and
-is dropped from all others.
+that is mostly fixed and occurs in several documents, between different lines, is boilerplate. It stays in the document
+with the smallest id and is dropped from all others. Lines that recur because whole documents are copies of each other
+have the same neighbours every time and stay: near-duplicate documents are another operator's matter.
 """
 
 from __future__ import annotations
@@ -46,10 +47,13 @@ def recurring_lines(docs: DataFrame, least_tokens: int = LEAST_TOKENS, depth: in
                     least_docs: int = LEAST_DOCS, fixed_share: float = FIXED_SHARE) -> DataFrame:
     """Lines of ``docs`` (doc_id, h, text) to drop: doc_id, h and ``nth``, the line's place in its text from 0."""
     least_tokens = max(least_tokens, depth)
-    lines = docs.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
+    body = F.split("text", "\n")
+    placed = F.transform(body, lambda x, i: F.struct(
+        x.alias("line"), F.xxhash64(F.get(body, i - 1), F.get(body, i + 1)).alias("around")))
+    lines = docs.select("doc_id", "h", F.posexplode(placed).alias("nth", "at")).select("doc_id", "h", "nth", "at.line", "at.around")
     lines = lines.withColumn("words", tokens(F.col("line"))).filter(F.size("words") >= least_tokens)
     leaf = F.xxhash64(F.size("words"), F.concat_ws(" ", F.slice("words", 1, depth)))
-    lines = written(lines.select("doc_id", "h", "nth", F.size("words").alias("n"), leaf.alias("leaf"),
+    lines = written(lines.select("doc_id", "h", "nth", "around", F.size("words").alias("n"), leaf.alias("leaf"),
                                  segments(F.col("words"), depth, count).alias("parts")), "lines")
     leaves = lines.groupBy("leaf").agg(F.countDistinct("doc_id").alias("docs")).filter(F.col("docs") >= least_docs)
     cut = lines.join(leaves.select("leaf"), "leaf", "left_semi").withColumn("line", F.xxhash64("doc_id", "h", "nth"))
@@ -61,9 +65,13 @@ def recurring_lines(docs: DataFrame, least_tokens: int = LEAST_TOKENS, depth: in
         F.sum("size").alias("held"), F.sort_array(F.collect_list(F.struct("nth", "hash"))).alias("held_parts"))
     known = cut.join(held, "line", "left").filter(
         F.col("n") * F.lit(fixed_share) <= F.coalesce(F.col("held"), F.lit(0)) + F.lit(depth))
-    known = written(known.select("doc_id", "h", "nth", F.xxhash64("leaf", "held_parts").alias("template")), "templates")
-    recurring = known.groupBy("template").agg(F.countDistinct("doc_id").alias("docs"), F.min("doc_id").alias("first"))
-    recurring = recurring.filter(F.col("docs") >= least_docs).select("template", "first")
+    known = written(known.select("doc_id", "h", "nth", "around", F.xxhash64("leaf", "held_parts").alias("template")), "templates")
+    recurring = known.groupBy("template").agg(
+        F.countDistinct("doc_id").alias("docs"), F.countDistinct("h").alias("texts"),
+        F.countDistinct("around").alias("around"), F.min("doc_id").alias("first"))
+    # Copies of a document repeat a line's neighbours; most texts with a boilerplate line put it between lines of their own.
+    recurring = recurring.filter((F.col("docs") >= least_docs) & (F.col("around") >= least_docs) & (
+        F.col("around") * 2 >= F.col("texts"))).select("template", "first")
     return known.join(recurring, "template").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "h", "nth")
 
 
@@ -92,14 +100,15 @@ def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str =
 
 #: The same for the registered query, in DuckDB's SQL.
 SQL = f"""
-WITH line AS (
- SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-  generate_subscripts(string_split(text, chr(10)), 1) - 1 AS nth FROM documents),
+WITH body AS (SELECT doc_id, md5(text) AS h, string_split(text, chr(10)) AS lines FROM documents),
+line AS (
+ SELECT doc_id, h, lines, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS nth FROM body),
 cut AS (
- SELECT doc_id, nth, list_filter(string_split_regex(regexp_replace(line, '{VARIABLE}', '<*>', 'g'), '{SPACE}'),
+ SELECT doc_id, h, nth, coalesce('=' || CASE WHEN nth > 0 THEN lines[nth] END, '') || chr(10) ||
+  coalesce('=' || lines[nth + 2], '') AS around, list_filter(string_split_regex(regexp_replace(line, '{VARIABLE}', '<*>', 'g'), '{SPACE}'),
   lambda t: t <> '') AS words FROM line),
 deep AS (
- SELECT doc_id, nth, len(words) AS n, array_to_string(words[1:{DEPTH}], ' ') AS lead, words[{DEPTH + 1}:] AS rest
+ SELECT doc_id, h, nth, around, len(words) AS n, array_to_string(words[1:{DEPTH}], ' ') AS lead, words[{DEPTH + 1}:] AS rest
  FROM cut WHERE len(words) >= {LEAST_TOKENS}),
 leaf AS (SELECT n, lead FROM deep GROUP BY n, lead HAVING count(DISTINCT doc_id) >= {LEAST_DOCS}),
 cand AS (SELECT row_number() OVER () AS line, d.* FROM deep d JOIN leaf l ON d.n = l.n AND d.lead = l.lead),
@@ -111,11 +120,12 @@ held AS (
  SELECT p.line, sum(len(p.seg)) AS held, string_agg(cast(p.i AS varchar) || ':' || array_to_string(p.seg, ' '), chr(10) ORDER BY p.i) AS parts
  FROM part p JOIN fixed f ON p.n = f.n AND p.lead = f.lead AND p.i = f.i AND p.seg = f.seg GROUP BY p.line),
 known AS (
- SELECT c.doc_id, c.nth, c.n, c.lead, coalesce(h.parts, '') AS parts FROM cand c LEFT JOIN held h ON c.line = h.line
+ SELECT c.doc_id, c.h, c.nth, c.around, c.n, c.lead, coalesce(h.parts, '') AS parts FROM cand c LEFT JOIN held h ON c.line = h.line
  WHERE c.n * {FIXED_SHARE} <= coalesce(h.held, 0) + {DEPTH}),
 recurring AS (
  SELECT n, lead, parts, min(doc_id) AS first FROM known GROUP BY n, lead, parts
- HAVING count(DISTINCT doc_id) >= {LEAST_DOCS}),
+ HAVING count(DISTINCT doc_id) >= {LEAST_DOCS} AND count(DISTINCT around) >= {LEAST_DOCS}
+  AND count(DISTINCT around) * 2 >= count(DISTINCT h)),
 gone AS (
  SELECT k.doc_id, list(k.nth) AS drop FROM known k JOIN recurring r ON k.n = r.n AND k.lead = r.lead AND k.parts = r.parts
  WHERE k.doc_id IS DISTINCT FROM r.first GROUP BY k.doc_id),

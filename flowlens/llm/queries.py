@@ -78,9 +78,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that the corpus pipeline ends with."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir).withColumn("ids", F.sha2("ids", 256))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash_near_dedup, op2_suffix_dedup, op3_embedding_near_dedup, op4_source_mix, op5_language_id, op6_fingerprints,
-                              op7_line_templates, op8_curve_packing, op9_token_counts, op10_quality)
+                              op7_line_templates, op8_curve_packing, op9_token_counts, op10_quality, pipeline)
 }
 
 SQL: dict[str, str] = {"op7_line_templates": LINE_SQL}

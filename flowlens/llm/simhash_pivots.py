@@ -76,7 +76,17 @@ def pivots(more: int = MORE_PIVOTS) -> np.ndarray:
 
 
 def distance_table(bits: np.ndarray, references: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(bits[:, None] ^ references[None, :]).astype(np.int8)
+    """Distance of each fingerprint (row, of one or more 64-bit words) to each reference."""
+    bits, references = bits.reshape(len(bits), -1), references.reshape(len(references), -1)
+    out = np.zeros((len(bits), len(references)), dtype=np.int16)
+    for word in range(bits.shape[1]):
+        out += np.bitwise_count(bits[:, word, None] ^ references[None, :, word])
+    return out
+
+
+def differing(bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    words = bits.reshape(len(bits), -1)
+    return sum(np.bitwise_count(words[i, w] ^ words[j, w]).astype(np.int16) for w in range(words.shape[1]))
 
 
 def bucket_keys(bits: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -98,7 +108,7 @@ def close_pairs(run: np.ndarray, bits: np.ndarray, references: np.ndarray, radiu
     """Link rows of equal ``run`` within ``radius``; ``label`` as :func:`join_labels` keeps it."""
     table = distance_table(bits, references)
     order = np.lexsort((table[:, 0], run))
-    at = run[order] * 256 + table[order, 0]
+    at = run[order] * 4096 + table[order, 0]  # distances and radius stay below 2048
     stop = np.searchsorted(at, at + radius, side="right")
     width = stop - np.arange(len(order)) - 1
     total = np.concatenate([[0], np.cumsum(width)])
@@ -114,39 +124,33 @@ def close_pairs(run: np.ndarray, bits: np.ndarray, references: np.ndarray, radiu
                 break
             near = np.abs(table[i, p] - table[j, p]) <= radius
             i, j = i[near], j[near]
-        found = np.bitwise_count(bits[i] ^ bits[j]) <= radius
+        found = differing(bits, i, j) <= radius
         label = join_labels(label, i[found], j[found])
         begin = end
     return label
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, more: int = MORE_PIVOTS) -> DataFrame:
-    """Forests (a, b) that connect the distinct fingerprints ``bits`` within ``radius``, bucket by bucket."""
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = batch.column("bits").to_numpy().view(np.uint64)
-            keys = bucket_keys(bits, radius)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.reshape(-1)), pa.array(np.repeat(bits.view(np.int64), keys.shape[1]))], ["key", "bits"])
+def bucket_links(rows: DataFrame, words: int, radius: int, references: np.ndarray, bucket: int = BUCKET) -> DataFrame:
+    """Forests (a, b) that connect the nodes of equal ``key`` within ``radius`` bits.
 
-    rows = distinct.select("bits").mapInArrow(keyed, "key long, bits long")
+    ``rows``: key (long), node (long) and the fingerprint's ``words`` longs w0, w1, ... Buckets of one row are left out;
+    large ones are dealt to block pairs, so that no task holds more of one than two blocks.
+    """
+    bits = [f"w{i}" for i in range(words)]
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / F.lit(bucket)).cast("int")
-    own = F.pmod(F.xxhash64("bits"), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     rows = rows.join(sizes, "key").withColumn("parts", parts).withColumn("own", own)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "bits")
+    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", *bits)
     dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        references = pivots(more)
-
         def linked(rows: np.ndarray) -> pa.RecordBatch:
             new = np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])
-            bits = rows[:, 3].copy().view(np.uint64)
-            label = close_pairs(np.cumsum(new), bits, references, radius, np.arange(len(bits)))
-            edge = np.unique(np.stack([rows[:, 3], rows[label, 3]], axis=1)[label != np.arange(len(bits))], axis=0)
+            prints = rows[:, 4:].copy().view(np.uint64)
+            label = close_pairs(np.cumsum(new), prints, references, radius, np.arange(len(rows)))
+            edge = np.unique(np.stack([rows[:, 3], rows[label, 3]], axis=1)[label != np.arange(len(rows))], axis=0)
             return pa.RecordBatch.from_arrays([pa.array(edge[:, 0].copy()), pa.array(edge[:, 1].copy())], ["a", "b"])
 
         kept: list[np.ndarray] = []
@@ -166,6 +170,20 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, more:
     return dealt.mapInArrow(meet, "a long, b long")
 
 
+def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, more: int = MORE_PIVOTS) -> DataFrame:
+    """Forests (a, b) that connect the distinct fingerprints ``bits`` within ``radius``, bucket by bucket."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = batch.column("bits").to_numpy().view(np.uint64)
+            keys = bucket_keys(bits, radius)
+            every = pa.array(np.repeat(bits.view(np.int64), keys.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), every, every], ["key", "node", "w0"])
+
+    rows = distinct.select("bits").mapInArrow(keyed, "key long, node long, w0 long")
+    return bucket_links(rows, 1, radius, pivots(more), bucket)
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text: str = "text",
                     shingle: int = SHINGLE) -> DataFrame:
     """For each row of ``docs``: ``id_col``, fingerprint (16 hex digits), component_id, class_id and class_size.
@@ -186,3 +204,111 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     return rows.join(known, "bits").select(
         F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id",
         "class_id", "class_size")
+
+
+# --------------------------------------------------------------------------- similarity of shingle sets
+
+#: Words of the long fingerprint, shingle size and similarity for whole texts.
+LONG_WORDS, LONG_SHINGLE, SIMILARITY = 16, 5, 0.8
+#: One shingle in so many ends a part of a text; shorter texts have finer parts too.
+PART, FINE_PART, SHORT = 16, 4, 64
+#: A text's rarest parts, so large a share of them, are its bucket keys.
+RARE_SHARE = 0.7
+
+
+def bits_for(similarity: float, words: int = LONG_WORDS) -> int:
+    """Differing bits at which fingerprints stand for a Jaccard similarity, less one standard error of the estimate.
+
+    Sets of Jaccard similarity J have the cosine 2J / (1 + J) at equal sizes, and bits differ with the chance angle / pi.
+    """
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    total = 64 * words
+    return int(round(total * p + np.sqrt(total * p * (1 - p))))
+
+
+def profile(text: str | None, shingle: int = LONG_SHINGLE, words: int = LONG_WORDS) -> tuple[bytes, np.ndarray]:
+    """The long fingerprint of the distinct shingles of a text, and the hashes of its parts.
+
+    A part ends at a shingle whose hash says so, so parts away from an edit stay the same.
+    """
+    split = (text or "").encode().lower().split()
+    if not split:
+        return bytes(8 * words), np.empty(0, dtype=np.int64)
+    runs = [b" ".join(split)] if len(split) < shingle else map(b" ".join, zip(*(split[k:] for k in range(shingle))))
+    n = max(1, len(split) - shingle + 1)
+    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), runs), dtype=np.uint64, count=n)
+    distinct = np.unique(hashes)
+    out = np.empty(words, dtype=np.uint64)
+    for word in range(words):
+        votes = np.zeros(64, dtype=np.int64)
+        for k in range(0, len(distinct), 100_000):
+            h = (distinct[k : k + 100_000] ^ np.uint64(0xA24BAED4963EE407 * (word + 1) % (1 << 64))) * np.uint64(0x9FB21C651E98DF25)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+            votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[word] = np.packbits(2 * votes > len(distinct), bitorder="little").view("<u8")[0]
+    keys = []
+    for every in (PART, FINE_PART) if n < SHORT else (PART,):
+        ends = np.flatnonzero(hashes % np.uint64(every) == 0)
+        starts = np.concatenate([[0], ends + 1])
+        starts = starts[starts < n]
+        keys.append(np.add.reduceat(hashes * np.uint64(2 * every + 1), starts))
+    return out.tobytes(), np.unique(np.concatenate(keys)).view(np.int64)
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text: str = "text",
+                      shingle: int = LONG_SHINGLE, words: int = LONG_WORDS) -> DataFrame:
+    """For each row of ``docs``: ``id_col`` and component_id, the smallest id that links of ``similarity`` reach.
+
+    Equal texts are one class. Different texts are linked if their long fingerprints over the sets of their word
+    shingles stand for a Jaccard similarity of ``similarity``, one standard error (0.025 at 1024 bits) allowed for. Two
+    such texts share more than half of the parts between their edits, so they meet in the bucket of a part that is among
+    the rarest of both, where pivot tables and then the fingerprints compare them. Texts without words are linked with
+    equal texts only. A null text counts as empty, a null id names no class, repeated rows are rows of one class; other
+    columns play no part, and an empty table gives an empty result.
+    """
+    chosen = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [profile(t.as_py(), shingle, words) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("md5"), pa.array([f[0] for f in found], pa.binary()),
+                 pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["doc_id", "md5", "prints", "parts"])
+
+    kind = chosen.schema["doc_id"].dataType.simpleString()
+    rows = written(chosen.withColumn("md5", F.md5("text")).mapInArrow(
+        run, f"doc_id {kind}, md5 string, prints binary, parts array<long>"), "profiles")
+    classes = rows.groupBy("md5").agg(F.min("doc_id").alias("first_id"), F.first("prints").alias("prints"),
+                                      F.first("parts").alias("parts"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "text-classes")
+    part = classes.select("node", F.size("parts").alias("all"), F.explode("parts").alias("key"))
+    shared = part.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    # Parts of one text alone come first in order of rarity; the rest of the rare share are these.
+    held = part.join(shared, "key").groupBy("node", "all").agg(F.sort_array(F.collect_list(F.struct("texts", "key"))).alias("held"))
+    most = F.ceil(F.col("all") * F.lit(RARE_SHARE)) - (F.col("all") - F.size("held"))
+    rare = held.withColumn("most", F.greatest(most, F.lit(0)).cast("int")).select(
+        "node", F.explode(F.slice("held", F.lit(1), F.col("most"))).alias("p")).select("node", "p.key")
+    longs = [F.conv(F.hex(F.substring("prints", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"w{i}") for i in range(words)]
+    prints = classes.select("node", *longs)
+    radius = bits_for(similarity, words)
+    references = np.random.Generator(np.random.PCG64(words)).integers(0, 1 << 64, (4, words), dtype=np.uint64)
+    edges = bucket_links(rare.join(prints, "node").select("key", "node", *[f"w{i}" for i in range(words)]), words, radius,
+                         references)
+    found = components(edges)
+    known = classes.select("md5", "first_id", F.col("node").alias("own")).join(
+        found, F.col("own") == F.col("node"), "left").withColumn("root", F.coalesce("root", "own"))
+    smallest = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rows.select("doc_id", "md5").join(known.join(smallest, "root").select("md5", "component_id"), "md5").select(
+        F.col("doc_id").alias(id_col), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with the document of the smallest id of each group of similar ones, once, and all rows without an id."""
+    found = similar_documents(docs, id_col=id_col, **options)
+    keep = written(found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(
+        F.count(F.lit(1)).alias("rows_of_id")), "kept")
+    named = docs.join(keep.select(id_col), id_col, "left_semi")
+    if not keep.filter("rows_of_id > 1").isEmpty():
+        named = named.dropDuplicates([id_col])
+    return named.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
