@@ -217,13 +217,13 @@ RARE_SHARE = 0.7
 
 
 def bits_for(similarity: float, words: int = LONG_WORDS) -> int:
-    """Differing bits at which fingerprints stand for a Jaccard similarity, less one standard error of the estimate.
+    """Differing bits at which fingerprints stand for a Jaccard similarity, less two standard errors of the estimate.
 
     Sets of Jaccard similarity J have the cosine 2J / (1 + J) at equal sizes, and bits differ with the chance angle / pi.
     """
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     total = 64 * words
-    return int(round(total * p + np.sqrt(total * p * (1 - p))))
+    return int(round(total * p + 2 * np.sqrt(total * p * (1 - p))))
 
 
 def profile(text: str | None, shingle: int = LONG_SHINGLE, words: int = LONG_WORDS) -> tuple[bytes, np.ndarray]:
@@ -261,7 +261,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, id_col: s
     """For each row of ``docs``: ``id_col`` and component_id, the smallest id that links of ``similarity`` reach.
 
     Equal texts are one class. Different texts are linked if their long fingerprints over the sets of their word
-    shingles stand for a Jaccard similarity of ``similarity``, one standard error (0.025 at 1024 bits) allowed for. Two
+    shingles stand for a Jaccard similarity of ``similarity``, two standard errors (0.05 at 1024 bits) allowed for. Two
     such texts share more than half of the parts between their edits, so they meet in the bucket of a part that is among
     the rarest of both, where pivot tables and then the fingerprints compare them. Texts without words are linked with
     equal texts only. A null text counts as empty, a null id names no class, repeated rows are rows of one class; other
