@@ -3,12 +3,15 @@
 Joins do not multiply copies of a key. A request with metrics first aggregates every joined input to its
 join keys, dimensions and partial sums, and carries the number of rows each partial stands for. Where a
 request without metrics is limited, of the rows that agree on all join columns only the first ``limit`` in
-the requested order can matter; the rest go before the join. Both are exact.
+the requested order can matter; the rest go before the join. Where the order begins with an input whose every
+row has a result, only its first ``limit`` rows and their ties go into the join. All are exact.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 from typing import Any
 
@@ -57,9 +60,32 @@ def literal(value: Any, dtype: T.DataType) -> Column:
             return F.lit(float(value)).cast(dtype)
         except ValueError as err:
             raise RequestError(f"{value!r} is no number") from err
+    if isinstance(dtype, T.DecimalType):
+        try:
+            number = Decimal(str(value).strip())
+        except InvalidOperation as err:
+            raise RequestError(f"{value!r} is no number") from err
+        if not number.is_finite():
+            raise RequestError(f"{value!r} is no number")
+        # The literal keeps its own digits: 10.005 lies between the values of a column with two decimals.
+        digits, scale = len(number.as_tuple().digits), max(0, -number.as_tuple().exponent)
+        whole = max(0, digits + min(0, number.as_tuple().exponent)) + max(0, number.as_tuple().exponent)
+        if whole + scale > 38 - max(0, dtype.scale - scale):
+            return F.lit(float(number))
+        return F.lit(format(number, "f")).cast(T.DecimalType(max(1, whole + scale), scale))
     return F.lit(value).cast(dtype)
 
 
+def comparable(column: Column, dtype: T.DataType, values: list) -> tuple[Column, T.DataType]:
+    """The column and type to compare ``values`` in: a date meets a time of day as the timestamp it begins with."""
+    if isinstance(dtype, T.DateType) and any(isinstance(v, str) and not _DAY.fullmatch(v.strip()) for v in values):
+        return column.cast("timestamp"), T.TimestampType()
+    return column, dtype
+
+
+_DAY = re.compile(r"\d{4}-\d{1,2}-\d{1,2}")
+
+
 INTEGRAL_RANGE = {
     name: (-(2 ** (bits - 1)), 2 ** (bits - 1) - 1)
     for name, bits in (("byte", 8), ("short", 16), ("integer", 32), ("long", 64))
@@ -76,6 +102,7 @@ def predicate(column: Column, dtype: T.DataType, f: Filter) -> Column:
         values = f.value if isinstance(f.value, list) else [f.value]
         if not values:
             return F.lit(f.op == "not_in")
+        column, dtype = comparable(column, dtype, values)
         inside = column.isin(*[literal(v, dtype) for v in values])
         return inside if f.op == "in" else ~inside
     if f.op in ("like", "ilike"):
@@ -83,6 +110,7 @@ def predicate(column: Column, dtype: T.DataType, f: Filter) -> Column:
             raise RequestError(f"{f.op} needs a text pattern")
         text = column.cast("string")
         return text.like(f.value) if f.op == "like" else text.ilike(f.value)
+    column, dtype = comparable(column, dtype, [f.value])
     return COMPARE[f.op](column, literal(f.value, dtype))
 
 
@@ -99,6 +127,12 @@ def apply_filters(df: DataFrame, filters: list[Filter] | list[dict]) -> DataFram
 # --------------------------------------------------------------------------- metrics
 
 
+def check_metric(m: Metric, dtype: T.DataType) -> None:
+    """A4, A5: sums and averages are of numbers."""
+    if m.agg in ("sum", "avg") and not isinstance(dtype, T.NumericType):
+        raise RequestError(f"{m.agg} needs a number column; {m.field!r} is {dtype.simpleString()}")
+
+
 def aggregate(m: Metric, column: Column | None) -> Column:
     """A1 to A7 over one input."""
     if m.agg == "count":
@@ -201,10 +235,12 @@ def _single(catalog: Catalog, branch: Branch) -> DataFrame:
     scope.sides[0].early += [replace(f, field=scope.find(f.field)[1]) for f in branch.filters]
     df = scope.sides[0].filtered()
     dims = [(F.col(column), name) for _, column, name in _output_names(scope, branch.dimensions)]
-    metrics = [
-        aggregate(m, None if m.field == "*" else F.col(scope.find(m.field)[1])).alias(m.alias)
-        for m in branch.metrics
-    ]
+    metrics = []
+    for m in branch.metrics:
+        side, column = (None, None) if m.field == "*" else scope.find(m.field)
+        if side:
+            check_metric(m, side.types[column])
+        metrics.append(aggregate(m, F.col(column) if side else None).alias(m.alias))
     if metrics and dims:
         return df.groupBy(*[c.alias(n) for c, n in dims]).agg(*metrics)
     if metrics:
@@ -295,13 +331,42 @@ def _zero(dtype: T.DataType) -> Column:
     return F.lit(None).cast(dtype)
 
 
+def _first_rows(df: DataFrame, keys: list[tuple[str, bool]], limit: int) -> DataFrame:
+    """The first ``limit`` rows in the order of ``keys`` (name, descending; NULLs last), and all ties of the last."""
+    rank = [F.desc_nulls_last(k) if desc else F.asc_nulls_last(k) for k, desc in keys]
+    back = [F.asc_nulls_first(k) if desc else F.desc_nulls_first(k) for k, desc in keys]
+    names = [k for k, _ in keys]
+    last = df.select(*names).orderBy(*rank).limit(limit).orderBy(*back).limit(1)
+    last = last.select(*[F.col(k).alias(f"_last_{i}") for i, k in enumerate(names)])
+    within = F.lit(True)
+    for i, (k, desc) in reversed(list(enumerate(keys))):
+        own, end = F.col(k), F.col(f"_last_{i}")
+        ahead = own.isNotNull() & (end.isNull() | ((own > end) if desc else (own < end)))
+        within = F.coalesce(ahead, F.lit(False)) | (own.eqNullSafe(end) & within)
+    return df.join(F.broadcast(last), within).select(*df.columns)  # one row
+
+
+def _lead(branch: Branch, scope: Scope, keys: list[tuple[Side, str, bool]]) -> tuple[int, int] | None:
+    """The input that the order begins with and for how many keys, if each of its matched rows has a result."""
+    kinds = {j.kind for j in branch.joins}
+    side = keys[0][0] if keys else scope.sides[0]
+    at = scope.sides.index(side)
+    if kinds != {"inner"} and (at or not kinds <= {"inner", "left"} or "inner" in kinds or any(s.late for s in scope.sides)):
+        return None
+    own = 0
+    while own < len(keys) and keys[own][0] is side:
+        own += 1
+    return at, own
+
+
 def _joined_rows(
     branch: Branch, scope: Scope, links, order: list[OrderBy], limit: int | None, fill: bool
 ) -> DataFrame:
     """A join without metrics: at most ``limit`` rows per combination of join columns survive per input.
 
-    Spark cuts each combination before the shuffle, up to its window-group limit; beyond that, or without
-    a limit, the rows are joined as they are and a hot key is split by the adaptive skew join.
+    Spark cuts each combination before the shuffle where its window-group limit allows. The input that the order
+    begins with is also cut as a whole, after rows that have no partner are gone. Without a limit the rows are joined
+    as they are, and a hot key is split by the adaptive skew join.
     """
     outputs = _output_names(scope, branch.dimensions) if branch.dimensions else _star(scope)
     keys: list[tuple[Side, str, bool]] = []
@@ -313,30 +378,42 @@ def _joined_rows(
     for side, column, _ in outputs:
         side.dims.add(column)
 
+    missing = _missing(scope, branch)
     frames = []
     for side in scope.sides:
         needed = side.dims | side.link | {o.field for o in side.order} | {f.field for f in side.late}
         df = side.filtered().select(*[F.col(c).alias(side.own(c)) for c in sorted(needed)])
-        bound = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
         same = sorted(side.own(c) for c in side.link | {f.field for f in side.late})
         rank = [
             F.desc_nulls_last(side.own(o.field)) if o.descending else F.asc_nulls_last(side.own(o.field))
             for o in side.order
         ]
-        if limit is None or limit > bound:
+        if limit is None:
             pass
         elif not same:
             df = (df.orderBy(*rank) if rank else df).limit(limit)
         else:
             window = Window.partitionBy(*same).orderBy(*(rank or [F.lit(1)]))
             df = df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= limit).drop("_rank")
+        if fill and side.alias in missing:
+            df = df.withColumn(side.own("_here"), F.lit(True))
         frames.append(df)
 
-    missing = _missing(scope, branch)
+    lead = _lead(branch, scope, keys) if limit is not None else None
+    if lead:
+        at, own = lead
+        side, df = scope.sides[at], frames[at]
+        if branch.joins[0].kind == "inner":
+            linked = [f.select(*[s.own(c) for c in sorted(s.link)]).distinct() for s, f in zip(scope.sides, frames)]
+            partners = _fold(branch, linked, links).select(*linked[at].columns).distinct()
+            df = df.join(partners, linked[at].columns, "left_semi")
+        order_keys = [(side.own(c), desc) for _, c, desc in keys[:own]]
+        frames[at] = _first_rows(df, order_keys, limit) if own < len(keys) else _top(df, order_keys, limit)
+
     df = _fold(branch, frames, links)
     if fill:
         df = df.withColumns({
-            side.own(c): F.coalesce(F.col(side.own(c)), _zero(side.types[c]))
+            side.own(c): F.when(F.col(side.own("_here")).isNull(), _zero(side.types[c])).otherwise(F.col(side.own(c)))
             for side in scope.sides if side.alias in missing
             for c in side.types if side.own(c) in df.columns
         })
@@ -353,6 +430,7 @@ def _joined_metrics(branch: Branch, scope: Scope, links, fill: bool) -> DataFram
     for m in branch.metrics:
         if m.field != "*":
             side, column = scope.find(m.field)
+            check_metric(m, side.types[column])
             (side.distinct if m.agg == "count_distinct" else side.measures).add(column)
 
     missing = _missing(scope, branch)
@@ -362,12 +440,11 @@ def _joined_metrics(branch: Branch, scope: Scope, links, fill: bool) -> DataFram
         parts = [F.count(F.lit(1)).alias(side.own("_rows"))]
         for c in sorted(side.measures):
             kinds = {m.agg for m in branch.metrics if m.field != "*" and scope.find(m.field) == (side, c)}
-            number = isinstance(side.types[c], T.NumericType)
             if kinds & {"count", "avg"}:
                 parts.append(F.count(c).alias(side.own(f"{c}_n")))
             if "sum" in kinds:
                 parts.append(F.sum(c).alias(side.own(f"{c}_sum")))
-            if "avg" in kinds and number:
+            if "avg" in kinds:
                 parts.append(F.sum(F.col(c).cast("double")).alias(side.own(f"{c}_total")))
             if "min" in kinds:
                 parts.append(F.min(c).alias(side.own(f"{c}_min")))
@@ -389,7 +466,7 @@ def _joined_metrics(branch: Branch, scope: Scope, links, fill: bool) -> DataFram
         absent = F.col(side.own("_rows")).isNull()
         if fill:
             for c in side.link | side.dims | side.distinct | {f.field for f in side.late}:
-                fills[side.own(c)] = F.coalesce(F.col(side.own(c)), _zero(side.types[c]))
+                fills[side.own(c)] = F.when(absent, _zero(side.types[c])).otherwise(F.col(side.own(c)))
             for c in side.measures:
                 for suffix, value in (("n", F.lit(1)), ("sum", F.lit(0)), ("total", F.lit(0.0)),
                                       ("min", _zero(side.types[c])), ("max", _zero(side.types[c]))):
@@ -485,7 +562,7 @@ def olap_query(catalog: Catalog, request: dict | OlapRequest, fill_defaults: boo
     """The result of a request as a DataFrame of at most ``catalog.row_cap`` rows.
 
     Filters of a join are evaluated after it, so on a left join they drop unmatched rows. An outer-join
-    miss is NULL; ``fill_defaults`` gives 0 or the empty string for it.
+    miss is NULL; ``fill_defaults`` gives 0 or the empty string for it, and leaves a matched row's own NULLs.
     """
     req = request if isinstance(request, OlapRequest) else OlapRequest.parse(request)
     catalog.check(req.collections)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.plans.catalog import Catalog
 from flowlens.plans.olap import olap_query
 from flowlens.suite.registry import query, register
 from flowlens.suite.views import Views
@@ -89,6 +90,26 @@ _ask("p16_literal_types",
      filters=[_where("is_threat", "eq", True), _where("dst_port", "gt", 79.5),
               _where("confidence", "gte", 0.9), _where("collected_at", "gte", "2024-01-10T00:00:00Z")])
 
+# Columns of other types: prices with two decimals and days, from the stored doubles and timestamps.
+_TYPED = ("SELECT o_orderkey, cast(round(o_totalprice * 100) AS bigint) AS cents, "
+          "cast(o_totalprice AS decimal(12,2)) AS price, cast(o_orderdate AS date) AS day FROM {orders}")
+
+
+def _typed(name: str, condition: str, *filters: dict) -> None:
+    def run(v: Views) -> DataFrame:
+        orders = v.spark.sql(_TYPED, orders=v.table("orders"))
+        found = olap_query(Catalog({"shop.typed": orders}, ["shop.typed"], None),
+                           {"collection": "shop.typed", "dimensions": ["o_orderkey", "cents"], "filters": list(filters)})
+        return found
+
+    register(name, run, f"SELECT o_orderkey, cents FROM ({_TYPED.format(orders='orders')}) t WHERE {condition}")
+
+
+_typed("p16_decimal", "price > 150000.005 AND price <> 200000.004 AND price <= 300000.999",
+       _where("price", "gt", 150000.005), _where("price", "ne", "200000.004"), _where("price", "lte", 300000.999))
+_typed("p16_date_time", "cast(day AS timestamp) < TIMESTAMP '1996-01-10 12:00:00' AND day >= DATE '1995-06-17'",
+       _where("day", "lt", "1996-01-10T12:00:00Z"), _where("day", "gte", "1995-06-17"))
+
 # ------------------------------------------------------------------ joins
 
 ON_ID = [{"left": "flow_id", "right": "flow_id"}]
@@ -121,6 +142,27 @@ _ask("j2_left_defaults",
      fill_defaults=True,
      collection="net.flows", dimensions=["flow_id", "se.label"],
      joins=[{"collection": "net.security_events", "alias": "se", "kind": "left", "on": ON_ID}])
+
+_NULLED = "SELECT flow_id, src_ip, CASE WHEN dst_port = 443 THEN NULL ELSE dst_port END AS port FROM {events}"
+
+
+def _nulled(name: str, sql: str, row_cap: int | None = None, **request) -> None:
+    """Flows left-joined with events, whose own port is sometimes NULL; only misses take the default."""
+    def run(v: Views) -> DataFrame:
+        catalog = Catalog({"net.flows": v.flows, "net.ports": v.spark.sql(_NULLED, events=v.security_events)},
+                          ["net.flows", "net.ports"], row_cap)
+        return olap_query(catalog, request, fill_defaults=True)
+
+    register(name, run, sql)
+
+
+_PORTS = [{"collection": "net.ports", "alias": "p", "kind": "left", "on": ON_ID}]
+_PORT_SQL = ("SELECT f.flow_id, CASE WHEN p.flow_id IS NULL THEN 0 ELSE p.port END AS port FROM flows f LEFT JOIN ("
+             + _NULLED.format(events="security_events") + ") p ON f.flow_id = p.flow_id")
+_nulled("j2_left_defaults_nulls", _PORT_SQL, collection="net.flows", dimensions=["flow_id", "p.port"], joins=_PORTS)
+_nulled("j2_defaults_limited", f"SELECT * FROM ({_PORT_SQL}) t ORDER BY port NULLS LAST, flow_id LIMIT 300",
+        row_cap=1000, collection="net.flows", dimensions=["flow_id", "p.port"], joins=_PORTS,
+        order_by=[{"field": "port"}, {"field": "flow_id"}], limit=300)
 _ask("j2_left_metrics",
      "SELECT f.application_name, count(*) AS hits, count(se.confidence) AS scored, "
      "round(avg(cast(se.confidence AS double)), 4) AS confidence, "
