@@ -1,16 +1,17 @@
 """V1 to V7: nearest neighbours of query vectors.
 
-Base vectors stay where they are: every task multiplies its Arrow batches with the queries as matrices and
-keeps the k best per query, so a task sends at most k rows per query to the final ranking. Queries travel
-in blocks of checked size. Distances ascend for all metrics and are rounded to 6 decimals; ties go to the
-smaller id, so the result does not depend on the partitioning.
+Base vectors lie in cells around centres. A query first searches its nearest cells until these hold k vectors, which
+bounds its k-th distance; then it goes to the other cells whose centre distance less radius is within that bound, and
+only candidates within the bound leave a task. Queries and base rows meet by cell, in blocks of bounded size, so
+neither side is collected or broadcast and a crowded cell is many tasks. Approximate search visits a given number of
+cells and no more. Distances ascend for all metrics and are rounded to 6 decimals; ties go to the smaller id, so the
+result does not depend on cells or partitions.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,13 @@ from flowlens.plans.olap import apply_filters
 from flowlens.session import written
 
 DEFAULT_K = 5
-MAX_K = 100
 METRICS = ("cosine", "l2", "ip")
-BLOCK_BYTES = 32 * 1024 * 1024
+#: Base vectors of a cell, about; cells at most; vectors that centres are fitted on at most.
+CELL_ROWS, MOST_CELLS, SAMPLE = 4_000, 1024, 20_000
+#: Rows of either side that one task multiplies at a time.
+BLOCK_ROWS = 4_096
 PRODUCT_CELLS = 2_000_000
+_SLACK = 2e-6
 
 
 def matrix(vectors: pa.Array | pa.ChunkedArray, width: int | None = None) -> np.ndarray:
@@ -53,88 +57,65 @@ def distances(queries: np.ndarray, base: np.ndarray, metric: str) -> np.ndarray:
     return 1.0 - np.divide(product, norms, out=np.zeros_like(product), where=norms > 0)
 
 
-@dataclass
-class QueryBlock:
-    """Some of the queries, small enough to travel with a task."""
-
-    ids: pa.Array
-    vectors: np.ndarray
-    before: np.ndarray | None = None  # only base rows with a smaller value qualify
-    cells: np.ndarray | None = None  # [queries, cells]: which cells a query visits
-
-
-class _Best:
-    """The k best candidates per query so far: (query, distance, id, row of the pool)."""
-
-    def __init__(self, n_queries: int, k: int):
-        self.k = k
-        self.limit = np.full(n_queries, np.inf)
-        self.query = np.empty(0, dtype=np.int64)
-        self.distance = np.empty(0)
-        self.id: np.ndarray | None = None
-        self.row = np.empty(0, dtype=np.int64)
-
-    def add(self, found: np.ndarray, ids: np.ndarray, first_row: int) -> None:
-        k = min(self.k, found.shape[1])
-        bound = np.minimum(self.limit, np.partition(found, k - 1, axis=1)[:, k - 1] if k == self.k else np.inf)
-        query, column = np.nonzero((found <= bound[:, None]) & np.isfinite(found))
-        self.query = np.concatenate([self.query, query])
-        self.distance = np.concatenate([self.distance, found[query, column]])
-        self.id = ids[column] if self.id is None else np.concatenate([self.id, ids[column]])
-        self.row = np.concatenate([self.row, first_row + column])
-        order = np.lexsort((self.id, self.distance, self.query))
-        sorted_query = self.query[order]
-        starts = np.flatnonzero(np.r_[True, sorted_query[1:] != sorted_query[:-1]]) if len(order) else order
-        rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
-        keep = order[rank < self.k]
-        full = order[rank == self.k - 1]
-        self.limit[self.query[full]] = self.distance[full]
-        self.query, self.distance = self.query[keep], self.distance[keep]
-        self.id, self.row = self.id[keep], self.row[keep]
-
-
-def _search(block, k: int, metric: str, id_col: str, vector: str, fields: Sequence[str], before, cell):
-    """The task function: batches of base rows in, the task's k best rows per query out."""
+def space(vectors: np.ndarray, metric: str) -> np.ndarray:
+    """The points whose Euclidean distances bound the metric: unit vectors for cosine, the vectors themselves else."""
+    if metric != "cosine":
+        return vectors
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part: QueryBlock = block.value
-        width = part.vectors.shape[1]
-        step = max(1, PRODUCT_CELLS // max(1, len(part.vectors)))
-        best = _Best(len(part.vectors), k)
-        pool: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            base = matrix(table[vector], width)
-            ids = table[id_col].to_numpy()
-            ids = ids.astype(str) if ids.dtype == object else ids
-            offset = 0 if pool is None else pool.num_rows
-            for start in range(0, len(base), step):
-                stop = min(start + step, len(base))
-                found = np.round(distances(part.vectors, base[start:stop], metric), 6) + 0.0
-                if part.before is not None:
-                    found[~(table[before].to_numpy()[start:stop][None, :] < part.before[:, None])] = np.inf
-                if part.cells is not None:
-                    found[~part.cells[:, table[cell].to_numpy()[start:stop]]] = np.inf
-                best.add(found, ids[start:stop], offset + start)
-            kept = table.select([id_col, *fields])
-            pool = kept if pool is None else pa.concat_tables([pool, kept])
-            rows, best.row = np.unique(best.row, return_inverse=True)
-            pool = pool.take(pa.array(rows))
-        if pool is None or not len(best.row):
-            return
-        out = pool.take(pa.array(best.row))
-        columns = [part.ids.take(pa.array(best.query)), pa.array(best.distance), *out.columns]
-        names = ["query_id", "distance", id_col, *fields]
-        yield from pa.table(columns, names=names).combine_chunks().to_batches()
 
-    return run
+def least_distances(queries: np.ndarray, centers: np.ndarray, radii: np.ndarray, metric: str) -> np.ndarray:
+    """No vector of a cell is nearer to a query than this: one row per query, one column per cell."""
+    q = space(queries, metric)
+    if metric == "ip":
+        return -(q @ centers.T) - np.linalg.norm(q, axis=1)[:, None] * radii[None, :]
+    gap = np.maximum(distances(q, centers, "l2") - radii[None, :], 0.0)
+    return gap * gap / 2 if metric == "cosine" else gap
+
+
+def _best(found: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k smallest finite entries of each row; ties by id."""
+    if found.shape[1] > k:
+        bound = np.partition(found, k - 1, axis=1)[:, k - 1]
+        found = np.where(found <= bound[:, None], found, np.inf)
+    row, column = np.nonzero(np.isfinite(found))
+    order = np.lexsort((ids[column], found[row, column], row))
+    row, column = row[order], column[order]
+    starts = np.searchsorted(row, np.arange(found.shape[0]))
+    keep = np.arange(len(row)) - starts[row] < k
+    return row[keep], column[keep]
 
 
-def _blocks(queries: DataFrame, vector: str, block_bytes: int) -> tuple[int, DataFrame]:
-    """Number of blocks so that each stays near ``block_bytes``, and the queries with their block number."""
-    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
-    blocks = max(1, math.ceil(n * (width or 1) * 8 / block_bytes))
-    return blocks, queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+def _meet(k: int, metric: str, id_col: str, vector: str, fields: list[str], before: str | None):
+    """The task function: a block of queries and a block of base rows in, each query's k best rows out."""
+
+    def run(queries: pa.Table, base: pa.Table) -> pa.Table:
+        names = ["query_id", "distance", id_col, *fields]
+        parts = []
+        if queries.num_rows and base.num_rows:
+            q = matrix(queries[vector])
+            b = matrix(base[vector], q.shape[1])
+            ids = base[id_col].to_numpy()
+            ids = ids.astype(str) if ids.dtype == object else ids
+            bound = queries["bound"].to_numpy()
+            step = max(1, PRODUCT_CELLS // len(b))
+            for start in range(0, len(q), step):
+                stop = min(start + step, len(q))
+                found = np.round(distances(q[start:stop], b, metric), 6) + 0.0
+                found[~(found <= bound[start:stop, None])] = np.inf
+                if before is not None:
+                    found[~(base[before].to_numpy()[None, :] < queries[before].to_numpy()[start:stop, None])] = np.inf
+                row, column = _best(found, ids, k)
+                rows = base.select([id_col, *fields]).take(pa.array(column))
+                parts.append(pa.table([queries["query_id"].take(pa.array(row + start)), pa.array(found[row, column]),
+                                       *rows.columns], names=names))
+        if parts:
+            return pa.concat_tables(parts)
+        kinds = [queries.schema.field("query_id").type, pa.float64(), *[base.schema.field(c).type for c in [id_col, *fields]]]
+        return pa.table([pa.array([], t) for t in kinds], names=names)
+
+    return run
 
 
 def _rank(candidates: DataFrame, k: int, id_col: str) -> DataFrame:
@@ -143,6 +124,42 @@ def _rank(candidates: DataFrame, k: int, id_col: str) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
+def _visits(queries: DataFrame, vector: str, choose) -> DataFrame:
+    """One row per query and cell that ``choose(matrix, bounds)`` (a boolean matrix) says it visits."""
+    schema = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 1024):
+                part = batch.slice(start, 1024)
+                row, cell = np.nonzero(choose(matrix(part.column(vector)), part.column("bound").to_numpy()))
+                chosen = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(cell.astype(np.int32))],
+                                                 names=[*part.schema.names, "cell"])
+
+    return queries.mapInArrow(run, schema)
+
+
+def _search(visits: DataFrame, base: DataFrame, sizes: dict[int, int], task, schema: T.StructType, id_col: str,
+            block_rows: int) -> DataFrame:
+    """Queries meet the base rows of their cells, block by block. Collects the number of visits per cell."""
+    asked = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
+    spark = base.sparkSession
+    rows = [(c, math.ceil(sizes[c] / block_rows), math.ceil(n / block_rows)) for c, n in asked.items() if sizes.get(c)]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    plan = F.broadcast(spark.createDataFrame(rows, "cell int, base_parts int, query_parts int"))  # a row per cell
+    # Both sides may be one table: fresh names keep their columns apart.
+    visits, base = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (visits, base))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    left = visits.join(plan, "cell").withColumn("_q", F.pmod(F.xxhash64("query_id"), F.col("query_parts").cast("long"))).withColumn(
+        "_b", every("base_parts")).drop("base_parts", "query_parts")
+    right = base.join(plan, "cell").withColumn("_b", F.pmod(F.xxhash64(id_col), F.col("base_parts").cast("long"))).withColumn(
+        "_q", every("query_parts")).drop("base_parts", "query_parts")
+    keys = ["cell", "_q", "_b"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(task, schema)
+
+
 def knn(
     base: DataFrame,
     queries: DataFrame,
@@ -156,7 +173,8 @@ def knn(
     cell: str | None = None,
     centroids: np.ndarray | None = None,
     probes: int | None = None,
-    block_bytes: int = BLOCK_BYTES,
+    cells: int | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """V1: for each query (``query_id``, ``embedding``) the ``k`` nearest base rows.
 
@@ -165,12 +183,12 @@ def knn(
     names a column both sides have; only base rows with a smaller value qualify (V7: past events).
     ``cell``, ``centroids`` and ``probes`` visit only the nearest cells per query (V6).
 
-    Measures and collects the queries, one block of about ``block_bytes`` at a time. A single block leaves
-    the search lazy; with more, each block's result is written to the shared folder.
+    An exact search places the base in ``cells`` cells itself (by its size when None). Counts, radii and centres
+    of the cells go through the driver, at most MOST_CELLS of them; rows of either side never do.
     """
     if metric not in METRICS:
         raise ValueError(f"metric {metric!r} is not one of {METRICS}")
-    k = max(1, min(k, MAX_K))
+    k = max(1, k)
     if isinstance(where, (str, Column)):
         base = base.filter(where)
     elif where:
@@ -178,43 +196,72 @@ def knn(
     if fields is None:
         fields = [c for c in base.columns if c not in (id_col, vector)]
     carried = [f for f in fields if f != id_col]
-    needed = list(dict.fromkeys([id_col, vector, *carried, *([before] if before else []), *([cell] if cell else [])]))
-    base = base.filter(F.col(vector).isNotNull()).select(*needed)
+    needed = list(dict.fromkeys([id_col, vector, *carried, *([before] if before else [])]))
+    base = base.filter(F.col(vector).isNotNull())
+    queries = queries.filter(F.col(vector).isNotNull()).select("query_id", vector, *([before] if before else []))
+    queries = queries.withColumn("bound", F.lit(float("inf")))
     types = {f.name: f.dataType for f in base.schema.fields}
     schema = T.StructType(
         [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("distance", T.DoubleType())]
         + [T.StructField(c, types[c]) for c in [id_col, *carried]]
     )
     spark = base.sparkSession
-    n_blocks, queries = _blocks(queries, vector, block_bytes)
-
-    def search(number: int) -> DataFrame:
-        part = queries if n_blocks == 1 else queries.filter(F.col("_block") == number)
-        table = part.select("query_id", vector, *([before] if before else [])).toArrow()
-        block = QueryBlock(
-            table["query_id"].combine_chunks(),
-            matrix(table[vector]),
-            table[before].to_numpy() if before else None,
-        )
-        rows = base
-        if centroids is not None and len(block.vectors):
-            nearest = np.argsort(distances(block.vectors, centroids, metric), axis=1, kind="stable")
-            visit = nearest[:, : probes or len(centroids)]
-            block.cells = np.zeros((len(block.vectors), len(centroids)), dtype=bool)
-            np.put_along_axis(block.cells, visit, True, axis=1)
-            rows = rows.filter(F.col(cell).isin([int(c) for c in np.unique(visit)]))
-        if not len(block.vectors):
-            return spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
-        task = _search(spark.sparkContext.broadcast(block), k, metric, id_col, vector, carried, before, cell)
-        return _rank(rows.mapInArrow(task, schema), k, id_col)
-
-    if n_blocks == 1:
-        found = search(0)
-    else:
-        found = written(search(0), "knn")
-        for number in range(1, n_blocks):
-            found = found.unionByName(written(search(number), "knn"))
-    return found.select("query_id", "rank", "distance", id_col, *carried)
+    task = _meet(k, metric, id_col, vector, carried, before)
+    shown = ["query_id", "rank", "distance", id_col, *carried]
+
+    if probes is not None:
+        placed = base.select(*needed, F.col(cell).alias("cell")) if cell != "cell" or "cell" not in needed else base
+        sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
+        shared = spark.sparkContext.broadcast(centroids)
+
+        def nearest(rows: np.ndarray, _: np.ndarray) -> np.ndarray:
+            order = np.argsort(distances(rows, shared.value, metric), axis=1, kind="stable")[:, :probes]
+            chosen = np.zeros((len(rows), len(shared.value)), dtype=bool)
+            np.put_along_axis(chosen, order, True, axis=1)
+            return chosen
+
+        found = _search(_visits(queries, vector, nearest), placed, sizes, task, schema, id_col, block_rows)
+        return _rank(found, k, id_col).select(*shown)
+
+    base = base.select(*needed)
+    n = base.count()
+    cells = max(1, min(MOST_CELLS, cells or math.ceil(n / CELL_ROWS)))
+    if cells == 1 or n <= 1:
+        found = _search(queries.withColumn("cell", F.lit(0)), base.withColumn("cell", F.lit(0)), {0: n}, task, schema,
+                        id_col, block_rows)
+        return _rank(found, k, id_col).select(*shown)
+
+    centers = _centers(base, cells, vector, metric, id_col)
+    placed = written(_placed(base, centers, vector, metric), "cells")
+    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("_radius").alias("r")).collect()
+    sizes = {r["cell"]: r["n"] for r in stats}
+    held, radii = np.zeros(len(centers), dtype=np.int64), np.zeros(len(centers))
+    for r in stats:
+        held[r["cell"]], radii[r["cell"]] = r["n"], r["r"]
+    placed = placed.drop("_radius")
+    shared = spark.sparkContext.broadcast((centers, held, radii))
+
+    def first(rows: np.ndarray, _: np.ndarray) -> np.ndarray:
+        """The nearest cells that hold k vectors together."""
+        centers, held, radii = shared.value
+        order = np.argsort(least_distances(rows, centers, np.zeros_like(radii), metric), axis=1, kind="stable")
+        so_far = np.cumsum(held[order], axis=1) - held[order]
+        chosen = np.zeros((len(rows), len(centers)), dtype=bool)
+        np.put_along_axis(chosen, order, so_far < k, axis=1)
+        return chosen & (held > 0)[None, :]
+
+    def rest(rows: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        centers, held, radii = shared.value
+        near = least_distances(rows, centers, radii, metric) <= bound[:, None] + _SLACK
+        return near & (held > 0)[None, :] & ~first(rows, bound)
+
+    start = written(_rank(_search(_visits(queries, vector, first), placed, sizes, task, schema, id_col, block_rows), k,
+                          id_col), "knn").drop("rank")
+    known = start.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_d"))
+    bounded = queries.drop("bound").join(known, "query_id", "left").withColumn(
+        "bound", F.when(F.col("_n") >= k, F.col("_d")).otherwise(F.lit(float("inf")))).select(*queries.columns)
+    more = _search(_visits(bounded, vector, rest), placed, sizes, task, schema, id_col, block_rows)
+    return _rank(start.unionByName(more), k, id_col).select(*shown)
 
 
 def hits(found: DataFrame, id_col: str = "id") -> DataFrame:
@@ -229,6 +276,37 @@ def hits(found: DataFrame, id_col: str = "id") -> DataFrame:
 # --------------------------------------------------------------------------- approximate search
 
 
+def _centers(base: DataFrame, cells: int, vector: str, metric: str, id_col: str, rounds: int = 8) -> np.ndarray:
+    """Centres of ``cells`` clusters of at most SAMPLE vectors, the first by a hash of the id."""
+    picked = base.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE).select(vector).toArrow()
+    points = space(matrix(picked[vector]), metric)
+    centers = points[np.random.default_rng(7).choice(len(points), min(cells, len(points)), replace=False)]
+    for _ in range(rounds):
+        near = np.concatenate([distances(points[i : i + 2048], centers, "l2").argmin(axis=1)
+                               for i in range(0, len(points), 2048)])
+        sums, count = np.zeros_like(centers), np.bincount(near, minlength=len(centers))
+        np.add.at(sums, near, points)
+        centers = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centers)
+    return centers
+
+
+def _placed(base: DataFrame, centers: np.ndarray, vector: str, metric: str) -> DataFrame:
+    """Add ``cell``, the nearest centre, and ``_radius``, the distance from it."""
+    shared = base.sparkSession.sparkContext.broadcast(centers)
+
+    @F.arrow_udf("struct<cell: int, r: double>")
+    def nearest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        centers = shared.value
+        for batch in batches:
+            points = space(matrix(batch, centers.shape[1]), metric)
+            cell = distances(points, centers, "l2").argmin(axis=1)
+            radius = np.linalg.norm(points - centers[cell], axis=1)
+            yield pa.StructArray.from_arrays([pa.array(cell.astype(np.int32)), pa.array(radius)], names=["cell", "r"])
+
+    found = base.withColumn("_at", nearest(F.col(vector)))
+    return found.select(*base.columns, "_at.cell", F.col("_at.r").alias("_radius"))
+
+
 def fit_cells(base: DataFrame, cells: int, vector: str = "embedding", seed: int = 7) -> np.ndarray:
     """V6: centroids of ``cells`` clusters of the base vectors. Runs the clustering."""
     from pyspark.ml.clustering import KMeans

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from flowlens.operators.knn import approximate_knn, fit_cells, hits, knn, with_cells
 from flowlens.operators.latest import upsert
+from flowlens.plans.catalog import Catalog
+from flowlens.plans.vectors import capped_top_k, vector_query
 from flowlens.suite.registry import query, register
 
 _DISTANCE = {
@@ -41,7 +44,7 @@ for _metric in ("cosine", "l2", "ip"):
     register(f"v1_knn_{_metric}",
              lambda v, m=_metric: _shown(knn(_base(v), _queries(v), 5, m)), _sql(_metric, 5))
 register("o6_top_k_cap",
-         lambda v: _shown(knn(_base(v), _queries(v), 1000, fields=[])), _sql("cosine", 100, columns=""))
+         lambda v: _shown(knn(_base(v), _queries(v), capped_top_k(1000), fields=[])), _sql("cosine", 100, columns=""))
 register("v2_knn_filtered",
          lambda v: _shown(knn(_base(v), _queries(v), 5, where="label == 3")), _sql("cosine", 5, "b.label = 3"))
 register("v2_knn_request_filter",
@@ -73,7 +76,46 @@ def _approximate(v, probes):
 
 
 register("v6_approximate_all_cells", lambda v: _approximate(v, 16), _sql("cosine", 5))
-register("v6_approximate", lambda v: _approximate(v, 4))
+
+
+def _fixed_cells(v, probes):
+    """The first 16 vectors as centres, so that SQL can repeat the choice of cells."""
+    base = _base(v)
+    rows = base.filter("id < 16").orderBy("id").select("embedding").collect()
+    centroids = np.array([r["embedding"] for r in rows], dtype=np.float64)
+    return _shown(approximate_knn(with_cells(base, centroids), _queries(v), centroids, probes, fields=["label"]))
+
+
+register("v6_approximate", lambda v: _fixed_cells(v, 4), """
+WITH vectors AS (SELECT vec_id, label, cast(embedding AS double[]) AS v FROM embeddings),
+gap AS (SELECT x.vec_id, c.vec_id AS cell, 1 - list_cosine_similarity(x.v, c.v) AS d
+ FROM vectors x, vectors c WHERE c.vec_id < 16),
+near AS (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY d, cell) AS nth FROM gap),
+pairs AS (SELECT q.vec_id AS query_id, b.vec_id AS id, b.label,
+  round(1 - list_cosine_similarity(q.v, b.v), 6) + 0 AS distance
+ FROM vectors q JOIN near p ON p.vec_id = q.vec_id AND p.nth <= 4 JOIN near h ON h.cell = p.cell AND h.nth = 1
+ JOIN vectors b ON b.vec_id = h.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM pairs)
+SELECT query_id, rank, distance, id, label FROM ranked WHERE rank <= 5""")
+register("v1_knn_cells", lambda v: _shown(knn(_base(v), _queries(v), 5, cells=12)), _sql("cosine", 5))
+
+
+def _request(v, **request):
+    """The vector of id 3 by value."""
+    vector = [float(x) for x in _base(v).filter("id = 3").first()["embedding"]]
+    catalog = Catalog({"kb.vectors": _base(v)}, ["kb.vectors"])
+    return _shown(vector_query(catalog, {"collection": "kb.vectors", "embedding": vector, **request}))
+
+
+def _one(condition: str, k: int, columns: str = ", label") -> str:
+    found = _sql("cosine", k, f"q.vec_id = 3 AND {condition}")
+    return f"SELECT rank, distance, id{columns} FROM ({found}) t"
+
+
+register("vq_default", lambda v: _request(v), _one("true", 5))
+register("vq_filter", lambda v: _request(v, top_k=7, filter="label in [1, 4] or (not label >= 3 and label != 0)"),
+         _one("(b.label IN (1, 4) OR (NOT b.label >= 3 AND b.label <> 0))", 7))
+register("vq_cap", lambda v: _request(v, top_k=5000, output_fields=[]), _one("true", 100, ""))
 
 
 @query("v7_similar_past", _sql("cosine", 5, "b.vec_id < q.vec_id"))

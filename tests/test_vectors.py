@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens.operators.incidents import embed, incidents, numbered
-from flowlens.operators.knn import approximate_knn, distances, fit_cells, hits, knn, with_cells
+from flowlens.operators.knn import approximate_knn, fit_cells, hits, knn, with_cells
 from flowlens.schemas import INCIDENTS, SECURITY_EVENTS, VECTORS
 from flowlens.sources import pcap
 from flowlens.streaming.incidents import as_vectors, read_vectors, start_incidents
@@ -23,13 +23,24 @@ def vectors(spark, n, width=8, seed=0, copies=0):
     return rows, spark.createDataFrame(rows, "id long, embedding array<float>, label string")
 
 
+def plain_distance(a, b, metric):
+    """By the formula, one pair at a time."""
+    dot = sum(x * y for x, y in zip(a, b))
+    if metric == "ip":
+        return -dot
+    if metric == "l2":
+        return sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5
+    size = (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    return 1 - dot / size if size else 1.0
+
+
 def brute(base, queries, k, metric, keep=lambda q, b: True):
     out = set()
     for q, qv, _ in queries:
         allowed = [(i, v) for i, v, label in base if keep(q, (i, label))]
         if not allowed:
             continue
-        d = np.round(distances(np.array([qv], dtype=np.float64), np.array([v for _, v in allowed], dtype=np.float64), metric)[0], 6)
+        d = [round(plain_distance(qv, v, metric), 6) for _, v in allowed]
         for rank, (dist, i) in enumerate(sorted(zip(d, [i for i, _ in allowed]))[:k], 1):
             out.add((q, rank, round(float(dist), 5), i))
     return out
@@ -44,11 +55,11 @@ def as_queries(df):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
-@pytest.mark.parametrize("block_bytes", [1 << 20, 400])
-def test_knn_equals_brute_force(spark, metric, block_bytes):
-    """Many base partitions; with a small block size the queries travel in several blocks."""
+@pytest.mark.parametrize("cells,block_rows", [(None, 4096), (1, 7), (9, 4096), (9, 5)])
+def test_knn_equals_brute_force(spark, metric, cells, block_rows):
+    """Many cells and small blocks: every pair that matters meets."""
     rows, df = vectors(spark, 90)
-    found = knn(df.repartition(7), as_queries(df.limit(20)), 4, metric, block_bytes=block_bytes)
+    found = knn(df.repartition(7), as_queries(df.limit(20)), 4, metric, cells=cells, block_rows=block_rows)
     assert shown(found) == brute(rows, rows[:20], 4, metric)
 
 
@@ -75,10 +86,11 @@ def test_filters_fields_and_hits(spark):
     assert knn(df, as_queries(df.limit(0)), 3).count() == 0
 
 
-def test_past_only(spark):
+@pytest.mark.parametrize("cells", [1, 6])
+def test_past_only(spark, cells):
     rows, df = vectors(spark, 30)
     queries = as_queries(df).withColumn("at", F.col("query_id"))
-    found = knn(df.withColumn("at", F.col("id")), queries, 3, fields=[], before="at")
+    found = knn(df.withColumn("at", F.col("id")), queries, 3, fields=[], before="at", cells=cells)
     assert shown(found) == brute(rows, rows, 3, "cosine", lambda q, b: b[0] < q)
 
 
