@@ -24,6 +24,10 @@ class StoredTable:
     schema: T.StructType
     ts: str
 
+    def months(self) -> DataFrame:
+        """All rows with the month they are stored under, for callers that choose the months themselves."""
+        return read_table(self.spark, self.path, self.schema, self.ts, with_month=True)
+
     def read(self, filters: Sequence[Filter] = ()) -> DataFrame:
         lows = [_time(f) for f in filters if f.field == self.ts and f.op in ("gt", "gte", "eq")]
         highs = [_time(f) for f in filters if f.field == self.ts and f.op in ("lt", "lte", "eq")]

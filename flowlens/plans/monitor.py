@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.probabilities import json_number
-from flowlens.functions.scalar import is_threat, round2
-from flowlens.plans.catalog import Catalog
+from flowlens.functions.scalar import is_threat, month_key, round2
+from flowlens.plans.catalog import Catalog, StoredTable
 from flowlens.plans.olap import olap_query
 from flowlens.schemas import LABELS
+from flowlens.sources.storage import MONTH
 
+# Columns and rows at most of the recent-flows summary.
 RECENT_COLUMNS = [
     "collected_at", "flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
     "application_name", "bidirectional_packets", "bidirectional_bytes", "bidirectional_duration_ms",
@@ -26,10 +28,12 @@ RECENT_COLUMNS = [
 RECENT_MAX = 100
 
 
-def since(df: DataFrame, ts: str, interval: str, now: Column | None = None) -> DataFrame:
-    """Rows younger than ``interval``, e.g. ``1 DAY``."""
-    moment = F.current_timestamp() if now is None else now
-    return df.filter(F.col(ts) > moment - F.expr(f"INTERVAL {interval}"))
+def since(rows: DataFrame | StoredTable, ts: str, interval: str, now: Column | None = None) -> DataFrame:
+    """Rows younger than ``interval``, e.g. ``1 DAY``; of a stored table only the months that can hold them."""
+    oldest = (F.current_timestamp() if now is None else now) - F.expr(f"INTERVAL {interval}")
+    if isinstance(rows, StoredTable):
+        return rows.months().filter((F.col(MONTH) >= month_key(oldest)) & (F.col(ts) > oldest)).drop(MONTH)
+    return rows.filter(F.col(ts) > oldest)
 
 
 def _newest(df: DataFrame, ts: str, columns: Sequence[str], n: int) -> DataFrame:
@@ -43,7 +47,7 @@ def recent_threats(events: DataFrame, n: int = 50) -> DataFrame:
     return _newest(events, "detected_at", columns, n)
 
 
-def attack_breakdown(events: DataFrame, now: Column | None = None) -> DataFrame:
+def attack_breakdown(events: DataFrame | StoredTable, now: Column | None = None) -> DataFrame:
     """Events and mean confidence per label over the last day."""
     return (
         since(events, "detected_at", "1 DAY", now)
@@ -53,7 +57,9 @@ def attack_breakdown(events: DataFrame, now: Column | None = None) -> DataFrame:
     )
 
 
-def top_sources(events: DataFrame, now: Column | None = None, n: int = 20, interval: str = "1 HOUR") -> DataFrame:
+def top_sources(
+    events: DataFrame | StoredTable, now: Column | None = None, n: int = 20, interval: str = "1 HOUR"
+) -> DataFrame:
     """D3: sources with the most events in the last hour."""
     return (
         since(events, "detected_at", interval, now)

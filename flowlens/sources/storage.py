@@ -59,15 +59,19 @@ def read_table(
     ts: str,
     since: dt.datetime | None = None,
     until: dt.datetime | None = None,
+    with_month: bool = False,
 ) -> DataFrame:
-    """The rows of a stored table with ``since`` < time <= ``until``; only their months are read."""
+    """The rows of a stored table with ``since`` < time <= ``until``; only their months are read.
+
+    ``with_month`` keeps the month column, on which further conditions prune months too.
+    """
     parts = _partitions(bool(_glob(spark, f"{path.rstrip('/')}/{BATCH}=*")))
     df = spark.read.schema(T.StructType(schema.fields + parts)).parquet(path)
     if since is not None:
         df = df.filter((F.col(MONTH) >= since.year * 100 + since.month) & (F.col(ts) > moment(since)))
     if until is not None:
         df = df.filter((F.col(MONTH) <= until.year * 100 + until.month) & (F.col(ts) <= moment(until)))
-    return df.select(*schema.names)
+    return df.select(*schema.names, *([MONTH] if with_month else []))
 
 
 def fetch_columns(flows: DataFrame) -> DataFrame:

@@ -6,16 +6,18 @@ import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.scoring import Backend, score
+from flowlens.plans.catalog import StoredTable
 from flowlens.schemas import LABELS
-from flowlens.sources.storage import _glob
+from flowlens.sources.storage import MONTH, _glob
 from flowlens.streaming.classify import Outputs, write_scored
 
 _SCHEMA = "version bigint, at_us bigint, flow_id string"
 DEFAULT_LIMIT = 1000
+EPOCH = dt.datetime(1970, 1, 1)
 
 
 @dataclass(frozen=True)
@@ -62,17 +64,39 @@ def after(cursor: Cursor) -> Column:
     return (F.col("collected_at") >= at) & (newer | same)
 
 
-def page(flows: DataFrame, cursor: Cursor, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+def beyond(flows: DataFrame | StoredTable, cursor: Cursor) -> DataFrame:
+    """The flows beyond the cursor; of a stored table only the months from the cursor's on."""
+    if isinstance(flows, StoredTable):
+        at = EPOCH + dt.timedelta(microseconds=cursor.at_us)
+        return flows.months().filter(F.col(MONTH) >= at.year * 100 + at.month).filter(after(cursor)).drop(MONTH)
+    return flows.filter(after(cursor))
+
+
+def page(flows: DataFrame | StoredTable, cursor: Cursor, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
     """The next ``limit`` flows in order of (collected_at, flow_id), and any that tie with the last.
 
-    No row is skipped when many share the time at the page's end.
+    No row is skipped when many share the time at the page's end. Counts per second, summed up over days and
+    seconds of a day, show the second the page ends in; only flows of that second are put in order. Runs two jobs.
     """
-    rows = flows.filter(after(cursor))
+    rows = beyond(flows, cursor)
     if limit is None:
         return rows
-    key = F.struct("collected_at", "flow_id")
-    end = rows.select("collected_at", "flow_id").orderBy("collected_at", "flow_id").limit(limit)
-    return rows.filter(key <= end.agg(F.max(key)).scalar())
+    second = F.unix_seconds("collected_at")
+    seconds = rows.groupBy(second.alias("s")).agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "day", F.floor(F.col("s") / 86400))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = seconds.groupBy("day").agg(F.sum("n").alias("n")).withColumn("days_before", earlier(Window.orderBy("day")))
+    placed = seconds.withColumn("before", earlier(Window.partitionBy("day").orderBy("s"))).join(
+        days.select("day", "days_before"), "day").withColumn("before", F.col("before") + F.col("days_before"))
+    end = placed.filter(F.col("before") + F.col("n") >= limit).agg(F.min(F.struct("s", "before")).alias("m")).first()["m"]
+    if end is None:
+        return rows
+    last = rows.filter(second == end["s"]).select("collected_at", "flow_id").orderBy("collected_at", "flow_id")
+    top = last.limit(limit - end["before"]).agg(F.max(F.struct("collected_at", "flow_id")).alias("m"))
+    top = top.select(F.unix_micros("m.collected_at").alias("at_us"), "m.flow_id").first()
+    at = F.timestamp_micros(F.lit(top["at_us"]))
+    same = (F.col("collected_at") == at) & F.coalesce(F.col("flow_id") <= F.lit(top["flow_id"]), F.lit(True))
+    return rows.filter((F.col("collected_at") <= at) & ((F.col("collected_at") < at) | same))
 
 
 def last_of(rows: DataFrame) -> DataFrame:
@@ -82,7 +106,7 @@ def last_of(rows: DataFrame) -> DataFrame:
 
 
 def run_once(
-    flows: DataFrame,
+    flows: DataFrame | StoredTable,
     outputs: Outputs,
     state: str,
     now: dt.datetime,
@@ -95,7 +119,7 @@ def run_once(
     A run that dies before saving the cursor is repeated under the same number and replaces its output.
     Unlike the stream, a run never sees a flow that arrives with a time at or before the cursor (T13).
     """
-    spark = flows.sparkSession
+    spark = flows.spark if isinstance(flows, StoredTable) else flows.sparkSession
     cursor = load_cursor(spark, state, now)
     scored = score(page(flows, cursor, limit), backend, labels).persist()
     try:

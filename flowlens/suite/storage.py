@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from flowlens.operators import incidents
 from flowlens.operators.augment import classified_flows
 from flowlens.operators.scoring import score
+from flowlens.plans import monitor
+from flowlens.plans.catalog import StoredTable
 from flowlens.schemas import CLASSIFIED_FLOWS, CLASSIFIER_ALARMS, FETCH_COLUMNS, FLOWS, SECURITY_EVENTS
 from flowlens.session import scratch_path
 from flowlens.sources import storage
@@ -23,6 +25,7 @@ from flowlens.streaming.incidents import start_incidents
 from flowlens.streaming.ingest import start_ingest
 from flowlens.streaming.meter import meter_stream
 from flowlens.suite.flows import ACTIVE_S, IDLE_S, METERED_SQL
+from flowlens.suite.monitoring import NOW
 from flowlens.suite.registry import query, register
 from flowlens.suite.requests import rounded
 from flowlens.suite.scoring import _CLASSIFIED
@@ -139,6 +142,37 @@ register("o4_page",
          lambda v: cursor.page(v.flows, cursor.Cursor(1, CURSOR_US), 256).select("flow_id", "collected_at"),
          "SELECT flow_id, collected_at FROM flows WHERE collected_at > TIMESTAMP '2024-01-15' "
          "ORDER BY collected_at, flow_id LIMIT 256")
+
+
+def _stored(v: Views, name: str) -> StoredTable:
+    """Flows or security events as a stored table, in months."""
+    path = scratch_path(v.spark, name)
+    if name == "flows":
+        storage.append(v.flows, path, "collected_at", storage.FLOW_ORDER)
+        return StoredTable(v.spark, path, FLOWS, "collected_at")
+    storage.append(v.security_events, path, "detected_at", ["detected_at", "label", "src_ip"])
+    return StoredTable(v.spark, path, SECURITY_EVENTS, "detected_at")
+
+
+def _stored_now(v: Views):
+    return v.security_events.agg(F.max("detected_at")).scalar()
+
+
+register("p19_cursor_stored",
+         lambda v: cursor.beyond(_stored(v, "flows"), cursor.Cursor(1, CURSOR_US)).select("flow_id", "collected_at"),
+         "SELECT flow_id, collected_at FROM flows WHERE collected_at > TIMESTAMP '2024-01-15'")
+register("o4_page_stored",
+         lambda v: cursor.page(_stored(v, "flows"), cursor.Cursor(1, CURSOR_US), 256).select("flow_id", "collected_at"),
+         "SELECT flow_id, collected_at FROM flows WHERE collected_at > TIMESTAMP '2024-01-15' "
+         "ORDER BY collected_at, flow_id LIMIT 256")
+register("d2_attack_breakdown_stored",
+         lambda v: rounded(monitor.attack_breakdown(_stored(v, "events"), _stored_now(v))),
+         "SELECT label, count(*) AS count, round(avg(cast(confidence AS double)), 4) AS avg_confidence "
+         f"FROM security_events WHERE detected_at > {NOW} - INTERVAL 1 DAY GROUP BY label")
+register("d3_top_sources_stored",
+         lambda v: monitor.top_sources(_stored(v, "events"), _stored_now(v)),
+         f"SELECT src_ip, count(*) AS events FROM security_events WHERE detected_at > {NOW} "
+         "- INTERVAL 1 HOUR GROUP BY src_ip ORDER BY events DESC, src_ip LIMIT 20")
 register("t4_cursor_advance", lambda v: cursor.last_of(v.flows),
          "SELECT collected_at, flow_id FROM flows ORDER BY collected_at DESC, flow_id DESC LIMIT 1")
 register("t12_counters", lambda v: running_counters(v.flows),

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens.operators.scoring import score
+from flowlens.plans import monitor
+from flowlens.plans.catalog import StoredTable
 from flowlens.schemas import CLASSIFIED_FLOWS, CLASSIFIER_ALARMS, FLOWS, SECURITY_EVENTS
 from flowlens.sources import storage
 from flowlens.sources.flows import RAW, flow_stream, from_messages, typed
@@ -275,3 +277,26 @@ def test_requests_over_stored_tables_read_only_their_months(spark, tmp_path):
         "filters": [{"field": "collected_at", "op": "gt", "value": "2024-03-02"}]}], "dimensions": ["flow_id", "o.flow_id"]})
     assert [tuple(r) for r in joined.collect()] == [("m2", "m3")]
     assert olap_query(catalog, {"collection": "net.flows"}).columns == FLOWS.names
+
+
+def test_relative_queries_read_only_their_months(spark, views, tmp_path):
+    """The cursor and the last-day queries put a condition on the month into the scan."""
+    path = str(tmp_path / "flows")
+    storage.append(views.flows, path, "collected_at", storage.FLOW_ORDER)
+    table = StoredTable(spark, path, FLOWS, "collected_at")
+    now = F.lit("2024-02-03 00:00:00").cast("timestamp")
+    for df in (monitor.since(table, "collected_at", "1 DAY", now), cursor.beyond(table, cursor.Cursor(1, 1706900000000000))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        filters = next(line for line in plan.splitlines() if "PartitionFilters" in line)
+        assert "yyyymm" in filters.split("PartitionFilters: [")[1].split("]")[0], filters
+
+
+def test_page_ends_inside_a_second(spark, views):
+    """Every page is the next flows in order, also where many share a second."""
+    rows = views.flows.withColumn("collected_at", F.date_trunc("minute", "collected_at"))
+    order = sorted((r["collected_at"], r["flow_id"]) for r in rows.select("collected_at", "flow_id").collect())
+    start = cursor.Cursor(1, 0)
+    for n in (1, 7, len(order) - 1, len(order), len(order) + 5):
+        got = sorted(map(tuple, cursor.page(rows, start, n).select("collected_at", "flow_id").collect()))
+        end = order[min(n, len(order)) - 1]
+        assert got == [k for k in order if k <= end]
