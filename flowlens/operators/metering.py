@@ -35,9 +35,10 @@ FLAGS = ["syn", "ack", "psh", "rst", "fin"]
 def with_pair(packets: DataFrame) -> DataFrame:
     """Both directions get the same pair: the smaller endpoint is ``a``. ``forward`` tells a to b.
 
-    Addresses, ports and times take the table's defaults ('' and 0) for NULL, so the pair is a plain key.
+    Addresses, ports, times and sizes take the table's defaults ('' and 0) for NULL: the pair is a plain key, and both
+    the batch and the stream count a packet without a size as one of 0 bytes.
     """
-    known = {"src_ip": "", "dst_ip": "", "src_port": 0, "dst_port": 0, "protocol": 0}
+    known = {"src_ip": "", "dst_ip": "", "src_port": 0, "dst_port": 0, "protocol": 0, "size": 0}
     packets = packets.withColumns({
         c: F.coalesce(F.col(c), F.lit(default).cast(packets.schema[c].dataType)) for c, default in known.items()
     })

@@ -1,7 +1,8 @@
 """Packet capture files as a ``packets`` DataFrame.
 
-A first pass walks the record headers of each file and cuts it into chunks at record boundaries; a second
-pass decodes the chunks in parallel. A large file therefore neither has to fit a task nor is read by one.
+A first pass walks the record headers of each file, skipping over the packets, and cuts it into chunks at
+record boundaries: one task per file, which reads 16 bytes per packet. A second pass decodes the chunks in
+parallel, so a large file neither has to fit a task nor is decoded by one.
 Classic captures with microsecond or nanosecond times in either byte order are read; Ethernet (with VLAN
 tags), raw IP, BSD loopback and Linux cooked links. Packets that are not IP are left out, as flows have
 addresses.
@@ -54,7 +55,9 @@ def _open(path: str):
 
 def _chunks_of(path: str, chunk_bytes: int) -> Iterator[tuple]:
     with _open(path) as raw:
-        source = io.BufferedReader(raw, 1 << 20) if not isinstance(raw, io.BufferedReader) else raw
+        source = io.BufferedReader(raw, 1 << 16) if not isinstance(raw, io.BufferedReader) else raw
+        whole = source.seek(0, io.SEEK_END)
+        source.seek(0)
         head = source.read(FILE_HEADER)
         if not head:
             return
@@ -72,9 +75,11 @@ def _chunks_of(path: str, chunk_bytes: int) -> Iterator[tuple]:
             stored = lengths.unpack(header)[0]
             if stored > MAX_RECORD:
                 raise ValueError(f"{path} is damaged at byte {at}")
-            if len(source.read(stored)) < stored:
-                break  # the capture was cut off inside its last packet
             at += RECORD_HEADER + stored
+            if at > whole:
+                at -= RECORD_HEADER + stored
+                break  # the capture was cut off inside its last packet
+            source.seek(at)
             number += 1
             if at - begin >= chunk_bytes:
                 yield path, begin, at - begin, first, order, units, link
@@ -113,18 +118,18 @@ def decode(data: bytes, first: int, order: str, units: int, link: int) -> pa.Rec
     table = np.array(records, dtype=np.int64).reshape(-1, 5)
     begin, end = table[:, 0], table[:, 0] + table[:, 3]
     # Room behind the last record, so that short packets can be looked at before they are sorted out.
-    buf = np.concatenate([np.frombuffer(data, dtype=np.uint8), np.zeros(256, dtype=np.uint8)]).astype(np.int64)
+    buf = np.concatenate([np.frombuffer(data, dtype=np.uint8), np.zeros(256, dtype=np.uint8)])
 
     def byte(position):
-        return buf[np.minimum(position, len(buf) - 1)]
+        return buf[np.minimum(position, len(buf) - 1)].astype(np.int64)
 
     def word(position):
         return byte(position) << 8 | byte(position + 1)
 
     if link == ETHERNET:
         kind = begin + 12
-        for _ in range(2):
-            kind = np.where(np.isin(word(kind), VLAN_TAGS), kind + 4, kind)
+        while (tagged := np.isin(word(kind), VLAN_TAGS) & (kind + 6 <= end)).any():
+            kind = np.where(tagged, kind + 4, kind)
         ip = kind + 2
         is_ip = np.isin(word(kind), (0x0800, 0x86DD))
     elif link == LINUX_COOKED:
@@ -142,10 +147,7 @@ def decode(data: bytes, first: int, order: str, units: int, link: int) -> pa.Rec
     protocol = np.where(v4, byte(ip + 9), byte(ip + 6))
     payload = np.where(v4, ip + (byte(ip) & 15) * 4, ip + 40)
     later_part = v4 & (word(ip + 6) & 0x1FFF > 0)
-    for _ in range(8):
-        more = v6 & np.isin(protocol, EXTENSIONS) & (payload + 8 <= end)
-        if not more.any():
-            break
+    while (more := v6 & np.isin(protocol, EXTENSIONS) & (payload + 8 <= end)).any():
         later_part |= more & (protocol == 44) & (word(payload + 2) & 0xFFF8 > 0)
         step = np.where(protocol == 44, 8, (byte(payload + 1) + 1) * 8)
         protocol, payload = np.where(more, byte(payload), protocol), np.where(more, payload + step, payload)

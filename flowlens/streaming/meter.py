@@ -92,20 +92,28 @@ def _cuts(t: np.ndarray, start: int, last: int | None, idle_ms: int, active_ms:
     return cuts
 
 
-def _segment(rows: pd.DataFrame, t: np.ndarray, gaps: np.ndarray, lo: int, hi: int, continues: bool) -> dict:
-    """The sums of rows[lo:hi]; ``gaps[lo]`` counts only if an open flow continues."""
-    part = rows.iloc[lo:hi]
-    inner = gaps[lo:hi] if continues else gaps[lo + 1:hi]
-    if (part["n"].to_numpy() > 1).any():
-        inner = np.append(inner, 0.0)
-    return {name: part[name].sum() for name in _SUMS} | {
-        "start": int(t[lo]), "last": int(t[hi - 1]),
-        "smallest": part["smallest"].min(), "largest": part["largest"].max(),
-        "first_forward": bool(part["first_forward"].iloc[0]), "ip_version": part["ip_version"].min(),
-        "least_gap": float(inner.min()) if len(inner) else 0.0,
-        "most_gap": float(inner.max()) if len(inner) else 0.0,
-        "gap_square": float((inner**2).sum()),
+def _segments(rows: pd.DataFrame, t: np.ndarray, gaps: np.ndarray, starts: np.ndarray, continues: bool) -> list[dict]:
+    """The sums of the rows from each of ``starts`` to the next, all at once.
+
+    The gap before a segment counts only for the first one, and only if an open flow continues there.
+    """
+    def reduced(by: np.ufunc, name: str) -> np.ndarray:
+        return by.reduceat(rows[name].to_numpy(), starts)
+
+    counted = np.ones(len(t), dtype=bool)
+    counted[starts[1:] if continues else starts] = False
+    several = np.logical_or.reduceat(rows["n"].to_numpy() > 1, starts)  # packets of one millisecond: a gap of 0
+    least = np.minimum.reduceat(np.where(counted, gaps, np.inf), starts)
+    most = np.maximum.reduceat(np.where(counted, gaps, -np.inf), starts)
+    least, most = np.where(several, np.minimum(least, 0.0), least), np.where(several, np.maximum(most, 0.0), most)
+    columns = {name: reduced(np.add, name) for name in _SUMS} | {
+        "start": t[starts], "last": t[np.append(starts[1:], len(t)) - 1],
+        "smallest": reduced(np.minimum, "smallest"), "largest": reduced(np.maximum, "largest"),
+        "first_forward": rows["first_forward"].to_numpy()[starts], "ip_version": reduced(np.minimum, "ip_version"),
+        "least_gap": np.where(np.isfinite(least), least, 0.0), "most_gap": np.where(np.isfinite(most), most, 0.0),
+        "gap_square": np.add.reduceat(np.where(counted, gaps, 0.0) ** 2, starts),
     }
+    return [dict(zip(columns, values, strict=True)) for values in zip(*(c.tolist() for c in columns.values()), strict=True)]
 
 
 def _join(a: dict, b: dict) -> dict:
@@ -146,15 +154,12 @@ def _stepper(idle_ms: int, active_ms: int):
         gaps = np.diff(t, prepend=t[0] if last is None else last).astype("float64")
         cuts = _cuts(t, held["start"] if held else int(t[0]), last, idle_ms, active_ms)
         # Without an open flow the first row begins one; with one, rows before the first cut continue it.
-        edges = [0, *[c for c in cuts if c > 0 or held], len(t)]
-        records = []
-        for number, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            continues = number == 0 and held is not None
-            if lo == hi:
-                records.append(held)
-                continue
-            made = _segment(rows, t, gaps, lo, hi, continues)
-            records.append(_join(held, made) if continues else made)
+        continues = held is not None and 0 not in cuts
+        records = _segments(rows, t, gaps, np.array(sorted({0, *cuts})), continues)
+        if continues:
+            records[0] = _join(held, records[0])
+        elif held is not None:
+            records.insert(0, held)
         newest = records.pop()
         state.update(plain(newest))
         state.setTimeoutTimestamp(max(int(newest["last"]) + idle_ms + 1, state.getCurrentWatermarkMs() + 1))

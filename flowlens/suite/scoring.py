@@ -86,27 +86,41 @@ register("c3_model_backend",
          "round(cast(cast(1.0 / list_sum([exp(y - list_max(z)) FOR y IN z]) AS float) AS double), 3) AS confidence "
          f"FROM (SELECT flow_id, [{_DOTS}] AS z FROM (SELECT flow_id, [{_X}] AS x FROM flows) a) b")
 
+
+
+def opened(df):
+    """``df`` with a column per class probability in place of the JSON text."""
+    return rounded(df.withColumns({f"p_{x.lower()}": json_number("probabilities", x) for x in LABELS}).drop("probabilities"))
+
+
+_P = ", ".join(
+    f"round(cast(CASE WHEN label = '{x}' THEN confidence ELSE cast((1.0e0 - cast(confidence AS double)) / 7 AS float) END "
+    f"AS double), 4) AS p_{x.lower()}" for x in LABELS
+)
 _CLASSIFIED = (
     "classified_at, flow_id, src_ip, dst_ip, src_port, dst_port, protocol, collected_at, "
     "bidirectional_duration_ms, bidirectional_packets, bidirectional_bytes, "
     "round(packets_per_second, 4) AS packets_per_second, round(bytes_per_second, 4) AS bytes_per_second, "
-    "label, round(cast(confidence AS double), 4) AS confidence, is_threat"
+    f"label, round(cast(confidence AS double), 4) AS confidence, is_threat, {_P}"
 )
-register("c5_classified_flows", lambda v: rounded(v.classified_flows.drop("probabilities")),
+register("c5_classified_flows", lambda v: opened(v.classified_flows),
          f"SELECT {_CLASSIFIED} FROM classified_flows")
-register("c5_security_events", lambda v: rounded(v.security_events.drop("event_id", "probabilities")),
-         "SELECT detected_at, flow_id, src_ip, dst_ip, src_port, dst_port, protocol, label, "
-         "round(cast(confidence AS double), 4) AS confidence, bidirectional_packets, bidirectional_bytes, "
-         "bidirectional_duration_ms FROM security_events")
+_EVENTS = (
+    "SELECT detected_at, flow_id, src_ip, dst_ip, src_port, dst_port, protocol, label, "
+    "round(cast(confidence AS double), 4) AS confidence, bidirectional_packets, bidirectional_bytes, "
+    f"bidirectional_duration_ms, {_P} FROM security_events"
+)
+register("c5_security_events", lambda v: opened(v.security_events.drop("event_id")), _EVENTS)
 _PROBS = "'{' || " + " || ',' || ".join(
     f"'\"{x}\":' || printf('%.4f', cast(CASE WHEN label_idx = {i} THEN confidence ELSE rest END AS double))"
     for i, x in enumerate(LABELS)
 ) + " || '}'"
-register("c6_audit_rows",
-         lambda v: rounded(augment.classifier_alarms(v.scored, now=F.col("collected_at")).drop("alarm_id")),
+_AUDIT = (
          "SELECT classified_at, flow_id, src_ip, dst_ip, src_port, dst_port, protocol, label, "
          f"round(cast(confidence AS double), 4) AS confidence, {_PROBS} AS probabilities, is_threat FROM "
          "(SELECT *, cast((1.0e0 - cast(confidence AS double)) / 7 AS float) AS rest FROM classified_flows)")
+register("c6_audit_rows",
+         lambda v: rounded(augment.classifier_alarms(v.scored, now=F.col("collected_at")).drop("alarm_id")), _AUDIT)
 register("j10_augment",
          lambda v: rounded(augment.augment(
              v.classified_flows.select("flow_id", "label", "confidence"),

@@ -9,7 +9,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from flowlens.operators import incidents
+from flowlens.operators import incidents, windows
 from flowlens.operators.augment import classified_flows
 from flowlens.operators.scoring import score
 from flowlens.plans import monitor
@@ -28,7 +28,7 @@ from flowlens.suite.flows import ACTIVE_S, IDLE_S, METERED_SQL
 from flowlens.suite.monitoring import NOW
 from flowlens.suite.registry import query, register
 from flowlens.suite.requests import rounded
-from flowlens.suite.scoring import _CLASSIFIED
+from flowlens.suite.scoring import _AUDIT, _CLASSIFIED, _EVENTS, opened
 from flowlens.suite.views import Views
 
 _FLOW_COLUMNS = ", ".join(f.name for f in FLOWS.fields)
@@ -50,7 +50,7 @@ def _ingest(v: Views):
 def _append(v: Views):
     path = scratch_path(v.spark, "classified")
     storage.append(v.classified_flows, path, "collected_at", ["collected_at", "label", "src_ip"])
-    return rounded(storage.read_table(v.spark, path, CLASSIFIED_FLOWS, "collected_at").drop("probabilities"))
+    return opened(storage.read_table(v.spark, path, CLASSIFIED_FLOWS, "collected_at"))
 
 
 @query("s8_month_layout", f"SELECT {_FLOW_COLUMNS} FROM flows WHERE collected_at > TIMESTAMP '2024-01-15' "
@@ -68,6 +68,20 @@ register("s9_retain",
          "WHERE collected_at + INTERVAL 10 DAY >= (SELECT max(collected_at) FROM flows)")
 
 
+@query("s10_generated", "SELECT count(*) AS n, count(*) FILTER (src_port % 2 = 0) AS kept, "
+                        "count(*) FILTER (src_port % 2 <> 0) AS fresh, count(*) FILTER (src_port % 2 <> 0) AS uuids, "
+                        "count(*) AS timed FROM flows")
+def _generated(v: Views):
+    """Every second flow brings an id; the others get distinct ids of UUID form, all a time."""
+    given = F.col("src_port") % 2 == 0
+    rows = storage.with_generated(v.flows.withColumn("event_id", F.when(given, F.col("flow_id"))), "event_id", "seen_at")
+    uuid = F.col("event_id").rlike("^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$")
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(given & (F.col("event_id") == F.col("flow_id"))).alias("kept"),
+        F.count_distinct(F.when(~given, F.col("event_id"))).alias("fresh"), F.count_if(~given & uuid).alias("uuids"),
+        F.count("seen_at").alias("timed"))
+
+
 @query("s9_expire", "SELECT flow_id, collected_at FROM flows WHERE collected_at >= TIMESTAMP '2024-01-15'")
 def _expire(v: Views):
     path = scratch_path(v.spark, "flows")
@@ -91,30 +105,27 @@ def _classified_stream(v: Views) -> Outputs:
 @query("t2_incremental_classification", f"SELECT {_CLASSIFIED} FROM classified_flows")
 def _classify(v: Views):
     out = _classified_stream(v)
-    return rounded(storage.read_table(v.spark, out.classified, CLASSIFIED_FLOWS, "collected_at").drop("probabilities"))
+    return opened(storage.read_table(v.spark, out.classified, CLASSIFIED_FLOWS, "collected_at"))
 
 
-@query("t6_events_output",
-       "SELECT detected_at, flow_id, label, bidirectional_bytes FROM security_events")
+@query("t6_events_output", _EVENTS)
 def _events_output(v: Views):
     out = _classified_stream(v)
-    return storage.read_table(v.spark, out.events, SECURITY_EVENTS, "detected_at").select(
-        "detected_at", "flow_id", "label", "bidirectional_bytes")
+    return opened(storage.read_table(v.spark, out.events, SECURITY_EVENTS, "detected_at").drop("event_id"))
 
 
-@query("s6_audit_output", "SELECT flow_id, label, is_threat FROM classified_flows")
+@query("s6_audit_output", _AUDIT)
 def _audit_output(v: Views):
     out = _classified_stream(v)
-    return storage.read_table(v.spark, out.alarms, CLASSIFIER_ALARMS, "classified_at").select(
-        "flow_id", "label", "is_threat")
+    return rounded(storage.read_table(v.spark, out.alarms, CLASSIFIER_ALARMS, "classified_at").drop("alarm_id"))
 
 
-@query("t11_threat_stream", "SELECT flow_id, label FROM security_events")
+@query("t11_threat_stream", f"SELECT {_CLASSIFIED} FROM security_events")
 def _threats(v: Views):
     path = scratch_path(v.spark, "threats")
     stream = classified_flows(score(v.flows_of(v.event_stream())), now=F.col("collected_at"))
     start_threats(stream, path, scratch_path(v.spark, "threats-mark")).awaitTermination()
-    return v.spark.read.schema(CLASSIFIED_FLOWS).parquet(path).select("flow_id", "label")
+    return opened(v.spark.read.schema(CLASSIFIED_FLOWS).parquet(path))
 
 
 @query("t3_cursor_runs", f"SELECT {_CLASSIFIED} FROM classified_flows "
@@ -132,7 +143,7 @@ def _runs(v: Views):
             break
         version = reached.version
     found = storage.read_table(v.spark, out.classified, CLASSIFIED_FLOWS, "collected_at")
-    return rounded(found.withColumn("classified_at", F.col("collected_at")).drop("probabilities"))
+    return opened(found.withColumn("classified_at", F.col("collected_at")))
 
 
 CURSOR_US = int(MID_MONTH.replace(tzinfo=dt.timezone.utc).timestamp()) * 1_000_000
@@ -178,6 +189,61 @@ register("t4_cursor_advance", lambda v: cursor.last_of(v.flows),
 register("t12_counters", lambda v: running_counters(v.flows),
          "SELECT count(*) AS flows_published, max(collected_at) AS last_flow_at FROM flows")
 
+# ------------------------------------------------------------------ windows and counters as streams
+
+
+def _final(v: Views, stream, name: str):
+    """A stream's whole result after its last batch: complete output, each batch replacing the one before."""
+    path, mark = scratch_path(v.spark, name), scratch_path(v.spark, f"{name}-mark")
+
+    def write(batch, _):
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+
+    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", mark).trigger(
+        availableNow=True).start().awaitTermination()
+    return v.spark.read.parquet(path)
+
+
+def _stream(v: Views):
+    return classified_flows(score(v.flows_of(v.event_stream())), now=F.col("collected_at"))
+
+
+register("t8_flow_rate_stream",
+         lambda v: rounded(_final(v, windows.rate_per_minute(v.flows_of(v.event_stream()), "collected_at"), "rates")),
+         "SELECT date_trunc('minute', collected_at) AS window_start, count(*) AS per_minute, "
+         "round(count(*) / 60.0e0, 4) AS per_second FROM flows GROUP BY 1")
+register("t9_event_rate_stream",
+         lambda v: rounded(_final(v, windows.rate_per_minute(windows.threats(_stream(v)), "collected_at"), "events")),
+         "SELECT date_trunc('minute', collected_at) AS window_start, count(*) AS per_minute, "
+         "round(count(*) / 60.0e0, 4) AS per_second FROM classified_flows WHERE label <> 'BENIGN' GROUP BY 1")
+register("t10_label_window_stream", lambda v: _final(v, windows.label_counts(_stream(v), "collected_at"), "labels"),
+         "SELECT date_trunc('minute', collected_at) - to_minutes(k) AS window_start, label, count(*) AS n "
+         "FROM classified_flows, (SELECT unnest([0, 1, 2, 3, 4]) AS k) WHERE label <> 'BENIGN' GROUP BY 1, 2")
+register("t12_counters_stream", lambda v: _final(v, running_counters(v.flows_of(v.event_stream())), "counters"),
+         "SELECT count(*) AS flows_published, max(collected_at) AS last_flow_at FROM flows")
+
+
+@query("t13_late_rows", "SELECT date_trunc('minute', collected_at) AS window_start, count(*) AS per_minute FROM flows "
+                        "WHERE collected_at < (SELECT date_trunc('minute', max(collected_at) - INTERVAL 2 DAY) FROM flows) "
+                        "AND collected_at >= TIMESTAMP '2024-01-15' GROUP BY 1")
+def _late_rows(v: Views):
+    """Newer flows first, then the older half: windows that the watermark has passed are out and lose late rows."""
+    source = scratch_path(v.spark, "late")
+    v.flows.filter(F.col("collected_at") >= F.lit(MID_MONTH)).coalesce(1).write.parquet(source)
+    out, mark = scratch_path(v.spark, "late-out"), scratch_path(v.spark, "late-mark")
+
+    def run():
+        stream = v.spark.readStream.schema(FLOWS).option("maxFilesPerTrigger", 1).parquet(source)
+        rates = windows.rate_per_minute(stream, "collected_at", late="2 days").select("window_start", "per_minute")
+        rates.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(
+            availableNow=True).start().awaitTermination()
+
+    run()
+    v.flows.filter(F.col("collected_at") < F.lit(MID_MONTH)).coalesce(1).write.mode("append").parquet(source)
+    run()
+    return v.spark.read.parquet(out)
+
+
 # ------------------------------------------------------------------ metering and incidents as streams
 
 LATE_S = 10

@@ -232,16 +232,19 @@ def test_capture_decoding(spark, tmp_path):
         (6, 0, ether(ip4("1.2.3.4", "4.3.2.1", 6, b"\xff" * 30, fragment=100))),  # a later fragment has no ports
         (7, 0, ether(ip4("1.2.3.4", "4.3.2.1", 1, b"\x08\0\0\0"))),
         (8, 0, ether(ip4("1.2.3.4", "4.3.2.1", 6, b"\0\x50"))),  # cut before the ports end
+        (9, 0, ether(ip4("10.0.0.9", "10.0.0.3", 17, udp(1, 2)), vlans=5)),
+        (9, 1, ether(ip6("::3", "::4", 0, struct.pack(">BB6x", 60, 0) * 11 + struct.pack(">BB6x", 6, 0) + tcp(3, 4, 2)), kind=0x86DD)),
     ]
     (tmp_path / "a.pcap").write_bytes(capture(records))
     rows = rows_of(spark, tmp_path / "a.pcap")
-    assert [r.seq for r in rows] == [0, 1, 2, 4, 5, 6, 7, 8]
+    assert [r.seq for r in rows] == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10]
     got = {r.seq: (r.src_ip, r.src_port, r.dst_ip, r.dst_port, r.protocol, r.ip_version) for r in rows}
     assert got[0] == ("10.0.0.1", 1234, "10.0.0.2", 80, 6, 4)
     assert got[1] == ("10.0.0.2", 80, "10.0.0.1", 1234, 6, 4)
     assert got[2] == ("10.0.0.1", 53, "10.0.0.3", 5353, 17, 4)
     assert got[4] == ("2001:db8::1", 1, "2001:db8::2", 2, 6, 6)
     assert got[5] == ("::1", 7, "::2", 8, 17, 6)
+    assert got[9] == ("10.0.0.9", 1, "10.0.0.3", 2, 17, 4) and got[10] == ("::3", 3, "::4", 4, 6, 6)
     assert got[6] == ("1.2.3.4", 0, "4.3.2.1", 0, 6, 4) and got[8][1] == 0 and got[7][4] == 1
     flags = {r.seq: (r.syn, r.ack, r.psh, r.rst, r.fin) for r in rows}
     assert flags[0] == (True, False, False, False, False) and flags[1] == (True, True, False, False, False)
