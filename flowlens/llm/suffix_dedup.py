@@ -138,6 +138,7 @@ def repeated_windows(left: list[bytes], right: list[bytes], near: np.ndarray, fa
     for rows, sizes in ((behind, behind_size), (ahead, ahead_size)):
         order = multikey_order(rows, sizes)
         classes.append((order, common_prefix(rows, sizes, order)))
+    del behind, ahead, rows
     state = np.zeros((len(left), reach + 1), dtype=np.uint8)
     before, after = np.empty(len(left), dtype=np.int64), np.empty(len(left), dtype=np.int64)
     for d in range(reach + 1):
@@ -170,9 +171,18 @@ def _sort_bucket(length: int, gram: int):
         h, n, place = (table[c].to_numpy() for c in ("h", "n", "place"))
         left, right = table["left"].to_pylist(), table["right"].to_pylist()
         state = repeated_windows(left, right, table["near"].to_numpy(), table["far"].to_numpy(), length, gram)
+        # A suffix whose text holds it at other places too is repeated by that alone, here and there.
+        others = table["others"].combine_chunks()
+        twice = others.value_lengths().to_numpy() > 0
+        state[twice] = np.where(state[twice] > 0, 2, 0)
         row, first, last = _runs(state)
+        size = others.value_lengths().to_numpy()[row]
+        start = others.offsets.to_numpy()[row]
+        again = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+        place_of = np.concatenate([place[row], others.values.to_numpy()[again]])
+        row, first, last = (np.concatenate([x, np.repeat(x, size)]) for x in (row, first, last))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h[row]), pa.array(n[row]), pa.array(place[row] - last), pa.array(place[row] - first + length),
+            [pa.array(h[row]), pa.array(n[row]), pa.array(place_of - last), pa.array(place_of - first + length),
              pa.nulls(len(row), pa.binary())], names=["h", "n", "start", "stop", "window"])
         # The first and the last gram may go on in the neighbouring buckets: their windows go there, equal ones once.
         lead = [r[:gram] for r in right]
@@ -238,16 +248,19 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 data = batch.column("text")[i].as_py().encode()
                 spots = batch.column("places")[i].as_py()
                 h, n = batch.column("h")[i].as_py(), batch.column("n")[i].as_py()
-                left = [data[s["place"] - s["far"] : s["place"]] for s in spots]
-                right = [data[s["place"] : s["place"] - s["near"] + length] for s in spots]
+                own: dict[tuple, list[int]] = {}  # a text with a period holds the same suffix at many places
+                for s in spots:
+                    at = s["place"]
+                    own.setdefault((s["near"], s["far"], data[at - s["far"] : at - s["near"] + length]), []).append(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([h] * len(spots)), pa.array([n] * len(spots)), pa.array([s["place"] for s in spots]),
-                     pa.array([s["near"] for s in spots], pa.int16()), pa.array([s["far"] for s in spots], pa.int16()),
-                     pa.array(left, pa.binary()), pa.array(right, pa.binary())],
-                    names=["h", "n", "place", "near", "far", "left", "right"])
+                    [pa.array([h] * len(own)), pa.array([n] * len(own)), pa.array([v[0] for v in own.values()], pa.int64()),
+                     pa.array([k[0] for k in own], pa.int16()), pa.array([k[1] for k in own], pa.int16()),
+                     pa.array([k[2][: k[1]] for k in own], pa.binary()), pa.array([k[2][k[1] :] for k in own], pa.binary()),
+                     pa.array([v[1:] for v in own.values()], pa.list_(pa.int64()))],
+                    names=["h", "n", "place", "near", "far", "left", "right", "others"])
 
     suffixes = written(source.mapInArrow(
-        carry, "h long, n long, place long, near short, far short, left binary, right binary"), "suffixes")
+        carry, "h long, n long, place long, near short, far short, left binary, right binary, others array<long>"), "suffixes")
     bucketed = suffixes.repartitionByRange(F.substring("right", 1, gram), F.xxhash64("h", "n", "place"))
     found = written(bucketed.mapInArrow(_sort_bucket(length, gram), "h long, n long, start long, stop long, window binary"),
                     "spans")
@@ -264,9 +277,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else in the table, in the same text
     too; strings are judged on the input and never cross documents. So every copy of a repeated string goes. A null
     text is empty. Rows with equal texts are copies of each other and lose everything if long enough. Other columns
-    pass through, an empty table gives an empty result.
+    pass through (those named n_bytes, kept or spans are replaced); an empty table gives an empty result.
     """
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, "n_bytes", "kept", "spans")]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.xxhash64(body).alias("h"),
                         F.octet_length(body).cast("long").alias("n"), body.alias("text"))
