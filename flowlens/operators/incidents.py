@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,13 +102,24 @@ def incidents(
 def embed(events: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     """A normalised hashed bag of words of the one-line summary, as ``embedding`` (array of float).
 
-    Stands in for a sentence encoder, which would be an Arrow UDF over ``summary``.
+    A word's place is its :func:`text_hash` modulo ``dimensions``. Stands in for a sentence encoder, which would
+    be such an Arrow UDF over ``summary`` too.
     """
-    from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-
-    text = events.withColumn("summary", summary_text())
-    words = RegexTokenizer(inputCol="summary", outputCol="_words", pattern=r"\s+").transform(text)
-    counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimensions).transform(words)
-    unit = Normalizer(inputCol="_counts", outputCol="_unit").transform(counts)
-    return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_words", "_counts", "_unit")
+    @F.arrow_udf("array<float>")
+    def bag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        places: dict[str, int] = {}
+        for batch in batches:
+            if len(places) > 1_000_000:
+                places.clear()
+            rows = np.zeros((len(batch), dimensions))
+            for row, text in zip(rows, batch.to_pylist()):
+                for word in (text or "").lower().split():
+                    if word not in places:
+                        places[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimensions
+                    row[places[word]] += 1
+            norm = np.linalg.norm(rows, axis=1, keepdims=True)
+            unit = np.divide(rows, norm, out=rows, where=norm > 0).astype(np.float32)
+            offsets = np.arange(len(batch) + 1, dtype=np.int32) * dimensions
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit.ravel()))
+
+    return events.withColumn("summary", summary_text()).withColumn("embedding", bag("summary"))

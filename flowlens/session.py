@@ -59,9 +59,23 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's own folder below the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/flowlens-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's folder; :func:`remove_scratch` removes them all."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove the application's intermediate tables. DataFrames that read them are of no use afterwards.
+
+    For the end of a job, before the session is stopped, and between jobs whose results are stored elsewhere.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ from flowlens.suite.monitoring import NOW
 from flowlens.suite.registry import query, register
 from flowlens.suite.requests import rounded
 from flowlens.suite.scoring import _AUDIT, _CLASSIFIED, _EVENTS, opened
-from flowlens.suite.views import Views
+from flowlens.suite.views import Views, _hash
 
 _FLOW_COLUMNS = ", ".join(f.name for f in FLOWS.fields)
 MID_MONTH = dt.datetime(2024, 1, 15)
@@ -267,7 +267,17 @@ def _meter_stream(v: Views):
         F.col("bidirectional_bytes").alias("bytes"))
 
 
-register("e1_embedding", lambda v: incidents.embed(v.security_events).select("flow_id", "summary", "embedding"))
+_SUMMARY = ("concat_ws(' ', label, 'flow from', src_ip || ':' || src_port, 'to', dst_ip || ':' || dst_port, 'protocol', "
+            "protocol, 'packets', bidirectional_packets, 'bytes', bidirectional_bytes, 'duration_ms', "
+            "bidirectional_duration_ms)")
+register("e1_embedding",
+         lambda v: incidents.embed(v.security_events).select("flow_id", "summary", F.posexplode("embedding").alias("place", "x"))
+         .filter("x <> 0").select("flow_id", "summary", "place", F.round(F.col("x").cast("double"), 5).alias("x")),
+         f"""
+WITH said AS (SELECT flow_id, {_SUMMARY} AS summary FROM security_events),
+word AS (SELECT flow_id, summary, unnest(string_split_regex(lower(summary), '\\s+')) AS w FROM said),
+n AS (SELECT flow_id, summary, cast({_hash("w")} % 384 AS int) AS place, count(*) AS n FROM word GROUP BY ALL)
+SELECT flow_id, summary, place, round(n / sqrt(sum(n * n) OVER (PARTITION BY flow_id)), 5) AS x FROM n""")
 
 
 @query("e3_incident_stream")

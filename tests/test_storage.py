@@ -300,3 +300,18 @@ def test_page_ends_inside_a_second(spark, views):
         got = sorted(map(tuple, cursor.page(rows, start, n).select("collected_at", "flow_id").collect()))
         end = order[min(n, len(order)) - 1]
         assert got == [k for k in order if k <= end]
+
+
+def test_scratch_is_removed(spark, views, tmp_path):
+    """Intermediate tables lie in the application's own folder, and nothing of them stays."""
+    import os
+
+    from flowlens import session
+
+    own = session.scratch_root(spark)
+    kept = session.written(views.flows.limit(5), "some")
+    assert kept.count() == 5 and os.listdir(own)
+    mine = session.scratch_path(spark, "other")
+    assert mine.startswith(own + "/")
+    session.remove_scratch(spark)
+    assert not os.path.exists(own)
