@@ -63,7 +63,6 @@ class Encoder:
         quiet_tokenizers()
         self.sentencepiece = path.endswith(".model")
         self.by_pieces = False
-        self.added: list[str] = []
         if self.sentencepiece:
             import sentencepiece
 
@@ -73,7 +72,8 @@ class Encoder:
 
             self.library = Tokenizer.from_file(path)
             self.bpe = self.library.model
-            self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+            added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+            self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
             with open(path, encoding="utf-8") as f:
                 kind = json.load(f)
             # Only this pre-tokenizer is known to cut where pieces() does; other files are encoded text by text.
@@ -92,15 +92,20 @@ class Encoder:
                 yield array("I", e.ids).tobytes()
 
     def _one(self, piece: str) -> bytes:
-        if any(t in piece for t in self.added):
+        if self.added.search(piece):
             return next(self.whole([piece]))
-        words, out = self.words, b""
-        for word in PRE_TOKEN.findall(piece):
-            ids = words.get(word)
-            if ids is None:
-                ids = words[word] = array("I", [t.id for t in self.bpe.tokenize(shown(word))]).tobytes()
-            out += ids
-        return out
+        body = piece[1:] if piece[:1] == " " else piece
+        if body.isalpha():  # the common pieces: a word, or a word and one mark
+            return self._word(piece)
+        if body[-1:] in (",", ".") and body[:-1].isalpha():
+            return self._word(piece[:-1]) + self._word(piece[-1])
+        return b"".join(map(self._word, PRE_TOKEN.findall(piece)))
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.words[word] = array("I", [t.id for t in self.bpe.tokenize(shown(word))]).tobytes()
+        return ids
 
     def learn(self, new: Iterable[str]) -> None:
         """Remember these pieces; None marks one that only a more careful cut can give."""
@@ -159,6 +164,10 @@ BYTE_OF = {c: b for b, c in STAND_IN.items()}
 
 
 def shown(word: str) -> str:
+    if word.isascii() and word.isalpha():
+        return word
+    if word[0] == " " and word.isascii() and word[1:].isalpha():
+        return "Ġ" + word[1:]
     return word.encode().decode("latin-1").translate(STAND_IN)
 
 
