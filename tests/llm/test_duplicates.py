@@ -118,6 +118,50 @@ def test_similar_documents(awkward):
     assert set(range(14, 18)) <= set(named)  # a long passage in common is no near copy
 
 
+def edited_texts():
+    """Short texts with a word more, texts with a word replaced, phrases repeated: pairs near the similarity on both sides."""
+    rng = np.random.default_rng(6)
+
+    def words(n):
+        return ["".join(rng.choice(list("aeiostrn"), 6)) for _ in range(n)]
+
+    texts = []
+    for n in (8, 9, 10, 12) * 20:
+        base = words(n)
+        texts += [base, base + words(1)]
+    for n in (30, 40, 50, 60, 68, 72, 80) * 20:
+        base = words(n)
+        changed = list(base)
+        changed[int(rng.integers(5, n - 5))] = "changed"
+        texts += [base, changed]
+    for _ in range(20):
+        base = words(10)
+        texts += [base * 20, base * 21]
+    for n, more in ((100, 20), (100, 30), (200, 45), (200, 55), (400, 95), (400, 110)) * 8:  # 0.76 to 0.84
+        base = words(n)
+        texts += [base, base + words(more)]
+    return [" ".join(t) for t in texts]
+
+
+def exact_components(texts, similarity=0.8):
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))})
+    return smallest_ids(list(range(len(texts))), [
+        (i, j) for i in range(len(sets)) for j in range(i) if jaccard(sets[i], sets[j]) >= similarity])
+
+
+def test_similar_pairs_are_found(spark):
+    """Every pair of 0.8 or more is together, however its few shared shingles lie."""
+    texts = edited_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in simhash_pivots.similar_documents(df).collect()}
+    want = exact_components(texts)
+    assert sum(w != i for i, w in enumerate(want)) > 150
+    assert [i for i, w in enumerate(want) if w != i and found[i] == i] == []
+
+
 # ------------------------------------------------------------------ long repeated strings
 
 
