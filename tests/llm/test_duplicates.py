@@ -162,6 +162,30 @@ def test_similar_pairs_are_found(spark):
     assert [i for i, w in enumerate(want) if w != i and found[i] == i] == []
 
 
+def test_less_similar_pairs_stay_apart(spark):
+    """Pairs just below 0.8 are not joined."""
+    texts = edited_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in simhash_pivots.similar_documents(df).collect()}
+    want = exact_components(texts)
+    assert [i for i, w in enumerate(want) if w == i and found[i] != i] == []
+
+
+def test_similar_sets_in_split_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash_pivots, "BUCKET", 8)
+    rng = np.random.default_rng(8)
+    base = ["".join(rng.choice(list("aeiostrn"), 6)) for _ in range(90)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for at in rng.choice(90, int(rng.integers(1, 5)), replace=False):
+            words[at] = "".join(rng.choice(list("aeiostrn"), 6))
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in simhash_pivots.similar_documents(df).collect()}
+    assert [found[i] for i in range(len(texts))] == exact_components(texts)
+
+
 # ------------------------------------------------------------------ long repeated strings
 
 
