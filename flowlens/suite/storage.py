@@ -229,17 +229,17 @@ register("t12_counters_stream", lambda v: _final(v, running_counters(v.flows_of(
 def _late_rows(v: Views):
     """Newer flows first, then the older half: windows that the watermark has passed are out and lose late rows."""
     source = scratch_path(v.spark, "late")
-    v.flows.filter(F.col("collected_at") >= F.lit(MID_MONTH)).coalesce(1).write.parquet(source)
+    v.flows.filter(F.col("collected_at") >= F.lit(MID_MONTH)).write.parquet(source)
     out, mark = scratch_path(v.spark, "late-out"), scratch_path(v.spark, "late-mark")
 
     def run():
-        stream = v.spark.readStream.schema(FLOWS).option("maxFilesPerTrigger", 1).parquet(source)
+        stream = v.spark.readStream.schema(FLOWS).parquet(source)
         rates = windows.rate_per_minute(stream, "collected_at", late="2 days").select("window_start", "per_minute")
         rates.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(
             availableNow=True).start().awaitTermination()
 
     run()
-    v.flows.filter(F.col("collected_at") < F.lit(MID_MONTH)).coalesce(1).write.mode("append").parquet(source)
+    v.flows.filter(F.col("collected_at") < F.lit(MID_MONTH)).write.mode("append").parquet(source)
     run()
     return v.spark.read.parquet(out)
 

@@ -315,3 +315,24 @@ def test_scratch_is_removed(spark, views, tmp_path):
     assert mine.startswith(own + "/")
     session.remove_scratch(spark)
     assert not os.path.exists(own)
+
+
+def test_late_rows_are_written_by_many_tasks(views, spark, monkeypatch):
+    """Each half of the flows is written as it is dealt, not by one task."""
+    from flowlens.session import scratch_path
+    from flowlens.suite import storage as suite
+
+    paths = {}
+
+    def scratch(session, name):
+        return paths.setdefault(name, scratch_path(session, name))
+
+    monkeypatch.setattr(suite, "scratch_path", scratch)
+
+    class Dealt:
+        flows = views.flows.repartition(4)
+
+    Dealt.spark = spark
+    suite._late_rows(Dealt).collect()
+    files = spark.read.parquet(paths["late"]).inputFiles()
+    assert len(files) == 8
