@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.llm import bitmask_codes, licenses
 from flowlens.llm.common import crc32_mod, read_table
 from flowlens.llm.embedding_cells import near_embeddings
 from flowlens.llm.fingerprints import edited_fingerprints, with_neighbours
+from flowlens.llm.hard_negatives import SQL as MINING_SQL
+from flowlens.llm.hard_negatives import hard_negatives
 from flowlens.llm.langid import learn, predict
 from flowlens.llm.line_templates import SQL as LINE_SQL
 from flowlens.llm.line_templates import without_recurring_lines
@@ -78,6 +81,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents")).drop("spans", "whole")
+
+
+def op13_bitmask_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitmask_codes.compressed(read_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces that the corpus pipeline ends with."""
     import corpus_pipeline
@@ -87,10 +104,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash_near_dedup, op2_suffix_dedup, op3_embedding_near_dedup, op4_source_mix, op5_language_id, op6_fingerprints,
-                              op7_line_templates, op8_curve_packing, op9_token_counts, op10_quality, pipeline)
+                              op7_line_templates, op8_curve_packing, op9_token_counts, op10_quality, op11_hard_negatives,
+                              op12_license_scan, op13_bitmask_codes, pipeline)
 }
 
-SQL: dict[str, str] = {"op7_line_templates": LINE_SQL}
+SQL: dict[str, str] = {"op7_line_templates": LINE_SQL, "op11_hard_negatives": MINING_SQL,
+                        "op12_license_scan": licenses.sql(), "op13_bitmask_codes": bitmask_codes.sql()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
