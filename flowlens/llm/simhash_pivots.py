@@ -4,12 +4,11 @@ Every fingerprint gets its Hamming distances to fixed reference fingerprints. Tw
 have distances to any reference that differ by r at most, so a pair with a larger difference anywhere is discarded
 unseen, and the bits of the survivors are compared.
 
-Some references make the tables a join key. For the reference with just the bits of block b set, the distance minus
-that to the all-zero reference depends on block b alone, and it changes only where a bit of the block does. Of the 32
-blocks at most r differ then. With the blocks in r + 2 groups, at least two whole groups of table entries agree, and
-the entries of each pair of groups are a bucket key that a linked pair shares. Inside a bucket the other references
-discard pairs. Buckets of any size are cut into blocks that meet pairwise in different tasks; what leaves a task is a
-forest of links, never all pairs.
+Some references make the tables a join key. For the reference with bit b alone set, the distance minus that to the
+all-zero reference is 1 or -1 and tells the bit. At most r of these 64 table entries differ in a linked pair. With the
+entries in r + 3 groups, at least three whole groups agree, and the entries of any three groups are a bucket key, of 32
+bits for r = 3. Inside a bucket the other references discard pairs. Buckets of any size are cut into blocks that meet
+pairwise in different tasks; what leaves a task is a forest of links, never all pairs.
 """
 
 from __future__ import annotations
@@ -29,8 +28,8 @@ from flowlens.session import written
 
 RADIUS = 3
 SHINGLE = 3
-#: References beside those of the blocks.
-MORE_PIVOTS = 24
+#: References beside those of single bits; groups of table entries that a bucket key takes.
+MORE_PIVOTS, AGREE = 24, 3
 #: Distinct fingerprints of a bucket that one task compares with as many others.
 BUCKET = 4096
 #: Rows, and pairs, that a task looks at together.
@@ -64,15 +63,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
     return chosen.mapInArrow(run, chosen.select("doc_id", F.lit(0).cast("long").alias("bits")).schema)
 
 
-def block_pivots() -> np.ndarray:
-    """The all-zero reference, then one for each block of two bits."""
-    return np.array([0] + [3 << (2 * b) for b in range(32)], dtype=np.uint64)
+def bit_pivots() -> np.ndarray:
+    """The all-zero reference, then one for each bit."""
+    return np.array([0] + [1 << b for b in range(64)], dtype=np.uint64)
 
 
 def pivots(more: int = MORE_PIVOTS) -> np.ndarray:
-    """Fixed references with random bits, then those of the blocks."""
-    random = np.random.Generator(np.random.PCG64(64)).integers(0, 1 << 64, more, dtype=np.uint64)
-    return np.concatenate([random, block_pivots()])
+    """Fixed references with random bits."""
+    return np.random.Generator(np.random.PCG64(64)).integers(0, 1 << 64, more, dtype=np.uint64)
 
 
 def distance_table(bits: np.ndarray, references: np.ndarray) -> np.ndarray:
@@ -89,18 +87,17 @@ def differing(bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(words[i, w] ^ words[j, w]).astype(np.int16) for w in range(words.shape[1]))
 
 
-def bucket_keys(bits: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """One key per pair of block groups, from the table entries of the groups."""
-    table = distance_table(bits, block_pivots())
-    own = ((table[:, 1:] - table[:, :1] + 2) // 2).astype(np.uint64)  # 0, 1 or 2 for each block
-    groups = np.array_split(np.arange(own.shape[1]), radius + 2)
+def bucket_keys(bits: np.ndarray, radius: int = RADIUS, agree: int = AGREE) -> np.ndarray:
+    """One key for every ``agree`` of the groups of entries that tables of the single-bit references have."""
+    table = distance_table(bits, bit_pivots())
+    own = ((table[:, :1] + 1 - table[:, 1:]) // 2).astype(np.uint64)  # 0 or 1 for each bit
+    groups = np.array_split(np.arange(own.shape[1]), radius + agree)
     keys = []
-    for number, pair in enumerate(combinations(groups, 2)):
-        at = np.concatenate(pair)
-        key = np.full(len(bits), number + 1, dtype=np.uint64)
-        for b in at:
-            key = key * np.uint64(3) + own[:, b]  # 32 blocks at most: stays below 2**63
-        keys.append(key)
+    for number, chosen in enumerate(combinations(groups, agree)):
+        key = np.zeros(len(bits), dtype=np.uint64)
+        for b in np.concatenate(chosen):
+            key = (key << np.uint64(1)) | own[:, b]
+        keys.append(key ^ np.uint64(number << 57))  # 48 bits at most, but for radius 0 with its single key of 64
     return np.stack(keys, axis=1).view(np.int64)
 
 
@@ -206,252 +203,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
         "class_id", "class_size")
 
 
-# --------------------------------------------------------------------------- similarity of shingle sets
-
-#: Words of a sketch, shingle size and similarity for whole texts.
-SKETCH_WORDS, LONG_SHINGLE, SIMILARITY = 16, 5, 0.8
-#: One shingle in so many comes first in the order of keys, where the rarest come first.
-FIRST = 3
-#: Shingles of a group of texts that one task holds of either side, and those that a task looks at together.
-BLOCK, SHINGLES = 2_000_000, 1_000_000
-
-
-def shingles(text: str | None, shingle: int = LONG_SHINGLE) -> np.ndarray:
-    """Hashes of the distinct word shingles of ``text`` in order; none without words, one for fewer words than a shingle."""
-    split = (text or "").encode().lower().split()
-    if not split:
-        return np.empty(0, dtype=np.uint64)
-    runs = [b" ".join(split)] if len(split) < shingle else map(b" ".join, zip(*(split[k:] for k in range(shingle))))
-    n = max(1, len(split) - shingle + 1)
-    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), runs), dtype=np.uint64, count=n))
-
-
-def prefix_keys(found: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, int]:
-    """The shingles of a set that can be among its first ones, and how many of these are not.
-
-    All sets have one order of shingles: those of a remainder first, by rarity, then the others by hash. Sets of the
-    similarity share at least ``similarity`` of either's shingles, hence one of the first n - ceil(similarity * n) + 1.
-    """
-    n = len(found)
-    if not n:
-        return found, 0
-    most = n - int(np.ceil(similarity * n - 1e-9)) + 1
-    early = found % np.uint64(FIRST) == 0
-    keys = found[early]
-    if len(keys) < most:
-        keys = np.concatenate([keys, found[~early][: most - len(keys)]])
-    return keys, len(keys) - most
-
-
-def sketch(found: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
-    """Parities of the numbers of shingles in 64 * ``words`` bins: two differ in no more bits than the sets in shingles."""
-    odd = np.bincount((found >> np.uint64(20)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
-
-
-def similar_sets(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two arrays of distinct shingles have the Jaccard similarity."""
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
-
-
-def checked(label: np.ndarray, i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """``label`` after linking those of the pairs that are similar; pairs that others have joined need no look."""
-    most = 1
-    while True:
-        apart = label[i] != label[j]
-        i, j = i[apart], j[apart]
-        if not len(i):
-            return label
-        order = np.argsort(label[i], kind="stable")
-        i, j = i[order], j[order]
-        group = label[i]
-        now = np.arange(len(i)) - np.searchsorted(group, group) < most  # so many pairs of each group, then twice as many
-        a, b = i[now], j[now]
-        found = np.fromiter((similar_sets(sets[x], sets[y], similarity) for x, y in zip(a, b)), dtype=bool, count=len(a))
-        label = join_labels(label, a[found], b[found])
-        i, j = i[~now], j[~now]
-        most *= 2
-
-
-def set_labels(run: np.ndarray, size: np.ndarray, prints: np.ndarray, similarity: float,
-               sets: list[np.ndarray] | None = None) -> np.ndarray:
-    """Smallest companion of each row among those of equal ``run``, linked if sizes and sketches allow the similarity.
-
-    No similar pair is lost: its sizes differ by the similarity at most, and its sketches by the shingles of one alone.
-    With ``sets`` only similar pairs are linked.
-    """
-    label = np.arange(len(run))
-    order = np.lexsort((size, run))
-    wide = int(size.max()) + 1
-    largest = np.minimum(np.floor(size[order] / similarity + 1e-9).astype(np.int64), wide - 1)
-    stop = np.searchsorted(run[order] * wide + size[order], run[order] * wide + largest, side="right")
-    width = stop - np.arange(len(order)) - 1
-    total = np.concatenate([[0], np.cumsum(width)])
-    begin = 0
-    while begin < len(order):
-        end = max(begin + 1, int(np.searchsorted(total, total[begin] + PAIRS, side="right")) - 1)
-        n = width[begin:end]
-        i = np.repeat(np.arange(begin, end), n)
-        j = i + 1 + np.arange(len(i)) - np.repeat(total[begin:end] - total[begin], n)
-        i, j = order[i], order[j]
-        apart = label[i] != label[j]
-        i, j = i[apart], j[apart]
-        bits = np.zeros(len(i), dtype=np.int64)
-        for word in range(prints.shape[1]):
-            bits += np.bitwise_count(prints[i, word] ^ prints[j, word])
-            if word % 4 == 3:
-                near = bits <= (size[i] + size[j]) * ((1 - similarity) / (1 + similarity)) + 1e-9
-                i, j, bits = i[near], j[near], bits[near]
-        label = join_labels(label, i, j) if sets is None else checked(label, i, j, sets, similarity)
-        begin = end
-    return label
-
-
-def met(rows: DataFrame, parts: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """``rows`` (key, node) dealt to the pairs (lo, hi) of the blocks that ``parts`` (key, parts) cuts keys into.
-
-    ``more`` has the other columns of a node; they join late and move once.
-    """
-    named = rows.columns[1:]
-    rows = rows.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *named)
-    if more is not None:
-        rows = rows.join(more, "node").select("key", "lo", "hi", "node", *[c for c in more.columns if c != "node"])
-    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-
-
-def set_links(dealt: DataFrame, similarity: float, words: int | None = None) -> DataFrame:
-    """Forests (a, b) that connect the nodes that meet.
-
-    With ``words`` the rows hold size and sketch and pairs that may be similar are linked; without it they hold the sets.
-    """
-
-    def forest(batch: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
-        new = np.concatenate([[True], (at[1:] != at[:-1]).any(axis=1)])
-        node = batch.column("node").to_numpy()
-        if words is None:
-            packed = batch.column("found")
-            sets = [np.frombuffer(b.as_buffer(), dtype="<u8") for b in packed]
-            size = np.array([len(s) for s in sets], dtype=np.int64)
-            prints = np.stack([sketch(s) for s in sets])
-        else:
-            sets, size = None, batch.column("size").to_numpy().astype(np.int64)
-            prints = np.stack([batch.column(f"w{k}").to_numpy() for k in range(words)], axis=1).view(np.uint64)
-        label = set_labels(np.cumsum(new), size, prints, similarity, sets)
-        edge = np.unique(np.stack([node, node[label]], axis=1)[label != np.arange(len(node))], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(edge[:, 0].copy()), pa.array(edge[:, 1].copy())], ["a", "b"])
-
-    def places(batch: pa.RecordBatch) -> np.ndarray:
-        return np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "lo", "hi")], axis=1)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-        held = 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            kept.append(batch)
-            held += batch.nbytes
-            if held >= 8 * SHINGLES:  # all but the last key and blocks, which may go on
-                rows = pa.concat_batches(kept)
-                at = places(rows)
-                last = int(np.flatnonzero((at == at[-1]).all(axis=1))[0])
-                if last:
-                    yield forest(rows.slice(0, last), at[:last])
-                kept = [rows.slice(last)]
-                held = kept[0].nbytes if last else 0  # one meeting that is larger: look again after as much more
-        if kept:
-            rows = pa.concat_batches(kept)
-            yield forest(rows, places(rows))
-
-    return dealt.mapInArrow(meet, "a long, b long")
-
-
-def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text: str = "text",
-                      shingle: int = LONG_SHINGLE, words: int = SKETCH_WORDS) -> DataFrame:
-    """For each row of ``docs``: ``id_col`` and component_id, the smallest id that links of ``similarity`` reach.
-
-    Equal texts are one class. Different texts are linked if the sets of their word shingles have a Jaccard similarity
-    of ``similarity`` or more: exact, but for equal hashes. Two such texts share one of the shingles that come first in
-    either. Those that do meet in its bucket, where sizes and sketches rule pairs out; what is left connects groups, and
-    inside a group the sets of all pairs that are not yet joined are compared. Texts without words are linked with equal
-    texts only. A null text counts as empty, a null id names no class, repeated rows are rows of one class; other columns
-    play no part, and an empty table gives an empty result.
-    """
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    rows = rows.withColumn("md5", F.md5("text"))
-    classes = rows.groupBy("md5").agg(F.min("doc_id").alias("first_id"), F.first("text").alias("text"))
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "text-classes")
-
-    def first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            sizes = [len(k) for _, k, _ in kept]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([k for _, k, _ in kept]).view(np.int64)),
-                 pa.array(np.repeat(np.array([n for n, _, _ in kept], dtype=np.int64), sizes)),
-                 pa.array(np.repeat(np.array([s for _, _, s in kept], dtype=np.int32), sizes))], ["key", "node", "spare"])
-
-        for batch in batches:
-            kept, held = [], 0
-            for node, t in zip(batch.column("node").to_pylist(), batch.column("text")):
-                keys, spare = prefix_keys(shingles(t.as_py(), shingle), similarity)
-                kept.append((node, keys, spare))
-                held += len(keys)
-                if held >= SHINGLES:
-                    yield out()
-                    kept, held = [], 0
-            if kept:
-                yield out()
-
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t.as_py(), shingle) for t in batch.column("text")]
-            if not sets:
-                continue
-            bits = np.stack([sketch(s, words) for s in sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([len(s) for s in sets], pa.int32())] + [
-                    pa.array(bits[:, k].copy()) for k in range(words)], ["node", "size", *longs])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.slice(k, 256)
-                sets = [shingles(t.as_py(), shingle).tobytes() for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("node"), pa.array(sets, pa.binary())],
-                                                 ["key", "node", "found"])
-
-    longs = [f"w{k}" for k in range(words)]
-    part = classes.select("node", "text").mapInArrow(first_keys, "key long, node long, spare int")
-    shared = part.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
-    # Shingles of one text alone come first in order of rarity; the rest of a text's first ones are these.
-    held = part.join(shared, "key").groupBy("node", "spare").agg(F.sort_array(F.collect_list(F.struct("texts", "key"))).alias("held"))
-    first = held.filter(F.size("held") > F.col("spare")).select(
-        "node", F.explode(F.slice("held", F.lit(1), F.size("held") - F.col("spare"))).alias("p"))
-    first = written(first.select("p.key", "node"), "first-shingles")
-    prints = classes.join(first.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(
-        sketches, ", ".join(["node long", "size int", *[f"{c} long" for c in longs]]))
-    parts = first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
-        "key", F.ceil(F.col("n") / F.lit(BUCKET)).cast("int").alias("parts"))
-    possible = components(set_links(met(first, parts, prints), similarity, words))
-    possible = possible.unionByName(possible.select(F.col("root").alias("node"), "root").distinct())  # a root hangs on none
-    sets = classes.select("node", "text").join(possible.withColumnRenamed("root", "key"), "node").select("key", "node", "text")
-    sets = written(sets.mapInArrow(packed, "key long, node long, found binary"), "shingle-sets")
-    parts = sets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("found")).alias("size")).select(
-        "key", F.ceil(F.greatest(F.col("n") / F.lit(BUCKET), F.col("size") / F.lit(8 * BLOCK))).cast("int").alias("parts"))
-    found = components(set_links(met(sets, parts), similarity))
-    known = classes.select("md5", "first_id", F.col("node").alias("own")).join(
-        found, F.col("own") == F.col("node"), "left").withColumn("root", F.coalesce("root", "own"))
-    smallest = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.select("doc_id", "md5").join(known.join(smallest, "root").select("md5", "component_id"), "md5").select(
-        F.col("doc_id").alias(id_col), "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with the document of the smallest id of each group of similar ones, once, and all rows without an id."""
-    found = similar_documents(docs, id_col=id_col, **options)
+def one_of_each(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text: str = "text",
+                shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with the document of the smallest id of each component, once, and all rows without an id."""
+    found = near_duplicates(docs, radius, id_col, text, shingle)
     keep = written(found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(
         F.count(F.lit(1)).alias("rows_of_id")), "kept")
     named = docs.join(keep.select(id_col), id_col, "left_semi")
