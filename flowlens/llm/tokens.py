@@ -79,7 +79,7 @@ class Encoder:
             # Only this pre-tokenizer is known to cut where pieces() does; other files are encoded text by text.
             self.by_pieces = (kind.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not kind.get("normalizer")
         self.most = memo
-        self.memo: dict[str, bytes | None] = {}
+        self.memo: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> Iterator[bytes]:
@@ -108,12 +108,12 @@ class Encoder:
         return ids
 
     def learn(self, new: Iterable[str]) -> None:
-        """Remember these pieces; None marks one that only a more careful cut can give."""
+        """Remember these pieces, and only them once the memo is full."""
         if len(self.memo) > self.most:
             self.memo.clear()
             self.words.clear()
         for piece in new:
-            self.memo[piece] = None if ragged(piece) else self._one(piece)
+            self.memo[piece] = self._one(piece)
 
     def split(self, texts: list[str]) -> list[list[str]]:
         """The pieces of each text, all of them known to ``memo`` afterwards."""
@@ -122,17 +122,16 @@ class Encoder:
             return [[t] for t in texts]
         split = [quick_pieces(t) for t in texts]
         found = set(chain.from_iterable(split))
-        if len(self.memo) > self.most:
-            self.learn(found)
-        else:
-            self.learn(found.difference(self.memo))
+        # Not a matter of the memo, which may know the same string as a piece of a careful cut.
+        ragged_now = {p for p in found if ragged(p)}
+        found -= ragged_now
+        self.learn(found if len(self.memo) > self.most else found.difference(self.memo))
         known = self.memo
-        ragged_now = {p for p in found if known[p] is None}
         for i, text in enumerate(texts):
             if "\x01" in text or not ragged_now.isdisjoint(split[i]):
                 split[i] = _CUT.split(text) if text else []
                 for p in split[i]:
-                    if known.get(p) is None:
+                    if p not in known:
                         known[p] = self._one(p)
         return split
 
