@@ -15,6 +15,11 @@ def text_hash(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+def text_id(text: Column) -> Column:
+    """The first 60 bits of the md5 of ``text`` as a bigint; any engine can repeat it."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def label_index(flow_id: Column, n_labels: int) -> Column:
     """deterministic class index."""
     return (text_hash(F.concat(flow_id, F.lit(":label"))) % n_labels).cast("int")

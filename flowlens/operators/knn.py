@@ -11,7 +11,8 @@ result does not depend on cells or partitions.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.plans.olap import apply_filters
-from flowlens.session import written
+from flowlens.session import scratch_path, written
 
 DEFAULT_K = 5
 METRICS = ("cosine", "l2", "ip")
@@ -29,7 +30,7 @@ CELL_ROWS, MOST_CELLS, SAMPLE = 4_000, 1024, 20_000
 #: Rows of either side that one task multiplies at a time.
 BLOCK_ROWS = 4_096
 PRODUCT_CELLS = 2_000_000
-_SLACK = 2e-6
+SLACK = 2e-6
 
 
 def matrix(vectors: pa.Array | pa.ChunkedArray, width: int | None = None) -> np.ndarray:
@@ -125,14 +126,14 @@ def _rank(candidates: DataFrame, k: int, id_col: str) -> DataFrame:
 
 
 def _visits(queries: DataFrame, vector: str, choose) -> DataFrame:
-    """One row per query and cell that ``choose(matrix, bounds)`` (a boolean matrix) says it visits."""
+    """One row per query and cell that ``choose(matrix, batch)`` (a boolean matrix) says it visits."""
     schema = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), 1024):
                 part = batch.slice(start, 1024)
-                row, cell = np.nonzero(choose(matrix(part.column(vector)), part.column("bound").to_numpy()))
+                row, cell = np.nonzero(choose(matrix(part.column(vector)), part))
                 chosen = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(cell.astype(np.int32))],
                                                  names=[*part.schema.names, "cell"])
@@ -140,14 +141,18 @@ def _visits(queries: DataFrame, vector: str, choose) -> DataFrame:
     return queries.mapInArrow(run, schema)
 
 
-def _search(visits: DataFrame, base: DataFrame, sizes: dict[int, int], task, schema: T.StructType, id_col: str,
-            block_rows: int) -> DataFrame:
-    """Queries meet the base rows of their cells, block by block. Collects the number of visits per cell."""
+def _search(visits: DataFrame, base: DataFrame | Callable[[list[int]], DataFrame], sizes: dict[int, int], task,
+            schema: T.StructType, id_col: str, block_rows: int) -> DataFrame:
+    """Queries meet the base rows of their cells, block by block. Collects the number of visits per cell.
+
+    ``base`` may be a function that reads the rows of the cells it is given.
+    """
     asked = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
-    spark = base.sparkSession
+    spark = visits.sparkSession
     rows = [(c, math.ceil(sizes[c] / block_rows), math.ceil(n / block_rows)) for c, n in asked.items() if sizes.get(c)]
     if not rows:
         return spark.createDataFrame([], schema)
+    base = base if isinstance(base, DataFrame) else base(sorted(c for c, _, _ in rows))
     plan = F.broadcast(spark.createDataFrame(rows, "cell int, base_parts int, query_parts int"))  # a row per cell
     # Both sides may be one table: fresh names keep their columns apart.
     visits, base = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (visits, base))
@@ -175,6 +180,7 @@ def knn(
     probes: int | None = None,
     cells: int | None = None,
     block_rows: int = BLOCK_ROWS,
+    tree: bool | None = None,
 ) -> DataFrame:
     """V1: for each query (``query_id``, ``embedding``) the ``k`` nearest base rows.
 
@@ -184,7 +190,9 @@ def knn(
     ``cell``, ``centroids`` and ``probes`` visit only the nearest cells per query (V6).
 
     An exact search places the base in ``cells`` cells itself (by its size when None). Counts, radii and centres
-    of the cells go through the driver, at most MOST_CELLS of them; rows of either side never do.
+    of the cells go through the driver, at most MOST_CELLS of them; rows of either side never do. A base that needs more
+    cells than that (or ``tree``) becomes a tree of cells and leaves instead, whose leaves grow with it, except for the
+    inner product.
     """
     if metric not in METRICS:
         raise ValueError(f"metric {metric!r} is not one of {METRICS}")
@@ -197,8 +205,10 @@ def knn(
         fields = [c for c in base.columns if c not in (id_col, vector)]
     carried = [f for f in fields if f != id_col]
     needed = list(dict.fromkeys([id_col, vector, *carried, *([before] if before else [])]))
-    base = base.filter(F.col(vector).isNotNull())
-    queries = queries.filter(F.col(vector).isNotNull()).select("query_id", vector, *([before] if before else []))
+    base, queries = base.filter(F.col(vector).isNotNull()), queries.filter(F.col(vector).isNotNull())
+    if before:  # a row or query without the value comes before nothing, and nothing before it
+        base, queries = base.filter(F.col(before).isNotNull()), queries.filter(F.col(before).isNotNull())
+    queries = queries.select("query_id", vector, *([before] if before else []))
     queries = queries.withColumn("bound", F.lit(float("inf")))
     types = {f.name: f.dataType for f in base.schema.fields}
     schema = T.StructType(
@@ -214,7 +224,7 @@ def knn(
         sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
         shared = spark.sparkContext.broadcast(centroids)
 
-        def nearest(rows: np.ndarray, _: np.ndarray) -> np.ndarray:
+        def nearest(rows: np.ndarray, _: pa.RecordBatch) -> np.ndarray:
             order = np.argsort(distances(rows, shared.value, metric), axis=1, kind="stable")[:, :probes]
             chosen = np.zeros((len(rows), len(shared.value)), dtype=bool)
             np.put_along_axis(chosen, order, True, axis=1)
@@ -225,6 +235,11 @@ def knn(
 
     base = base.select(*needed)
     n = base.count()
+    if metric != "ip" and n and (n > CELL_ROWS * MOST_CELLS if tree is None else tree):
+        from flowlens.operators.vector_index import build_index, exact_search
+
+        index = build_index(base, scratch_path(spark, "tree"), id_col, vector, metric)
+        return exact_search(index, queries.drop("bound"), k, carried, before)
     cells = max(1, min(MOST_CELLS, cells or math.ceil(n / CELL_ROWS)))
     if cells == 1 or n <= 1:
         found = _search(queries.withColumn("cell", F.lit(0)), base.withColumn("cell", F.lit(0)), {0: n}, task, schema,
@@ -233,35 +248,79 @@ def knn(
 
     centers = _centers(base, cells, vector, metric, id_col)
     placed = written(_placed(base, centers, vector, metric), "cells")
-    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("_radius").alias("r")).collect()
-    sizes = {r["cell"]: r["n"] for r in stats}
-    held, radii = np.zeros(len(centers), dtype=np.int64), np.zeros(len(centers))
-    for r in stats:
-        held[r["cell"]], radii[r["cell"]] = r["n"], r["r"]
-    placed = placed.drop("_radius")
-    shared = spark.sparkContext.broadcast((centers, held, radii))
-
-    def first(rows: np.ndarray, _: np.ndarray) -> np.ndarray:
+    stats = [F.count(F.lit(1)).alias("n"), F.max("_radius").alias("r"), *([F.min(before).alias("least")] if before else [])]
+    known = Cells.of(centers, placed.groupBy("cell").agg(*stats).toArrow())
+    found = search_cells(queries, placed.drop("_radius"), known, k, metric, id_col, vector, carried, schema, before, block_rows)
+    return found.select(*shown)
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Centres of cells, the rows and radius of each, and the least value of a column that searches compare."""
+
+    centers: np.ndarray
+    held: np.ndarray
+    radii: np.ndarray
+    least: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, centers: np.ndarray, stats: pa.Table) -> Cells:
+        """From a table of cell, n, r and perhaps least."""
+        held, radii, cell = np.zeros(len(centers), dtype=np.int64), np.zeros(len(centers)), stats["cell"].to_numpy()
+        held[cell], radii[cell] = stats["n"].to_numpy(), stats["r"].to_numpy()
+        least = None
+        if "least" in stats.column_names and len(cell):
+            values = stats["least"].to_numpy()
+            least = np.full(len(centers), values[0], dtype=values.dtype)
+            least[cell] = values
+        return cls(centers, held, radii, least)
+
+    @property
+    def sizes(self) -> dict[int, int]:
+        return {c: int(n) for c, n in enumerate(self.held) if n}
+
+
+def search_cells(queries: DataFrame, base: DataFrame | Callable[[list[int]], DataFrame], cells: Cells, k: int, metric: str,
+                 id_col: str, vector: str, carried: Sequence[str], schema: T.StructType, before: str | None = None,
+                 block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The exact search over rows placed in cells: query_id, distance, the id, ``carried`` columns, and rank.
+
+    ``queries``: query_id, the vector, ``bound`` and perhaps ``before``. ``base`` has a column cell, or reads cells.
+    """
+    task = _meet(k, metric, id_col, vector, list(carried), before)
+    shared = queries.sparkSession.sparkContext.broadcast(cells)
+
+    def open_cells(known: Cells, batch: pa.RecordBatch) -> np.ndarray:
+        """Cells that hold rows, and with ``before`` rows that come before the query."""
+        some = np.repeat((known.held > 0)[None, :], len(batch), axis=0)
+        if known.least is not None:
+            some &= known.least[None, :] < batch.column(before).to_numpy(zero_copy_only=False)[:, None]
+        return some
+
+    def first(rows: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
         """The nearest cells that hold k vectors together."""
-        centers, held, radii = shared.value
-        order = np.argsort(least_distances(rows, centers, np.zeros_like(radii), metric), axis=1, kind="stable")
-        so_far = np.cumsum(held[order], axis=1) - held[order]
-        chosen = np.zeros((len(rows), len(centers)), dtype=bool)
-        np.put_along_axis(chosen, order, so_far < k, axis=1)
-        return chosen & (held > 0)[None, :]
-
-    def rest(rows: np.ndarray, bound: np.ndarray) -> np.ndarray:
-        centers, held, radii = shared.value
-        near = least_distances(rows, centers, radii, metric) <= bound[:, None] + _SLACK
-        return near & (held > 0)[None, :] & ~first(rows, bound)
-
-    start = written(_rank(_search(_visits(queries, vector, first), placed, sizes, task, schema, id_col, block_rows), k,
+        known = shared.value
+        order = np.argsort(least_distances(rows, known.centers, np.zeros_like(known.radii), metric), axis=1, kind="stable")
+        some = open_cells(known, batch)
+        held = np.take_along_axis(np.where(some, known.held[None, :], 0), order, axis=1)
+        chosen = np.zeros((len(rows), len(known.centers)), dtype=bool)
+        np.put_along_axis(chosen, order, np.cumsum(held, axis=1) - held < k, axis=1)
+        return chosen & some
+
+    def rest(rows: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        known = shared.value
+        bound = batch.column("bound").to_numpy()
+        near = least_distances(rows, known.centers, known.radii, metric) <= bound[:, None] + SLACK
+        return near & open_cells(known, batch) & ~first(rows, batch)
+
+    queries = written(queries, "queries")
+    start = written(_rank(_search(_visits(queries, vector, first), base, cells.sizes, task, schema, id_col, block_rows), k,
                           id_col), "knn").drop("rank")
     known = start.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_d"))
     bounded = queries.drop("bound").join(known, "query_id", "left").withColumn(
         "bound", F.when(F.col("_n") >= k, F.col("_d")).otherwise(F.lit(float("inf")))).select(*queries.columns)
-    more = _search(_visits(bounded, vector, rest), placed, sizes, task, schema, id_col, block_rows)
-    return _rank(start.unionByName(more), k, id_col).select(*shown)
+    more = _search(written(_visits(bounded, vector, rest), "visits"), base, cells.sizes, task, schema, id_col, block_rows)
+    return _rank(start.unionByName(more), k, id_col)
 
 
 def hits(found: DataFrame, id_col: str = "id") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,97 +16,27 @@ from flowlens.plans.request import Filter, RequestError
 #: Fixed value: neighbours of one request at most, unless the server lifts it.
 TOP_K_CAP = 100
 
-_TOKEN = re.compile(r"""\s*(?:(?P<number>-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<text>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')"""
-                    r"""|(?P<mark>==|!=|<=|>=|<|>|&&|\|\||[()\[\],!])|(?P<word>[A-Za-z_]\w*))""")
-_COMPARE = {"==": "eq", "!=": "ne", "<": "lt", "<=": "lte", ">": "gt", ">=": "gte"}
 
+def filter_condition(raw: list | dict, types: dict[str, T.DataType]) -> Column:
+    """The filter of a vector request over columns of these types.
 
-def _tokens(text: str) -> list[tuple[str, object]]:
-    out, at, text = [], 0, text.rstrip()
-    while at < len(text):
-        found = _TOKEN.match(text, at)
-        if not found:
-            raise RequestError(f"filter: cannot read {text[at:at + 20]!r}")
-        at, kind = found.end(), found.lastgroup
-        value = found[kind]
-        if kind == "number":
-            value = float(value) if re.search("[.eE]", value) else int(value)
-        elif kind == "text":
-            value = re.sub(r"\\(.)", r"\1", value[1:-1])
-        elif kind == "word" and value.lower() in ("and", "or", "not", "in", "like", "true", "false"):
-            value = value.lower()
-            kind, value = ("number", value == "true") if value in ("true", "false") else ("mark", value)
-        out.append((kind, {"&&": "and", "||": "or", "!": "not"}.get(value, value) if kind == "mark" else value))
-    return out
-
-
-def filter_expression(text: str, types: dict[str, T.DataType]) -> Column:
-    """A filter such as ``label in ["DoS", "DDoS"] and confidence > 0.9`` over columns of these types.
-
-    Comparisons, ``in``, ``not in`` and ``like`` of a column and literals, with ``and``, ``or``, ``not`` and brackets.
+    A request filter (``field``, ``op``, ``value``, as in a traffic request), a list of filters that must all hold,
+    ``{"any": [...]}`` of which one must hold, or ``{"not": ...}``; these may contain one another.
     """
-    rest = _tokens(text)
-
-    def peek(ahead: int = 0):
-        return rest[ahead] if len(rest) > ahead else ("end", None)
-
-    def take(*marks):
-        if peek()[0] == "mark" and peek()[1] in marks:
-            return rest.pop(0)[1]
-        return None
-
-    def need(mark):
-        if not take(mark):
-            raise RequestError(f"filter: {mark!r} expected, found {peek()[1]!r}")
-
-    def value():
-        if peek()[0] not in ("number", "text"):
-            raise RequestError(f"filter: a value expected, found {peek()[1]!r}")
-        return rest.pop(0)[1]
-
-    def test() -> Column:
-        if take("not"):
-            return ~test()
-        if take("("):
-            inside = either()
-            need(")")
-            return inside
-        if peek()[0] != "word":
-            raise RequestError(f"filter: a field expected, found {peek()[1]!r}")
-        name = rest.pop(0)[1]
-        if name not in types:
-            raise RequestError(f"no column {name!r}")
-        against = take(*_COMPARE)
-        if against:
-            return predicate(F.col(name), types[name], Filter(name, _COMPARE[against], value()))
-        if take("like"):
-            return predicate(F.col(name), types[name], Filter(name, "like", value()))
-        op = "not_in" if take("not") else "in"
-        need("in")
-        need("[")
-        values = []
-        while not take("]"):
-            values.append(value())
-            if not take(",") and peek() != ("mark", "]"):
-                raise RequestError(f"filter: ',' or ']' expected, found {peek()[1]!r}")
-        return predicate(F.col(name), types[name], Filter(name, op, values))
-
-    def chain(mark: str, part, join) -> Column:
-        parts = [part()]
-        while take(mark):
-            parts.append(part())
-        return reduce(join, parts)
-
-    def both() -> Column:
-        return chain("and", test, lambda a, b: a & b)
-
-    def either() -> Column:
-        return chain("or", both, lambda a, b: a | b)
-
-    found = either()
-    if rest:
-        raise RequestError(f"filter: unexpected {peek()[1]!r}")
-    return found
+    if isinstance(raw, list):
+        return reduce(lambda a, b: a & b, [filter_condition(r, types) for r in raw], F.lit(True))
+    if not isinstance(raw, dict):
+        raise RequestError("a filter is an object or a list of them")
+    if set(raw) == {"any"}:
+        if not isinstance(raw["any"], list):
+            raise RequestError("any needs a list")
+        return reduce(lambda a, b: a | b, [filter_condition(r, types) for r in raw["any"]], F.lit(False))
+    if set(raw) == {"not"}:
+        return ~filter_condition(raw["not"], types)
+    f = Filter.parse(raw)
+    if f.field not in types:
+        raise RequestError(f"no column {f.field!r}")
+    return predicate(F.col(f.field), types[f.field], f)
 
 
 def capped_top_k(top_k: int | None, cap: int | None = TOP_K_CAP) -> int:
@@ -124,7 +53,7 @@ def vector_query(catalog: Catalog, request: dict, cap: int | None = TOP_K_CAP, i
     """The neighbours of one vector: rank, distance, the id and ``output_fields`` (all others when missing).
 
     ``request``: ``collection`` (must be allowed), ``embedding`` (list of numbers), and optionally ``top_k``,
-    ``filter`` (:func:`filter_expression`) and ``output_fields``.
+    ``filter`` (:func:`filter_condition`) and ``output_fields``.
     """
     unknown = set(request) - {"collection", "embedding", "top_k", "filter", "output_fields"}
     if unknown:
@@ -143,7 +72,7 @@ def vector_query(catalog: Catalog, request: dict, cap: int | None = TOP_K_CAP, i
         missing = [f for f in fields if f not in types]
         if missing:
             raise RequestError(f"no columns {missing}")
-    where = filter_expression(request["filter"], types) if request.get("filter") else None
+    where = filter_condition(request["filter"], types) if request.get("filter") else None
     schema = T.StructType([T.StructField("query_id", T.IntegerType()), T.StructField(vector, T.ArrayType(T.DoubleType()))])
     query = base.sparkSession.createDataFrame([(0, [float(x) for x in embedding])], schema)
     found = knn(base, query, capped_top_k(request.get("top_k"), cap), metric, where=where, fields=fields, id_col=id_col,

@@ -21,14 +21,17 @@ FLOW_ORDER = ["collected_at", "src_ip", "dst_ip"]
 RETENTION_DAYS = {"flows": 90, "classified_flows": 30, "classifier_alarms": 30}
 
 
-def laid_out(df: DataFrame, ts: str, order: Sequence[str], files: int | None = None) -> DataFrame:
+def laid_out(df: DataFrame, ts: str, order: Sequence[str], files: int | None = None, dealt: bool = False) -> DataFrame:
     """Add the month, and give each task one range of the sort key.
 
     Ranges keep a busy month or second from landing in one task, and give files with narrow key ranges,
-    which row-group statistics can skip. ``files`` defaults to the shuffle partitions.
+    which row-group statistics can skip. ``files`` defaults to the shuffle partitions. Rows that are ``dealt``
+    in such ranges already are only sorted where they are.
     """
     keys = [MONTH, *order]
     with_month = df.withColumn(MONTH, month_key(ts))
+    if dealt:
+        return with_month.sortWithinPartitions(*keys)
     ranged = with_month.repartitionByRange(files, *keys) if files else with_month.repartitionByRange(*keys)
     return ranged.sortWithinPartitions(*keys)
 
@@ -38,10 +41,10 @@ def append(df: DataFrame, path: str, ts: str, order: Sequence[str], files: int |
     laid_out(df, ts, order, files).write.mode("append").partitionBy(MONTH).parquet(path)
 
 
-def overwrite_batch(df: DataFrame, path: str, batch_id: int, ts: str, order: Sequence[str]) -> None:
+def overwrite_batch(df: DataFrame, path: str, batch_id: int, ts: str, order: Sequence[str], dealt: bool = False) -> None:
     """Write one batch of a table under its own ``batch_id``; writing it again replaces it."""
     (
-        laid_out(df, ts, order).write.mode("overwrite")
+        laid_out(df, ts, order, dealt=dealt).write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
         .partitionBy(MONTH).parquet(f"{path.rstrip('/')}/{BATCH}={batch_id}")
     )

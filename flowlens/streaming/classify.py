@@ -7,26 +7,43 @@ import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowlens.functions.scalar import moment
 from flowlens.operators.augment import classified_flows, classifier_alarms, security_events
 from flowlens.operators.scoring import Backend, score
-from flowlens.schemas import LABELS
-from flowlens.sources.storage import overwrite_batch
+from flowlens.schemas import CLASSIFIED_FLOWS, CLASSIFIER_ALARMS, LABELS, SECURITY_EVENTS
+from flowlens.sources.snapshots import SnapshotTable
+from flowlens.sources.storage import fetch_columns, overwrite_batch
 
 log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
 class Outputs:
-    """Folders of the three tables; without ``alarms`` no audit rows are written."""
+    """Folders of the three tables; without ``alarms`` no audit rows are written.
+
+    With ``snapshots`` they are tables of :mod:`flowlens.sources.snapshots`, which merge and expire months.
+    """
 
     classified: str
     events: str
     alarms: str | None = None
+    snapshots: bool = False
+
+    def table(self, spark: SparkSession, name: str) -> SnapshotTable:
+        """One of ``classified``, ``events`` and ``alarms`` as a snapshot table."""
+        return SnapshotTable(spark, getattr(self, name), *TABLES[name])
+
+
+#: Schema, time column and order of each output.
+TABLES = {
+    "classified": (CLASSIFIED_FLOWS, "collected_at", ("collected_at", "label", "src_ip")),
+    "events": (SECURITY_EVENTS, "detected_at", ("detected_at", "label", "src_ip")),
+    "alarms": (CLASSIFIER_ALARMS, "classified_at", ("classified_at", "label", "src_ip")),
+}
 
 
 def write_scored(
@@ -37,22 +54,23 @@ def write_scored(
     Each table gets the batch under its own folder, and a second attempt replaces it. A failed audit write
     is logged and does not fail the batch.
     """
-    scored = scored.persist()
+    spark = scored.sparkSession
+    # One range sort serves all three: their orders begin with a time of the flow or of the run.
+    scored = scored.repartitionByRange("collected_at", "label", "src_ip").persist()
+
+    def put(name: str, rows: DataFrame) -> None:
+        _, ts, order = TABLES[name]
+        if outputs.snapshots:
+            outputs.table(spark, name).append(rows, batch_id, dealt=True)
+        else:
+            overwrite_batch(rows, getattr(outputs, name), batch_id, ts, order, dealt=True)
+
     try:
-        overwrite_batch(
-            classified_flows(scored, labels, now), outputs.classified, batch_id,
-            "collected_at", ["collected_at", "label", "src_ip"],
-        )
-        overwrite_batch(
-            security_events(scored, labels, now), outputs.events, batch_id,
-            "detected_at", ["detected_at", "label", "src_ip"],
-        )
+        put("classified", classified_flows(scored, labels, now))
+        put("events", security_events(scored, labels, now))
         if outputs.alarms:
             try:
-                overwrite_batch(
-                    classifier_alarms(scored, labels, now), outputs.alarms, batch_id,
-                    "classified_at", ["classified_at", "label", "src_ip"],
-                )
+                put("alarms", classifier_alarms(scored, labels, now))
             except Exception:  # the audit copy must not hold up the run
                 log.warning("audit rows of batch %s were not written", batch_id, exc_info=True)
     finally:
@@ -79,7 +97,7 @@ def start_classification(
         flows = flows.filter(F.col("collected_at") > moment(since))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_scored(score(batch, backend, labels), batch_id, outputs, labels, now)
+        write_scored(score(fetch_columns(batch), backend, labels), batch_id, outputs, labels, now)
 
     return (
         flows.writeStream.foreachBatch(write)

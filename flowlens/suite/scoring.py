@@ -90,7 +90,8 @@ register("c3_model_backend",
 
 def opened(df):
     """``df`` with a column per class probability in place of the JSON text."""
-    return rounded(df.withColumns({f"p_{x.lower()}": json_number("probabilities", x) for x in LABELS}).drop("probabilities"))
+    parsed = df.withColumn("_p", F.from_json("probabilities", "map<string,double>"))
+    return rounded(parsed.withColumns({f"p_{x.lower()}": F.coalesce(F.col("_p")[x], F.lit(0.0)) for x in LABELS}).drop("probabilities", "_p"))
 
 
 _P = ", ".join(

@@ -16,7 +16,7 @@ from flowlens.plans import monitor
 from flowlens.plans.catalog import StoredTable
 from flowlens.schemas import CLASSIFIED_FLOWS, CLASSIFIER_ALARMS, FETCH_COLUMNS, FLOWS, SECURITY_EVENTS
 from flowlens.session import scratch_path
-from flowlens.sources import storage
+from flowlens.sources import pcap, storage
 from flowlens.sources.flows import flow_stream
 from flowlens.streaming import cursor
 from flowlens.streaming.classify import Outputs, start_classification, start_threats
@@ -91,6 +91,21 @@ def _expire(v: Views):
     return storage.read_table(v.spark, path, FLOWS, "collected_at").select("flow_id", "collected_at")
 
 
+@query("s8_merged_months", f"SELECT {_CLASSIFIED} FROM classified_flows WHERE collected_at >= TIMESTAMP '2024-01-10'")
+def _merged_months(v: Views):
+    """Flows classified in six batches into a snapshot table, whose months are merged, expired and cleaned."""
+    source = scratch_path(v.spark, "flows")
+    v.flows.repartition(6, "flow_id").write.parquet(source)
+    out = Outputs(*(scratch_path(v.spark, n) for n in ("classified", "events")), snapshots=True)
+    stream = v.spark.readStream.schema(FLOWS).option("maxFilesPerTrigger", 1).parquet(source)
+    start_classification(stream, out, scratch_path(v.spark, "classify"), now=F.col("collected_at")).awaitTermination()
+    table = out.table(v.spark, "classified")
+    table.merge(dt.datetime(2100, 1, 1))
+    table.expire(storage.RETENTION_DAYS["classified_flows"], dt.datetime(2024, 1, 10) + dt.timedelta(days=30))
+    table.clean()
+    return opened(table.read())
+
+
 # ------------------------------------------------------------------ incremental classification
 
 
@@ -280,12 +295,57 @@ n AS (SELECT flow_id, summary, cast({_hash("w")} % 384 AS int) AS place, count(*
 SELECT flow_id, summary, place, round(n / sqrt(sum(n * n) OVER (PARTITION BY flow_id)), 5) AS x FROM n""")
 
 
-@query("e3_incident_stream")
+#: A batch of the stream in SQL: embeddings, positions in groups of 50, and the five nearest of the earlier batch.
+E3_SQL = f"""
+WITH batched AS (SELECT *, CASE WHEN detected_at < TIMESTAMP '{MID_MONTH}' THEN 0 ELSE 1 END AS batch_id,
+  ('0x' || substr(md5(flow_id), 1, 15))::BIGINT AS vid FROM security_events),
+word AS (SELECT flow_id, batch_id, vid, unnest(string_split_regex(lower({_SUMMARY}), '\\s+')) AS w FROM batched),
+place AS (SELECT flow_id, batch_id, vid, cast({_hash("w")} % 384 AS int) AS place, count(*) AS n FROM word GROUP BY ALL),
+part AS MATERIALIZED (SELECT *, cast(n / sqrt(sum(n * n) OVER (PARTITION BY flow_id, vid)) AS float)::DOUBLE AS x FROM place),
+norm AS (SELECT flow_id, vid, batch_id, sqrt(sum(x * x)) AS norm FROM part GROUP BY ALL),
+dot AS (SELECT q.flow_id, b.vid, sum(q.x * b.x) AS dot FROM part q JOIN part b USING (place)
+ WHERE q.batch_id = 1 AND b.batch_id = 0 GROUP BY q.flow_id, b.vid),
+near AS (SELECT d.flow_id, d.vid FROM dot d JOIN norm q ON q.flow_id = d.flow_id JOIN norm b ON b.vid = d.vid
+ QUALIFY row_number() OVER (PARTITION BY d.flow_id ORDER BY round(1 - dot / (q.norm * b.norm), 6) + 0, d.vid) <= 5),
+placed AS (SELECT *, (row_number() OVER (PARTITION BY batch_id ORDER BY date_trunc('second', detected_at),
+  {_hash("flow_id")} % 256, flow_id) - 1) // 50 AS batch FROM batched),
+context AS (SELECT batch_id, batch, label, string_agg(DISTINCT near.vid::VARCHAR, ',' ORDER BY near.vid::VARCHAR) AS ids
+ FROM placed JOIN near USING (flow_id) GROUP BY ALL)
+SELECT p.batch_id, p.batch, p.label AS attack_type, min(detected_at) AS detected_at, count(*) AS events,
+ array_to_string(list_sort(list_distinct(list(dst_ip))), ',') AS affected_hosts,
+ round(avg(cast(confidence AS double)), 4) AS confidence, coalesce(any_value(c.ids), '') AS rag_context_ids,
+ concat_ws(' ', count(*), p.label, 'events against', count(DISTINCT dst_ip), 'hosts') AS summary
+FROM placed p LEFT JOIN context c ON c.batch_id = p.batch_id AND c.batch = p.batch AND c.label = p.label
+GROUP BY p.batch_id, p.batch, p.label"""
+
+
+@query("e3_incident_stream", E3_SQL)
 def _incident_stream(v: Views):
-    """Incidents from the stream of security events, with the similar earlier events of each."""
+    """Incidents from the stream of security events in two batches, with the similar earlier events of each."""
     vectors, out, mark = (scratch_path(v.spark, n) for n in ("vectors", "incidents", "incidents-mark"))
     source = scratch_path(v.spark, "events")
-    v.security_events.repartitionByRange(2, "detected_at").write.parquet(source)
-    stream = v.spark.readStream.schema(SECURITY_EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
-    start_incidents(stream, vectors, out, mark).awaitTermination()
-    return v.spark.read.parquet(out)
+    events = v.security_events.withColumn("event_id", F.col("flow_id"))
+    early = F.col("detected_at") < F.lit(MID_MONTH).cast("timestamp")
+
+    def run():
+        stream = v.spark.readStream.schema(SECURITY_EVENTS).parquet(source)
+        start_incidents(stream, vectors, out, mark, leaves=32).awaitTermination()
+
+    events.filter(early).write.parquet(source)
+    run()
+    events.filter(~early).write.mode("append").parquet(source)
+    run()
+    ids = F.array_join(F.array_sort(F.transform("rag_context_ids", lambda x: x.cast("string"))), ",")
+    return v.spark.read.parquet(out).select(
+        "batch_id", "batch", "attack_type", "detected_at", "events", F.array_join("affected_hosts", ",").alias("affected_hosts"),
+        F.round("confidence", 4).alias("confidence"), ids.alias("rag_context_ids"), "summary").withColumn(
+        "batch_id", F.col("batch_id").cast("bigint"))
+
+
+@query("s7_capture_round_trip", "SELECT ts, src_ip, dst_ip, src_port, dst_port, protocol, ip_version, "
+       "greatest(size, 54) AS size, syn, ack, psh, rst, fin FROM packets")
+def _capture_round_trip(v: Views):
+    """All packets written as capture files and read back, each file by many tasks."""
+    folder = scratch_path(v.spark, "captures")
+    pcap.write_packets(v.packets, folder, 3)
+    return pcap.read_packets(v.spark, f"{folder}/*.pcap", chunk_bytes=1 << 16).drop("seq")

@@ -12,7 +12,8 @@ from flowlens.operators.incidents import embed, incidents, numbered
 from flowlens.operators.knn import approximate_knn, fit_cells, hits, knn, with_cells
 from flowlens.schemas import INCIDENTS, SECURITY_EVENTS, VECTORS
 from flowlens.sources import pcap
-from flowlens.streaming.incidents import as_vectors, read_vectors, start_incidents
+from flowlens.sources.vectors import VectorStore
+from flowlens.streaming.incidents import as_vectors, start_incidents
 
 
 def vectors(spark, n, width=8, seed=0, copies=0):
@@ -177,8 +178,8 @@ def test_incident_stream(spark, tmp_path):
     old = {r.id for r in as_vectors(first).collect()}
     assert got[1].events == 2 and 2 <= len(got[1].rag_context_ids) and set(got[1].rag_context_ids) <= old
     # The same ids again in a later batch: one row per id stays.
-    as_vectors(first.withColumn("label", F.lit("new"))).write.parquet(f"{store}/batch_id=9")
-    kept = read_vectors(spark, store)
+    VectorStore(spark, store).append(as_vectors(first.withColumn("label", F.lit("new"))), 9)
+    kept = VectorStore(spark, store).read()
     assert kept.schema.names == VECTORS.names and kept.count() == 8
     assert kept.filter("label = 'new'").count() == 6
 
