@@ -292,7 +292,7 @@ def test_within_radius(spark, radius):
 def test_recurring_lines(spark, nothing):
     line = "server number 17 answered the request of client 99 in time"
     other = "server number 23 answered the request of client 5 in time"
-    texts = [(i, f"unique start of text {i} goes here now\n{line if i % 2 else other}\nend of it {chr(97 + i)} with more words here")
+    texts = [(i, f"{chr(97 + i)} unique start of the text goes here now\n{line if i % 2 else other}\nend of it {chr(97 + i)} with more words here")
              for i in range(6)]
     copied = "the very same first line stands in here\nand the very same second line follows it at once"
     texts += [(10 + i, copied) for i in range(5)] + [(20, None), (21, ""), (None, f"null id\n{line}\nx"), (22, "short\nshort")]
