@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import blocks
+from flowlens.session import written
 
 #: Hashed features: 2 to this power.
 BITS = 18
-#: Labelled rows that a model is fitted on at most: the first by a hash of the id.
-TRAIN_ROWS = 6_000
+#: Labelled rows that a model is fitted on at most, and their features together: the first by a hash of the id.
+TRAIN_ROWS, TRAIN_FEATURES = 6_000, 20_000_000
 #: Features seen in fewer training rows have no weight.
 LEAST_ROWS = 3
 
@@ -125,16 +126,22 @@ class Model:
 
 def dual_descent(ids: np.ndarray, offsets: np.ndarray, value: np.ndarray, y: np.ndarray, cost: np.ndarray,
                  rounds: int = 20, tolerance: float = 1e-3, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Hinge loss with a squared norm, one dual variable at a time; row i has ``value[f]`` at each of its features f."""
+    """Hinge loss with a squared norm, one dual variable at a time; row i has ``value[f]`` at each of its features f.
+
+    Rows that rest at a bound are left out until the others have settled within ``tolerance`` of their gradient; then all
+    are seen again. It ends when a pass over all rows finds none that is not settled, or after ``rounds``, which stops it
+    about a hundredth above the least loss.
+    """
     rng = np.random.default_rng(seed)
     w, bias = np.zeros(len(value)), 0.0
     alpha = np.zeros(len(y))
     rows = [r[value[r] != 0] for r in (ids[a:b] for a, b in zip(offsets[:-1], offsets[1:]))]
     values = [value[r] for r in rows]
     norm = np.array([v @ v + 1.0 for v in values])
-    active = np.arange(len(y))
+    everyone = np.arange(len(y))
+    active = everyone
     for _ in range(rounds):
-        moved, stay = 0.0, []
+        worst, stay = 0.0, []
         for i in rng.permutation(active):
             r, v = rows[i], values[i]
             gradient = y[i] * (w[r] @ v + bias) - 1.0
@@ -143,13 +150,15 @@ def dual_descent(ids: np.ndarray, offsets: np.ndarray, value: np.ndarray, y: np.
             if step:
                 w[r] += step * v
                 bias += step
-                moved = max(moved, abs(step))
+                worst = max(worst, abs(step) * norm[i])
                 alpha[i] = new
                 stay.append(i)
-        # Rows that rest at a bound are left out of the next rounds; the last one sees all again.
-        active = np.array(stay if moved > tolerance and len(stay) else np.arange(len(y)))
-        if moved <= tolerance:
+        if worst > tolerance:
+            active = np.array(stay)
+        elif len(active) == len(everyone):
             break
+        else:
+            active = everyone
     return w, bias
 
 
@@ -185,11 +194,11 @@ def _logistic(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id",
-        rows: int = TRAIN_ROWS, bits: int = BITS) -> Model:
+        rows: int = TRAIN_ROWS, bits: int = BITS, most: int = TRAIN_FEATURES) -> Model:
     """A model from ``labelled`` (text, label 0 or 1, key), at most ``rows`` of them: the first by a hash of the key.
 
-    The bound holds for what the driver gets: hashed features of ``rows`` documents, never texts. Null labels are left
-    out. Without both classes the model scores every text by the share of label 1 (0.5 without rows).
+    The bounds hold for what the driver gets: hashed features of ``rows`` documents, never texts, and fewer rows where
+    these have more than ``most`` features together (but one row in any case). Null labels are left out. Without both classes the model scores every text by the share of label 1 (0.5 without rows).
     """
     schema = "key long, label int, ids binary"
 
@@ -206,7 +215,11 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
     known = labelled.filter(F.col(label).isNotNull()).select(
         F.xxhash64(F.col(key).cast("string")).alias("key"), F.col(label).cast("int").alias("label"),
         F.col(text).alias("text"))
-    found = known.mapInArrow(ids_of, schema).orderBy("key", "label", "ids").limit(rows).toArrow()
+    found = written(known.mapInArrow(ids_of, schema).orderBy("key", "label", "ids").limit(rows), "features")
+    sizes = found.select("key", "label", F.xxhash64("ids").alias("h"), (F.length("ids") / 4).alias("n")).orderBy(
+        "key", "label", "h").toArrow()["n"].to_numpy()
+    fit_in = max(1, int(np.searchsorted(np.cumsum(sizes), most, side="right")))
+    found = found.orderBy("key", "label", F.xxhash64("ids")).limit(fit_in).toArrow()
     good = found["label"].to_numpy().astype(np.int64)
     each = [np.frombuffer(b, dtype="<i4").astype(np.int64) for b in found["ids"].to_pylist()]
     return fit_sample(each, good, bits)

@@ -247,3 +247,68 @@ def test_features_do_not_depend_on_the_block():
     ids, offsets = quality.features(texts)
     for i, t in enumerate(texts):
         assert quality.features([t])[0].tolist() == ids[offsets[i]:offsets[i + 1]].tolist()
+
+
+def word_rows(n=90, seed=3):
+    rng = np.random.default_rng(seed)
+    words = ["".join(rng.choice(list("abcdefg"), 4)) for _ in range(60)]
+    good = rng.integers(0, 2, n)
+    return [" ".join(rng.choice(words[20 * g : 20 * g + 40], 12)) for g in good], good
+
+
+def test_ratios_and_margins_against_plain_versions():
+    """The fitted weights are the log-count ratios times the minimum of the hinge loss that a plain solver finds."""
+    texts, good = word_rows()
+    ids, offsets = quality.features(texts, 12)
+    sets = [set(ids[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:])]
+    ratio = np.zeros(1 << 12)
+    for f in set().union(*sets):
+        with_f = [g for s, g in zip(sets, good) if f in s]
+        if len(with_f) >= quality.LEAST_ROWS:
+            ratio[f] = np.log((1 + sum(with_f)) / (1 + good.sum())) - np.log(
+                (1 + len(with_f) - sum(with_f)) / (1 + len(good) - good.sum()))
+    value = ratio / np.sqrt(np.median([len(s) for s in sets]))
+    x = np.zeros((len(good), 1 << 12))
+    for i, s in enumerate(sets):
+        x[i, list(s)] = value[list(s)]
+    y = np.where(good == 1, 1.0, -1.0)
+    cost = 0.1 / (2 * np.where(good == 1, (good == 1).mean(), (good == 0).mean()))
+
+    def loss(w, bias):
+        return 0.5 * (w @ w + bias * bias) + (cost * np.maximum(0, 1 - y * (x @ w + bias))).sum()
+
+    gram = (x @ x.T + 1) * np.outer(y, y)
+    alpha, rate = np.zeros(len(y)), 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(20_000):
+        alpha = np.clip(alpha - rate * (gram @ alpha - 1), 0, cost)
+    best = loss(x.T @ (alpha * y), (alpha * y).sum())
+    model = quality.fit_rows(ids, offsets, good, 12, cost=0.1)
+    used = value != 0
+    w = np.divide(model.weight, value, out=np.zeros_like(value), where=used)
+    assert (model.weight[~used] == 0).all()
+    assert best <= loss(w, model.bias) + 1e-9 and loss(w, model.bias) < best * 1.01
+    settled = quality.dual_descent(ids, offsets, value, y, cost, rounds=400)  # until a pass over all rows finds nothing
+    assert best <= loss(*settled) + 1e-9 and loss(*settled) < best * 1.001
+
+
+def test_training_features_are_bounded(spark):
+    texts, good = word_rows(40)
+    df = spark.createDataFrame([(i, t, int(g)) for i, (t, g) in enumerate(zip(texts, good))], "doc_id long, text string, label int")
+    few = quality.fit(df, most=400)
+    assert (few.weight != 0).sum() < (quality.fit(df).weight != 0).sum()
+    assert quality.fit(df, most=1).slope == 1.0
+
+
+def test_texts_in_any_order_give_the_ids_of_the_library(tokenizer):
+    """White space of all kinds, and one encoder whose memo knows the pieces of all earlier texts."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(11)
+    white = [" ", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u3000"]
+    parts = white * 2 + ["a", "1", "the", "\U0001f600", ".", "'s", "\x01", "<|endoftext|>", "Ünï"]
+    texts = ["\xa0", "1\n\xa0"] + ["".join(rng.choice(parts, rng.integers(1, 7))) for _ in range(6000)]
+    library, known = Tokenizer.from_file(tokenizer), tokens.Encoder(tokenizer)
+    for k in range(0, len(texts), 50):
+        found = known.ids(texts[k : k + 50])
+        for t, ids in zip(texts[k : k + 50], found):
+            assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
