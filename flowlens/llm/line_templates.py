@@ -40,7 +40,7 @@ def tokens(line: Column) -> Column:
 
 def segments(words: Column, depth: int = DEPTH, count: int = SEGMENTS) -> Column:
     """The tokens after the leading ones, in ``count`` runs as even as they can be: structs of nth, size and hash."""
-    rest = F.size(words) - depth
+    rest = F.greatest(F.size(words) - depth, F.lit(0))
 
     def before(i: int) -> Column:
         return ((rest * i - F.pmod(rest * i, F.lit(count))) / count).cast("int")
@@ -71,9 +71,8 @@ def recurring_lines(docs: DataFrame, least_tokens: int = LEAST_TOKENS, depth: in
     lines = lines.filter(F.size("words") > 0)
     equal = F.when(F.size("words") < least_tokens, F.xxhash64("words")).otherwise(F.col("line"))
     leaf = F.when(F.size("words") >= least_tokens, F.xxhash64(F.size("words"), F.slice("words", 1, depth)))
-    parts = F.when(F.size("words") >= least_tokens, segments(F.col("words"), depth, count))
     lines = written(lines.select("doc_id", "h", "nth", F.size("words").alias("n"), equal.alias("equal"),
-                                 leaf.alias("leaf"), parts.alias("parts")), "lines")
+                                 leaf.alias("leaf"), segments(F.col("words"), depth, count).alias("parts")), "lines")
     hot = F.col("seen") > F.lit(lines.count() * HOT_SHARE)
 
     # Documents with a text of their own, and the lines that recur as they are.
