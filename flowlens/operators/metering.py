@@ -10,9 +10,12 @@ One endpoint pair may hold a large part of all packets, so no step sorts a whole
 2. merged rows are sorted per pair and time slice (at most one row per millisecond of the slice) and summed
    up to one row per slice. A slice is no longer than ``idle``, so no session ends inside one: sessions,
    and their sums, follow from the slices alone;
-3. only sessions longer than ``active`` go back to their packets. They are cut by following "first packet
-   more than ``active`` later" pointers. Pointers are doubled block by block, so a session of n flows takes
-   log2(n) joins, and each doubling keeps only the packets that can open a block, which halves the rows.
+3. only sessions longer than ``active`` go back to their packets. Those of at most ``CHASE_ROWS`` packets are cut
+   by one pass over their times. Larger ones follow "first packet more than ``active`` later" pointers, which are
+   doubled block by block: a session of n flows takes log2(n) joins, and each doubling keeps only the packets that
+   can open a block, which halves the rows.
+
+Sums of squares are whole numbers, so deviations lose no digits and do not depend on the order of the sums.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ IDLE_S = 120
 ACTIVE_S = 1800
 SLICE_S = 3600
 FEW_SESSIONS = 100_000
+#: Packets of a session whose times one task passes over; larger sessions are cut by pointers.
+CHASE_ROWS = 100_000
 PAIR = ["ip_a", "port_a", "ip_b", "port_b", "protocol"]
 FLAGS = ["syn", "ack", "psh", "rst", "fin"]
 
@@ -66,13 +71,17 @@ def _bucket(x: Column, width: int) -> Column:
     return x - F.pmod(x, F.lit(width).cast("bigint"))
 
 
+def _square(x: Column) -> Column:
+    """The square of a whole number, exactly."""
+    return x.cast("decimal(19,0)") * x.cast("decimal(19,0)")
+
+
 def merge_instants(pairs: DataFrame, slice_ms: int) -> DataFrame:
     """One row per pair and millisecond, with the sums a flow needs."""
-    size = F.col("size").cast("double")
     return pairs.groupBy(*PAIR, _bucket(F.col("t"), slice_ms).alias("slice"), "t").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("size").alias("bytes"),
-        F.sum(size * size).alias("square"),
+        F.sum(_square(F.col("size"))).alias("square"),
         F.min("size").alias("smallest"),
         F.max("size").alias("largest"),
         F.count_if("forward").alias("forward_n"),
@@ -93,10 +102,10 @@ def pieces(rows: DataFrame) -> DataFrame:
 
     Packets in the same millisecond follow each other with gap 0.
     """
-    inside = F.when(F.col("n") > 1, F.lit(0.0))
+    inside = F.when(F.col("n") > 1, F.lit(0).cast("bigint"))
     return rows.withColumns({
         "first": F.col("t"), "last": F.col("t"), "least_gap": inside, "most_gap": inside,
-        "gap_square": F.lit(0.0), "lead": (F.col("t") - F.col("prev")).cast("double"),
+        "gap_square": F.lit(0).cast("decimal(38,0)"), "lead": F.col("t") - F.col("prev"),
     })
 
 
@@ -113,11 +122,11 @@ def combine(parts: DataFrame, keys: list[str]) -> DataFrame:
         F.max("largest").alias("largest"),
         F.sum("forward_n").alias("forward_n"),
         F.sum("forward_bytes").alias("forward_bytes"),
-        F.min_by("first_forward", "first").alias("first_forward"),
+        F.min_by("first_forward", F.struct("first", F.coalesce(lead, F.lit(-1)))).alias("first_forward"),
         F.min("ip_version").alias("ip_version"),
         F.min(F.least("least_gap", lead)).alias("least_gap"),
         F.max(F.greatest("most_gap", lead)).alias("most_gap"),
-        F.sum(F.col("gap_square") + F.coalesce(lead * lead, F.lit(0.0))).alias("gap_square"),
+        F.sum(F.col("gap_square") + F.coalesce(_square(lead), F.lit(0))).alias("gap_square"),
         *[F.sum(f).alias(f) for f in FLAGS],
     )
 
@@ -131,7 +140,7 @@ def link(slices: DataFrame, idle_ms: int) -> DataFrame:
     return (
         slices.withColumn("before", F.lag("last").over(over))
         .withColumn("start", F.max(opens).over(over.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("lead", F.when(F.col("before") >= F.col("start"), gap.cast("double")))
+        .withColumn("lead", F.when(F.col("before") >= F.col("start"), gap))
     )
 
 
@@ -139,6 +148,9 @@ def link(slices: DataFrame, idle_ms: int) -> DataFrame:
 
 
 SESSION = [*PAIR, "start"]
+#: What :func:`combine` puts together per flow.
+PIECE = [*SESSION, "first", "last", "n", "bytes", "square", "smallest", "largest", "forward_n", "forward_bytes",
+         "first_forward", "ip_version", "least_gap", "most_gap", "gap_square", "lead", *FLAGS]
 
 
 def _next_start(points: DataFrame, active_ms: int, slice_ms: int) -> DataFrame:
@@ -169,6 +181,18 @@ def _next_start(points: DataFrame, active_ms: int, slice_ms: int) -> DataFrame:
     )
 
 
+def pass_over(points: DataFrame, active_ms: int) -> DataFrame:
+    """Starts of the flows that sessions are cut into, by one pass over the times of each session."""
+    times = points.groupBy(*SESSION).agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    begin = F.struct(F.col("start").alias("at"), F.array("start").alias("found"))
+    starts = F.aggregate(
+        "ts", begin,
+        lambda seen, t: F.when(t - seen["at"] > active_ms, F.struct(
+            t.alias("at"), F.array_append(seen["found"], t).alias("found"))).otherwise(seen),
+        lambda seen: seen["found"])
+    return times.select(*SESSION, F.explode(starts).alias("t"))
+
+
 def cut_points(points: DataFrame, idle_ms: int, active_ms: int, longest_ms: int, slice_ms: int) -> DataFrame:
     """Starts of the flows a session is cut into; ``points`` are its packet times.
 
@@ -199,7 +223,7 @@ def cut_points(points: DataFrame, idle_ms: int, active_ms: int, longest_ms: int,
         )
         levels.append(written(level, "cuts"))
 
-    starts = points.select(*SESSION).distinct().withColumn("t", F.col("start"))
+    starts = points.filter("t = start")
     for level in reversed(levels[:-1]):
         inside = F.when(block("next", width) == block("t", width), F.col("next"))
         starts = starts.join(level, [*SESSION, "t"], "left").select(
@@ -210,16 +234,22 @@ def cut_points(points: DataFrame, idle_ms: int, active_ms: int, longest_ms: int,
 
 
 def _long_flows(rows: DataFrame, slices: DataFrame, spans: DataFrame, idle_ms: int, active_ms: int,
-                longest_ms: int, slice_ms: int) -> DataFrame:
+                longest_ms: int, slice_ms: int, large: bool) -> DataFrame:
     """Pieces of the sessions longer than ``active_ms``, with the start of their flow as ``start``."""
-    long_slices = slices.join(spans, SESSION).select(*PAIR, "slice", "before", "start")
+    long_slices = slices.join(spans.select(*SESSION), SESSION)
     # Slice by slice, so that a hot session meets its packets in many tasks.
     points = written(
-        with_previous(rows).join(long_slices, [*PAIR, "slice"])
+        with_previous(rows).join(long_slices.filter("NOT held").select(*PAIR, "slice", "before", "start"), [*PAIR, "slice"])
         .withColumn("prev", F.coalesce("prev", "before")).drop("before"),
         "points",
     )
-    starts = written(cut_points(points.select(*SESSION, "t"), idle_ms, active_ms, longest_ms, slice_ms), "starts")
+    times = points.select(*SESSION, "t")
+    starts = pass_over(times.join(spans.filter(F.col("n") <= CHASE_ROWS).select(*SESSION), SESSION), active_ms)
+    if large:
+        times = times.unionByName(long_slices.filter("held").select(*SESSION, F.col("start").alias("t"))).distinct()
+        times = times.join(spans.filter(F.col("n") > CHASE_ROWS).select(*SESSION), SESSION)
+        starts = starts.unionByName(cut_points(times, idle_ms, active_ms, longest_ms, slice_ms))
+        starts = written(starts, "starts")
 
     width = active_ms + 1
     in_session = Window.partitionBy(*SESSION).orderBy("t")
@@ -246,16 +276,17 @@ def _long_flows(rows: DataFrame, slices: DataFrame, spans: DataFrame, idle_ms: i
         .withColumn("start", F.col("_from"))
         .withColumn("prev", F.when(F.col("prev") >= F.col("start"), F.col("prev")))
     )
-    return pieces(cut)
+    return pieces(cut).select(*PIECE).unionByName(long_slices.filter("held").select(*PIECE))
 
 
 # --------------------------------------------------------------------------- flows
 
 
 def _deviation(square: Column, total: Column, n: Column) -> Column:
-    """Sample standard deviation from sums; 0 for a single value."""
-    spread = F.greatest(square - total * total / n, F.lit(0.0))
-    return F.when(n > 1, F.sqrt(spread / F.greatest(n - 1, F.lit(1)))).otherwise(F.lit(0.0))
+    """Sample standard deviation from whole-number sums; 0 for a single value."""
+    spread = square * n.cast("decimal(19,0)") - _square(total)
+    pairs = n.cast("double") * F.greatest(n - 1, F.lit(1)).cast("double")
+    return F.when(n > 1, F.sqrt(spread.cast("double") / pairs)).otherwise(F.lit(0.0))
 
 
 def flows_from_sums(sums: DataFrame) -> DataFrame:
@@ -264,9 +295,7 @@ def flows_from_sums(sums: DataFrame) -> DataFrame:
     def by_direction(a_to_b: str, b_to_a: str) -> Column:
         return F.when(F.col("first_forward"), F.col(a_to_b)).otherwise(F.col(b_to_a))
 
-    packets, total = F.col("n"), F.col("bytes").cast("double")
-    gaps, duration = packets - 1, (F.col("last") - F.col("start")).cast("double")
-    zero = F.lit(0.0)
+    packets, gaps, duration = F.col("n"), F.col("n") - 1, F.col("last") - F.col("start")
     named = sums.withColumns({
         "_other_n": packets - F.col("forward_n"),
         "_other_bytes": F.col("bytes") - F.col("forward_bytes"),
@@ -287,14 +316,14 @@ def flows_from_sums(sums: DataFrame) -> DataFrame:
         by_direction("_other_n", "forward_n").alias("dst2src_packets"),
         by_direction("_other_bytes", "forward_bytes").alias("dst2src_bytes"),
         F.col("smallest").alias("bidirectional_min_ps"),
-        (total / packets).alias("bidirectional_mean_ps"),
-        _deviation(F.col("square"), total, packets).alias("bidirectional_stddev_ps"),
+        (F.col("bytes") / packets).alias("bidirectional_mean_ps"),
+        _deviation(F.col("square"), F.col("bytes"), packets).alias("bidirectional_stddev_ps"),
         F.col("largest").alias("bidirectional_max_ps"),
-        F.coalesce("least_gap", zero).alias("bidirectional_min_piat_ms"),
-        F.when(gaps > 0, duration / F.greatest(gaps, F.lit(1))).otherwise(zero).alias("bidirectional_mean_piat_ms"),
-        _deviation(F.coalesce("gap_square", zero), duration, F.greatest(gaps, F.lit(1)))
+        F.coalesce(F.col("least_gap").cast("double"), F.lit(0.0)).alias("bidirectional_min_piat_ms"),
+        F.when(gaps > 0, duration / F.greatest(gaps, F.lit(1))).otherwise(F.lit(0.0)).alias("bidirectional_mean_piat_ms"),
+        _deviation(F.col("gap_square"), duration, F.greatest(gaps, F.lit(1)))
         .alias("bidirectional_stddev_piat_ms"),
-        F.coalesce("most_gap", zero).alias("bidirectional_max_piat_ms"),
+        F.coalesce(F.col("most_gap").cast("double"), F.lit(0.0)).alias("bidirectional_max_piat_ms"),
         *[F.col(f).alias(f"bidirectional_{f}_packets") for f in FLAGS],
     )
     return as_flows(named)
@@ -314,10 +343,43 @@ def as_flows(named: DataFrame) -> DataFrame:
     }).select(*[F.col(f.name).cast(f.dataType) for f in FLOWS.fields])
 
 
-def linked_slices(pairs: DataFrame, idle_ms: int, slice_ms: int) -> DataFrame:
-    """Slices of the packets with their sums and sessions; ``slice_ms`` is at most ``idle_ms``."""
+def linked_slices(pairs: DataFrame, idle_ms: int, slice_ms: int, held: DataFrame | None = None) -> DataFrame:
+    """Slices of the packets with their sums and sessions; ``slice_ms`` is at most ``idle_ms``.
+
+    ``held``: one open flow of a pair at most (the columns of PIECE but ``lead``), none later than the packets. It comes
+    before its pair's slices as one that is ``held``.
+    """
     rows = with_previous(merge_instants(pairs, slice_ms))
-    return link(combine(pieces(rows), [*PAIR, "slice"]), idle_ms)
+    slices = combine(pieces(rows), [*PAIR, "slice"]).withColumn("held", F.lit(False))
+    if held is not None:
+        early = held.withColumns({"slice": _bucket(F.col("last"), slice_ms) - 1, "held": F.lit(True)}).drop("start")
+        slices = slices.unionByName(early.select(*slices.columns))
+    return link(slices, idle_ms)
+
+
+def flow_sums(pairs: DataFrame, idle_ms: int, active_ms: int | None, slice_ms: int, held: DataFrame | None = None) -> DataFrame:
+    """The sums of each flow (:func:`combine` by SESSION) of the packets of :func:`with_pair`, open flows ``held`` continued.
+
+    With an active timeout the slices are written to the shared folder and measured, which runs jobs.
+    """
+    slice_ms = max(1, min(slice_ms, idle_ms))
+    slices = linked_slices(pairs, idle_ms, slice_ms, held)
+    if active_ms is None:
+        return combine(slices, SESSION)
+    slices = written(slices, "slices")
+    spans = slices.groupBy(*SESSION).agg(F.max("last").alias("end"), F.sum("n").alias("n"))
+    spans = spans.filter(F.col("end") - F.col("start") > active_ms)
+    longest, n_long, n_large = spans.agg(
+        F.max(F.col("end") - F.col("start")), F.count(F.lit(1)), F.count_if(F.col("n") > CHASE_ROWS)).first()
+    if not n_long:
+        return combine(slices, SESSION)
+    if n_long <= FEW_SESSIONS:
+        # Counted, so small enough to send to every task: other pairs' packets are not shuffled again.
+        pairs = pairs.join(F.broadcast(spans.select(*PAIR).distinct()), PAIR, "left_semi")
+    rows = merge_instants(pairs, slice_ms)
+    long_flows = _long_flows(rows, slices, spans, idle_ms, active_ms, longest, slice_ms, n_large > 0)
+    short = slices.join(spans.select(*SESSION), SESSION, "left_anti").select(*PIECE)
+    return combine(short.unionByName(long_flows), SESSION)
 
 
 def meter(
@@ -329,29 +391,10 @@ def meter(
     """Packets to flows.
 
     ``slice_s`` bounds the sorted unit: a task sees at most 1000 * ``slice_s`` merged rows of one pair.
-    With an active timeout the slices are written to the shared folder and measured, which runs jobs;
-    ``active_s=None`` cuts at idle gaps only and stays lazy.
+    With an active timeout it runs jobs; ``active_s=None`` cuts at idle gaps only and stays lazy.
     """
-    idle_ms = int(idle_s * 1000)
-    slice_ms = max(1, min(slice_s * 1000, idle_ms))
-    pairs = with_pair(packets)
-    slices = linked_slices(pairs, idle_ms, slice_ms)
-    if active_s is None:
-        return flows_from_sums(combine(slices, SESSION))
-    active_ms = int(active_s * 1000)
-    slices = written(slices, "slices")
-    spans = slices.groupBy(*SESSION).agg(F.max("last").alias("end")).filter(F.col("end") - F.col("start") > active_ms)
-    longest, n_long = spans.agg(F.max(F.col("end") - F.col("start")), F.count(F.lit(1))).first()
-    if not n_long:
-        return flows_from_sums(combine(slices, SESSION))
-    if n_long <= FEW_SESSIONS:
-        # Counted, so small enough to send to every task: other pairs' packets are not shuffled again.
-        pairs = pairs.join(F.broadcast(spans.select(*PAIR).distinct()), PAIR, "left_semi")
-    rows = merge_instants(pairs, slice_ms)
-    long_flows = _long_flows(rows, slices, spans, idle_ms, active_ms, longest, slice_ms)
-    columns = [c for c in slices.columns if c not in ("slice", "before")]
-    short = slices.join(spans, SESSION, "left_anti").select(*columns)
-    return flows_from_sums(combine(short.unionByName(long_flows.select(*columns)), SESSION))
+    active_ms = None if active_s is None else int(active_s * 1000)
+    return flows_from_sums(flow_sums(with_pair(packets), int(idle_s * 1000), active_ms, slice_s * 1000))
 
 
 def inter_arrival(packets: DataFrame, slice_s: int = SLICE_S) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,9 +67,24 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/flowlens-{spark.sparkContext.applicationId}"
 
 
+_folder: ContextVar[str] = ContextVar("folder", default="")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the application's folder; :func:`remove_scratch` removes them all."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{_folder.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def passing_scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written meanwhile go when it ends: for the batches of a stream that runs on and on."""
+    folder = f"passing-{uuid.uuid4().hex}/"
+    token = _folder.set(folder)
+    try:
+        yield
+    finally:
+        _folder.reset(token)
+        _remove(spark, f"{scratch_root(spark)}/{folder}")
 
 
 def remove_scratch(spark: SparkSession) -> None:
@@ -74,7 +92,11 @@ def remove_scratch(spark: SparkSession) -> None:
 
     For the end of a job, before the session is stopped, and between jobs whose results are stored elsewhere.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    _remove(spark, scratch_root(spark))
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

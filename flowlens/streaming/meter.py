@@ -1,186 +1,122 @@
 """T7 for streams: packets to flows with idle and active timeouts.
 
-:func:`meter_stream` keeps one fixed-size record per open flow. Packets are first merged per millisecond
-inside each map task, so a busy pair sends merged rows and not its packets. Packets count in order of
-arrival: those of one batch are sorted by time, one that arrives after later ones counts at the time of the
-latest. A flow is passed on when a packet ends it, or when the watermark passes its idle timeout.
+:func:`start_metering` runs the batch meter on every micro-batch together with the flows that are still open, so a busy
+pair is merged per millisecond, sorted per time slice and summed per slice in many tasks, as in
+:mod:`flowlens.operators.metering`; no task holds a pair. The state is one record for each open flow, written under the
+number of its batch: a replayed batch starts from the state of the one before and replaces its own output and state.
+
+Packets count in order of arrival: those of one batch by time, and one that is older than the last packet of its pair's
+open flow counts at the time of that one. A flow is passed on when a packet ends it, or when the watermark, the newest
+time less ``late``, passes its idle timeout. A packet behind the watermark whose flow is gone opens one of its own, which
+is passed on at once; none is dropped.
 
 :func:`idle_sessions` is the variant without an active timeout, on built-in session windows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from flowlens.operators.metering import ACTIVE_S, FLAGS, IDLE_S, PAIR, flows_from_sums, with_pair
-
-_SUMS = ["n", "bytes", "square", "forward_n", "forward_bytes", *FLAGS]
-
-
-def _fields(names_types: str) -> list[T.StructField]:
-    kinds = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(),
-             "boolean": T.BooleanType(), "short": T.ShortType()}
-    return [T.StructField(n, kinds[k]) for n, k in (part.split() for part in names_types.split(","))]
-
-
-PAIR_FIELDS = _fields("ip_a string,port_a int,ip_b string,port_b int,protocol short")
-MERGED = T.StructType(
-    PAIR_FIELDS
-    + _fields("t long,seq long,n long,bytes long,square double,smallest long,largest long,forward_n long,"
-              "forward_bytes long,first_forward boolean,ip_version short")
-    + [T.StructField(f, T.LongType()) for f in FLAGS]
-)
-OPEN = T.StructType(
-    _fields("start long,last long,n long,bytes long,square double,smallest long,largest long,"
-            "forward_n long,forward_bytes long,first_forward boolean,ip_version short,least_gap double,"
-            "most_gap double,gap_square double")
-    + [T.StructField(f, T.LongType()) for f in FLAGS]
-)
-CLOSED = T.StructType(PAIR_FIELDS + OPEN.fields)
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge the packets of each pair and millisecond inside an Arrow batch."""
-    for batch in batches:
-        df = batch.to_pandas()
-        if df.empty:
-            continue
-        size = df["size"].astype("int64")
-        df = df.assign(
-            n=1, bytes=size, square=size.astype("float64") ** 2, smallest=size, largest=size,
-            forward_n=df["forward"].astype("int64"), forward_bytes=size.where(df["forward"], 0),
-            **{f: df[f].fillna(False).astype("int64") for f in FLAGS},
-        ).sort_values("seq", kind="stable")
-        how = {name: "sum" for name in _SUMS} | {
-            "seq": "min", "smallest": "min", "largest": "max", "forward": "first", "ip_version": "min"}
-        out = df.groupby([*PAIR, "t"], sort=False).agg(how).reset_index()
-        out = out.rename(columns={"forward": "first_forward"})[MERGED.names]
-        yield pa.RecordBatch.from_pandas(out, schema=_ARROW, preserve_index=False)
-
-
-_ARROW = pa.schema([
-    (f.name, {"string": pa.string(), "int": pa.int32(), "smallint": pa.int16(), "bigint": pa.int64(),
-              "double": pa.float64(), "boolean": pa.bool_()}[f.dataType.simpleString()])
-    for f in MERGED.fields
-])
-
-
-def _cuts(t: np.ndarray, start: int, last: int | None, idle_ms: int, active_ms: int) -> list[int]:
-    """Positions in the sorted times ``t`` at which a new flow begins, given the open flow, if any."""
-    cuts = []
-    gaps = np.diff(t, prepend=t[0] if last is None else last)
-    breaks = [*np.flatnonzero(gaps > idle_ms), len(t)]
-    at = 0
-    for end in breaks:
-        while at < end:
-            nxt = int(np.searchsorted(t, start + active_ms, side="right"))
-            if nxt >= end:
-                break
-            cuts.append(max(nxt, at))
-            at, start = cuts[-1], int(t[cuts[-1]])
-        if end < len(t):
-            cuts.append(end)
-            at, start = end, int(t[end])
-    return cuts
-
-
-def _segments(rows: pd.DataFrame, t: np.ndarray, gaps: np.ndarray, starts: np.ndarray, continues: bool) -> list[dict]:
-    """The sums of the rows from each of ``starts`` to the next, all at once.
-
-    The gap before a segment counts only for the first one, and only if an open flow continues there.
+from pyspark.sql.streaming import StreamingQuery
+
+from flowlens.operators.metering import ACTIVE_S, IDLE_S, PAIR, SLICE_S, flow_sums, flows_from_sums, with_pair
+from flowlens.session import passing_scratch, written
+from flowlens.sources.storage import BATCH, FLOW_ORDER, _delete, _glob, overwrite_batch
+
+#: Keys that the packets of one pair are dealt over where they are compared with the pair's open flow.
+SALTS = 64
+
+
+def _settled(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """``pairs`` with no packet before the last one of its pair's open flow.
+
+    Only pairs with such packets, which are few, are joined to their packets, which are dealt over several keys.
     """
-    def reduced(by: np.ufunc, name: str) -> np.ndarray:
-        return by.reduceat(rows[name].to_numpy(), starts)
-
-    counted = np.ones(len(t), dtype=bool)
-    counted[starts[1:] if continues else starts] = False
-    several = np.logical_or.reduceat(rows["n"].to_numpy() > 1, starts)  # packets of one millisecond: a gap of 0
-    least = np.minimum.reduceat(np.where(counted, gaps, np.inf), starts)
-    most = np.maximum.reduceat(np.where(counted, gaps, -np.inf), starts)
-    least, most = np.where(several, np.minimum(least, 0.0), least), np.where(several, np.maximum(most, 0.0), most)
-    columns = {name: reduced(np.add, name) for name in _SUMS} | {
-        "start": t[starts], "last": t[np.append(starts[1:], len(t)) - 1],
-        "smallest": reduced(np.minimum, "smallest"), "largest": reduced(np.maximum, "largest"),
-        "first_forward": rows["first_forward"].to_numpy()[starts], "ip_version": reduced(np.minimum, "ip_version"),
-        "least_gap": np.where(np.isfinite(least), least, 0.0), "most_gap": np.where(np.isfinite(most), most, 0.0),
-        "gap_square": np.add.reduceat(np.where(counted, gaps, 0.0) ** 2, starts),
-    }
-    return [dict(zip(columns, values, strict=True)) for values in zip(*(c.tolist() for c in columns.values()), strict=True)]
-
-
-def _join(a: dict, b: dict) -> dict:
-    """The sums of an open flow and of its continuation."""
-    out = {k: a[k] + b[k] for k in (*_SUMS, "gap_square")}
-
-    lone = a["n"] == 1  # then its gaps are placeholders
-    return out | {
-        "start": a["start"], "last": b["last"], "first_forward": a["first_forward"],
-        "smallest": min(a["smallest"], b["smallest"]), "largest": max(a["largest"], b["largest"]),
-        "ip_version": min(a["ip_version"], b["ip_version"]),
-        "least_gap": b["least_gap"] if lone else min(a["least_gap"], b["least_gap"]),
-        "most_gap": b["most_gap"] if lone else max(a["most_gap"], b["most_gap"]),
-    }
-
-
-def _stepper(idle_ms: int, active_ms: int):
-    def frame(key: tuple, records: list[dict]) -> pd.DataFrame:
-        rows = [dict(zip(PAIR, key, strict=True)) | r for r in records]
-        return pd.DataFrame(rows, columns=CLOSED.names)
-
-    def plain(record: dict) -> tuple:
-        convert = {"double": float, "boolean": bool}
-        return tuple(convert.get(f.dataType.simpleString(), int)(record[f.name]) for f in OPEN.fields)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip(OPEN.names, state.get, strict=True)) if state.exists else None
-        if state.hasTimedOut:
-            state.remove()
-            yield frame(key, [held])
-            return
-        # The merged rows of one pair in one batch.
-        rows = pd.concat(list(batches)).sort_values(["t", "seq"], kind="stable")
-        t = rows["t"].to_numpy()
-        if held:
-            t = np.maximum(t, held["last"])
-        last = held["last"] if held else None
-        gaps = np.diff(t, prepend=t[0] if last is None else last).astype("float64")
-        cuts = _cuts(t, held["start"] if held else int(t[0]), last, idle_ms, active_ms)
-        # Without an open flow the first row begins one; with one, rows before the first cut continue it.
-        continues = held is not None and 0 not in cuts
-        records = _segments(rows, t, gaps, np.array(sorted({0, *cuts})), continues)
-        if continues:
-            records[0] = _join(held, records[0])
-        elif held is not None:
-            records.insert(0, held)
-        newest = records.pop()
-        state.update(plain(newest))
-        state.setTimeoutTimestamp(max(int(newest["last"]) + idle_ms + 1, state.getCurrentWatermarkMs() + 1))
-        if records:
-            yield frame(key, records)
-
-    return step
-
-
-def meter_stream(
-    packets: DataFrame, idle_s: float = IDLE_S, active_s: float = ACTIVE_S, late: str = "10 seconds"
-) -> DataFrame:
-    """Finished flows, as an append stream. ``late`` is the watermark's delay."""
-    columns = [*PAIR, "forward", "t", "seq", "size", "ip_version", *FLAGS]
-    merged = with_pair(packets).select(*columns).mapInArrow(_merge, MERGED)
-    timed = merged.withColumn("ts", F.timestamp_millis("t")).withWatermark("ts", late)
-    sums = timed.groupBy(*PAIR).applyInPandasWithState(
-        _stepper(int(idle_s * 1000), int(active_s * 1000)), CLOSED, OPEN, "append",
-        GroupStateTimeout.EventTimeTimeout,
+    first = pairs.groupBy(*PAIR).agg(F.min("t").alias("_first"))
+    late = first.join(held.select(*PAIR, "last"), PAIR).filter("_first < last").drop("_first")
+    late = written(late, "late")
+    if late.isEmpty():
+        return pairs
+    late = late.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("t", "seq"), F.lit(SALTS)).cast("int"))
+    return salted.join(late, [*PAIR, "_salt"], "left").withColumn("t", F.greatest("t", "last")).drop("_salt", "last")
+
+
+class OpenFlows:
+    """The open flows and the newest time after each batch, below ``path``."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _at(self, name: str, batch_id: int) -> str:
+        return f"{self.path}/{name}/{BATCH}={batch_id}"
+
+    def before(self, batch_id: int) -> tuple[DataFrame | None, int | None]:
+        """The open flows and the newest time that the batch before left; None for the first batch."""
+        known = [int(f.rsplit("=", 1)[1]) for f in _glob(self.spark, f"{self.path}/clock/{BATCH}=*")]
+        earlier = [b for b in known if b < batch_id]
+        if not earlier:
+            return None, None
+        newest = max(earlier)
+        clock = self.spark.read.schema("newest long").parquet(self._at("clock", newest)).first()
+        return self.spark.read.parquet(self._at("open", newest)), clock["newest"]
+
+    def put(self, batch_id: int, flows: DataFrame, newest: int | None) -> None:
+        """Store what the batch leaves, the clock last, and remove what no replay needs."""
+        clock = self.spark.range(1).select(F.lit(newest).cast("long").alias("newest"))
+        for name, rows in (("open", flows), ("clock", clock)):
+            rows.write.mode("overwrite").parquet(self._at(name, batch_id))
+        for name in ("open", "clock"):
+            for folder in _glob(self.spark, f"{self.path}/{name}/{BATCH}=*"):
+                if int(folder.rsplit("=", 1)[1]) < batch_id - 1:
+                    _delete(self.spark, folder)
+
+
+def meter_batch(packets: DataFrame, batch_id: int, flows: str, state: OpenFlows, idle_s: float, active_s: float,
+                late_s: float, slice_s: int = SLICE_S) -> None:
+    """Meter one batch: finished flows go to the table ``flows`` under the number of the batch, open ones to ``state``."""
+    spark, idle_ms = packets.sparkSession, int(idle_s * 1000)
+    held, before = state.before(batch_id)
+    with passing_scratch(spark):
+        pairs = with_pair(packets).persist()
+        try:
+            newest = pairs.agg(F.max("t")).first()[0]
+            newest = max((t for t in (before, newest) if t is not None), default=None)
+            settled = pairs if held is None else _settled(pairs, held)
+            sums = flow_sums(settled, idle_ms, int(active_s * 1000), slice_s * 1000, held)
+            over = F.max("start").over(Window.partitionBy(*PAIR))
+            mark = F.lit(None if newest is None else newest - int(late_s * 1000)).cast("long")
+            is_open = (F.col("start") == over) & ~F.coalesce(F.col("last") + idle_ms + 1 < mark, F.lit(False))
+            sums = written(sums.withColumn("_open", is_open), "flow-sums")
+            overwrite_batch(flows_from_sums(sums.filter("NOT _open")), flows, batch_id, "collected_at", FLOW_ORDER)
+            state.put(batch_id, sums.filter("_open").drop("_open").withColumn("lead", F.lit(None).cast("long")), newest)
+        finally:
+            pairs.unpersist()
+
+
+def start_metering(
+    packets: DataFrame,
+    flows: str,
+    state: str,
+    checkpoint: str,
+    idle_s: float = IDLE_S,
+    active_s: float = ACTIVE_S,
+    late_s: float = 10,
+    slice_s: int = SLICE_S,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Meter a stream of packets into the stored flow table ``flows``, with the open flows below ``state``."""
+    kept = OpenFlows(packets.sparkSession, state)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        meter_batch(batch, batch_id, flows, kept, idle_s, active_s, late_s, slice_s)
+
+    return (
+        packets.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
     )
-    return flows_from_sums(sums)
 
 
 def idle_sessions(packets: DataFrame, idle_s: float = IDLE_S, late: str = "10 seconds") -> DataFrame:

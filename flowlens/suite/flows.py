@@ -50,7 +50,7 @@ SELECT first(src_ip ORDER BY t, seq) AS src_ip, first(dst_ip ORDER BY t, seq) AS
  cast(min(size) AS double) AS min_ps, round(cast(cast(avg(size) AS float) AS double), 3) AS mean_ps,
  round(cast(cast(coalesce(stddev_samp(size), 0) AS float) AS double), 3) AS stddev_ps, cast(max(size) AS double) AS max_ps,
  cast(cast(coalesce(min(iat), 0) AS float) AS double) AS min_piat, cast(cast(coalesce(avg(iat), 0) AS float) AS double) AS mean_piat,
- round(cast(cast(coalesce(stddev_samp(iat), 0) AS float) AS double) / 1000, 0) AS stddev_piat_s, cast(cast(coalesce(max(iat), 0) AS float) AS double) AS max_piat,
+ round(cast(cast(coalesce(stddev_samp(iat), 0) AS float) AS double), 0) AS stddev_piat, cast(cast(coalesce(max(iat), 0) AS float) AS double) AS max_piat,
  count(*) FILTER (syn) AS syn, count(*) FILTER (ack) AS ack, count(*) FILTER (psh) AS psh,
  count(*) FILTER (rst) AS rst, count(*) FILTER (fin) AS fin
 FROM (SELECT *, t - lag(t) OVER w AS iat, first_value(src_ip) OVER w AS sender,
@@ -62,8 +62,8 @@ GROUP BY {group}
 
 def _flow_view(flows):
     """The columns the SQL above computes; the 32-bit statistics are rounded to what they can hold."""
-    def stat(name, alias, digits, scale=1.0):
-        return F.round(F.col(name).cast("double") / scale, digits).alias(alias)
+    def stat(name, alias, digits):
+        return F.round(F.col(name).cast("double"), digits).alias(alias)
 
     return flows.select(
         "src_ip", "dst_ip", "src_port", "dst_port",
@@ -74,7 +74,7 @@ def _flow_view(flows):
         stat("bidirectional_min_ps", "min_ps", 3), stat("bidirectional_mean_ps", "mean_ps", 3),
         stat("bidirectional_stddev_ps", "stddev_ps", 3), stat("bidirectional_max_ps", "max_ps", 3),
         stat("bidirectional_min_piat_ms", "min_piat", 0), stat("bidirectional_mean_piat_ms", "mean_piat", 3),
-        stat("bidirectional_stddev_piat_ms", "stddev_piat_s", 0, 1000.0),
+        stat("bidirectional_stddev_piat_ms", "stddev_piat", 0),
         stat("bidirectional_max_piat_ms", "max_piat", 0),
         *[F.col(f"bidirectional_{f}_packets").alias(f) for f in metering.FLAGS],
     )

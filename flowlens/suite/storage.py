@@ -23,7 +23,7 @@ from flowlens.streaming.classify import Outputs, start_classification, start_thr
 from flowlens.streaming.counters import running_counters
 from flowlens.streaming.incidents import start_incidents
 from flowlens.streaming.ingest import start_ingest
-from flowlens.streaming.meter import meter_stream
+from flowlens.streaming.meter import start_metering
 from flowlens.suite.flows import ACTIVE_S, IDLE_S, METERED_SQL
 from flowlens.suite.monitoring import NOW
 from flowlens.suite.registry import query, register
@@ -271,11 +271,18 @@ SELECT src_ip, dst_ip, src_port, dst_port, first_ms, last_ms, packets, bytes FRO
   (SELECT max(t) FROM pairs) - {LATE_S * 1000} AS mark FROM metered) f
 WHERE following IS NOT NULL OR last_ms + {IDLE_S * 1000} + 1 < mark""")
 def _meter_stream(v: Views):
-    """The flows a stream has finished: those a later packet or the watermark has ended."""
-    path, mark = scratch_path(v.spark, "metered"), scratch_path(v.spark, "metered-mark")
-    flows = meter_stream(v.packets_of(v.event_stream()), IDLE_S, ACTIVE_S, f"{LATE_S} seconds")
-    flows.writeStream.format("parquet").option("path", path).option("checkpointLocation", mark).trigger(
-        availableNow=True).start().awaitTermination()
+    """The flows a stream has finished after two batches: those a later packet or the watermark has ended."""
+    source, path, state, mark = (scratch_path(v.spark, n) for n in ("packets", "metered", "open-flows", "metered-mark"))
+
+    def run():
+        stream = v.spark.readStream.schema(v.packets.schema).parquet(source)
+        start_metering(stream, path, state, mark, IDLE_S, ACTIVE_S, LATE_S).awaitTermination()
+
+    early = F.col("ts") < F.lit(MID_MONTH).cast("timestamp")
+    v.packets.filter(early).write.parquet(source)
+    run()
+    v.packets.filter(~early).write.mode("append").parquet(source)
+    run()
     return v.spark.read.schema(FLOWS).parquet(path).select(
         "src_ip", "dst_ip", "src_port", "dst_port", F.col("bidirectional_first_seen_ms").alias("first_ms"),
         F.col("bidirectional_last_seen_ms").alias("last_ms"), F.col("bidirectional_packets").alias("packets"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import metering
 from flowlens.schemas import FLOWS, PACKETS
-from flowlens.streaming.meter import idle_sessions, meter_stream
+from flowlens.streaming.meter import OpenFlows, idle_sessions, meter_batch, start_metering
 
 EPOCH = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 FLAGS = metering.FLAGS
@@ -156,17 +156,81 @@ def _run(df, out, mark, mode="append"):
         "checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
 
 
-@pytest.mark.parametrize("seed,idle_s,active_s", [(7, 0.3, 2), (8, 3, 1)])
-def test_stream_equals_batch(spark, tmp_path, seed, idle_s, active_s):
-    """With a closing packet far in the future every earlier flow is finished and must be there."""
-    packets = traffic(seed, 600, 5, 30_000)
+@pytest.mark.parametrize("seed,idle_s,active_s,chase_rows", [(7, 0.3, 2, 100_000), (8, 3, 1, 40)])
+def test_stream_equals_batch(spark, tmp_path, monkeypatch, seed, idle_s, active_s, chase_rows):
+    """With a closing packet far in the future every earlier flow is finished and must be there.
+
+    Sessions are cut by a pass over their times, and those of more than ``chase_rows`` packets by pointers.
+    """
+    monkeypatch.setattr(metering, "CHASE_ROWS", chase_rows)
+    packets = traffic(seed, 300, 4, 15_000)
     end = packet(10_000_000, 10**6, ("9.9.9.9", 9), ("8.8.8.8", 8))
-    stream = _as_stream(spark, packets + [end], str(tmp_path / "in"), 5)
-    _run(meter_stream(stream, idle_s, active_s, "1 second"), str(tmp_path / "out"), str(tmp_path / "mark"))
-    rows = spark.read.schema(FLOWS).parquet(str(tmp_path / "out")).filter("src_ip != '9.9.9.9'").collect()
+    stream = _as_stream(spark, packets + [end], str(tmp_path / "in"), 3)
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    start_metering(stream, out, state, str(tmp_path / "mark"), idle_s, active_s, 1).awaitTermination()
+    rows = spark.read.schema(FLOWS).parquet(out).filter("src_ip != '9.9.9.9'").collect()
     same(found(rows), expected(plain_meter(packets, idle_s * 1000, active_s * 1000)))
 
 
+def test_large_sessions_follow_pointers(spark, monkeypatch):
+    monkeypatch.setattr(metering, "CHASE_ROWS", 300)
+    packets = traffic(12, 1500, 4, 60_000)
+    df = spark.createDataFrame(packets, PACKETS).repartition(5)
+    same(found(metering.meter(df, 2, 3, 1).collect()), expected(plain_meter(packets, 2000, 3000)))
+
+
+def test_a_replayed_batch_gives_the_same_flows(spark, tmp_path):
+    packets = traffic(13, 400, 4, 20_000)
+    halves = [spark.createDataFrame(p, PACKETS) for p in (packets[:200], packets[200:])]
+    state, out = OpenFlows(spark, str(tmp_path / "state")), str(tmp_path / "out")
+    for batch_id, number in ((0, 0), (1, 1), (1, 1)):
+        meter_batch(halves[number], batch_id, out, state, 1, 2, 1, 1)
+    closed = found(spark.read.schema(FLOWS).parquet(out).collect())
+    left = found(metering.flows_from_sums(state.before(2)[0]).collect())
+    assert not closed.keys() & left.keys() and left
+    same(closed | left, expected(plain_meter(packets, 1000, 2000)))
+
+
+def test_packets_that_arrive_late_count_at_the_last_time(spark, tmp_path):
+    """The open flow's last packet is at 900; one of 300 that comes after it counts there, also in the same instant."""
+    a, b = ("10.0.0.1", 5), ("10.0.0.2", 6)
+    state, out = OpenFlows(spark, str(tmp_path / "state")), str(tmp_path / "out")
+    batches = [[packet(900, 0, b, a, 10)], [packet(300, 1, a, b, 20), packet(950, 2, a, b, 30)], [packet(99_000, 3, a, b)]]
+    for batch_id, rows in enumerate(batches):
+        meter_batch(spark.createDataFrame(rows, PACKETS), batch_id, out, state, 1, 5, 1, 1)
+    row = spark.read.schema(FLOWS).parquet(out).first()
+    assert (row.src_ip, row.bidirectional_packets, row.bidirectional_bytes, row.bidirectional_duration_ms) == ("10.0.0.2", 3, 60, 50)
+    assert (row.bidirectional_min_piat_ms, row.bidirectional_max_piat_ms, row.src2dst_packets) == (0, 50, 1)
+    assert state.before(3)[0].count() == 1
+    assert spark.read.schema(FLOWS).parquet(out).count() == 1
+
+
+def test_an_empty_batch_keeps_open_flows(spark, tmp_path):
+    state, out = OpenFlows(spark, str(tmp_path / "state")), str(tmp_path / "out")
+    one = spark.createDataFrame([packet(5, 0, ("1.1.1.1", 1), ("2.2.2.2", 2), 99)], PACKETS)
+    meter_batch(one, 0, out, state, 1, 5, 1)
+    meter_batch(one.limit(0), 1, out, state, 1, 5, 1)
+    assert state.before(2)[0].count() == 1 and spark.read.schema(FLOWS).parquet(out).count() == 0
+
+
+def test_a_hot_pair_is_metered_in_several_tasks(spark):
+    """A third of the packets in one pair: its slices lie in several partitions, though few rows are put together."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.createDataFrame(traffic(14, 3000, 20, 60_000), PACKETS).repartition(5)
+    slices = metering.combine(metering.pieces(metering.with_previous(metering.merge_instants(
+        metering.with_pair(df), 1000))), [*metering.PAIR, "slice"])
+    tasks = slices.filter("ip_a = '10.0.0.0'").select(F.spark_partition_id().alias("p")).distinct().count()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert tasks > 2
+
+
+def test_even_gaps_have_no_deviation(spark):
+    a, b = ("10.0.0.1", 5), ("10.0.0.2", 6)
+    df = spark.createDataFrame([packet(86_399_999 + 33_333 * i, i, a, b, 1499) for i in range(50)], PACKETS)
+    row = metering.meter(df).first()
+    assert (row.bidirectional_stddev_piat_ms, row.bidirectional_stddev_ps) == (0.0, 0.0)
+
+
 def test_stream_sessions_equal_batch(spark, tmp_path):
     packets = traffic(11, 400, 4, 30_000)
     end = packet(10_000_000, 10**6, ("9.9.9.9", 9), ("8.8.8.8", 8))
