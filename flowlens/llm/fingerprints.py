@@ -18,8 +18,10 @@ from flowlens.session import written
 
 #: Terms whose votes fit the signed bytes of a long.
 LANE_TERMS = 120
-#: Rows of one run of neighbouring documents, about, and quantiles that place the runs.
-RUN_ROWS, KNOTS = 2_000, 128
+#: Rows of one run of neighbouring documents, about, and the runs that quantiles divide a larger one into at a time.
+RUN_ROWS, KNOTS = 400, 32
+#: Fingerprints of a block of those that meet in one front of a table.
+BLOCK = 512
 BITS = 128
 
 _BYTES = 0x0101010101010101
@@ -80,24 +82,40 @@ def likeness(bits: Column) -> Column:
 
 
 def _runs(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with ``run``: larger ids have larger runs, of about RUN_ROWS rows; null ids run -1.
+    """``docs`` (doc_id, text) with ``run``: larger ids have larger runs, of about RUN_ROWS rows however the ids lie.
 
-    Quantiles place knots among the ids, and between two knots the runs divide the ids evenly.
+    All ids are divided at their quantiles, then the ids of each part at theirs, until the parts are small. Null ids have
+    runs below 0, divided by the md5 of their text, which is their order.
     """
-    rows, knots = docs.agg(
-        F.count("doc_id"), F.percentile_approx("doc_id", [k / KNOTS for k in range(KNOTS + 1)], 10_000)).first()
-    knots = sorted(set(knots or []))
-    if len(knots) < 2:
-        return docs.withColumn("run", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long"))
-    each = max(1, -(-rows // ((len(knots) - 1) * RUN_ROWS)))
-    marks = F.array(*[F.lit(float(k)) for k in knots])
-    at = F.greatest(F.lit(1), F.least(
-        F.size(F.filter(marks, lambda m: m <= F.col("doc_id"))), F.lit(len(knots) - 1))).cast("int")
-    low, high = F.element_at(marks, at), F.element_at(marks, at + 1)
-    inside = F.floor((F.col("doc_id") - low) / (high - low) * each)
-    inside = F.least(F.greatest(inside, F.lit(0)), F.lit(each - 1))
-    run = (at.cast("long") * each + inside).cast("long")
-    return docs.withColumn("run", F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(run))
+    rows, without = docs.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    placed, size = docs.withColumn("run", F.lit(0).cast("long")), RUN_ROWS
+    while size < rows:
+        size *= KNOTS
+        marks = placed.filter("doc_id IS NOT NULL").groupBy(F.col("run").alias("of")).agg(
+            F.percentile_approx("doc_id", [k / KNOTS for k in range(1, KNOTS)], 10_000).alias("marks"))
+        place = F.coalesce(F.size(F.filter("marks", lambda m: m <= F.col("doc_id"))), F.lit(0))
+        placed = placed.join(written(marks, "marks"), F.col("run") == F.col("of"), "left").withColumn(
+            "run", F.col("run") * KNOTS + place).drop("of", "marks")
+    share = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    own = -1 - F.floor(share * F.lit(max(1, -(-without // RUN_ROWS)))).cast("long")
+    return placed.withColumn("run", F.when(F.col("doc_id").isNull(), own).otherwise(F.col("run")))
+
+
+def _next_heads(placed: DataFrame) -> DataFrame:
+    """For each run as ``before``, the run after it (the last has the first) and its greatest id: run, first_id.
+
+    Runs are put in order inside groups of neighbouring ones, and the groups among themselves.
+    """
+    heads = placed.groupBy("run").agg(F.max("doc_id").alias("first_id")).withColumn("group", F.floor(F.col("run") / 1024))
+    head = F.struct("run", "first_id")
+    groups = heads.groupBy("group").agg(F.max(head).alias("top"))
+    every = Window.partitionBy()
+    groups = groups.select("group", F.coalesce(F.lead("top").over(Window.orderBy(F.desc("group"))),
+                                               F.max("top").over(every)).alias("beyond"))
+    inside = F.lead(head).over(Window.partitionBy("group").orderBy(F.desc("run")))
+    heads = heads.withColumn("inside", inside).join(groups, "group").select(
+        F.col("run").alias("before"), F.coalesce("inside", "beyond").alias("next"))
+    return heads.select("before", "next.run", "next.first_id")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,15 +133,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     """
     chosen = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     placed = _runs(chosen)
-    heads = placed.groupBy("run").agg(F.max("doc_id").alias("first_id"))
-    falling = Window.orderBy(F.desc("run"))  # one row for each run, never the documents
-    every = Window.partitionBy()
-    heads = heads.select(F.col("run").alias("before"), F.coalesce(
-        F.lead(F.struct("run", "first_id")).over(falling),
-        F.max(F.struct("run", "first_id")).over(every)).alias("next"))
-    heads = written(heads.select("before", "next.run", "next.first_id"), "heads")
-    tails = placed.join(F.broadcast(heads.withColumnRenamed("run", "r")), (F.col("run") == F.col("r")) & F.col(
-        "doc_id").eqNullSafe(F.col("first_id"))).groupBy("before").agg(F.min_by("text", F.md5("text")).alias("text"))
+    heads = written(_next_heads(placed), "heads").withColumnRenamed("run", "r")
+    tails = placed.join(heads, (F.col("run") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy(
+        "before").agg(F.min_by("text", F.md5("text")).alias("text"))
     tails = tails.select(F.lit(None).cast(chosen.schema["doc_id"].dataType).alias("doc_id"), "text",
                          F.col("before").alias("run"), F.lit(1).alias("extra"))
     rows = placed.withColumn("extra", F.lit(0)).unionByName(tails)
@@ -151,12 +163,15 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "te
         likeness(distance(own, edit)).alias("near_edited"), likeness(distance(own, after)).alias("near_next"), "hi", "lo")
 
 
-def within_radius(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """All pairs of distinct fingerprints (hi, lo) that differ in 1 to ``radius`` bits: hi, lo, other_hi, other_lo, bits.
+def _met(prints: DataFrame, radius: int) -> DataFrame:
+    """For distinct fingerprints hi, lo: ``others``, some of those that differ in 1 to ``radius`` bits, each in one row only.
 
     With the 128 bits in radius + 2 blocks, such a pair agrees in two whole blocks at least. Each pair of blocks is a
-    permuted table with those blocks in front; fingerprints meet where the front of a table is equal, and a pair is kept
-    only by the first table in which it meets. Equal fingerprints are one entry, so copies never meet each other.
+    permuted table with those blocks in front; fingerprints meet where the front of a table is equal, and a pair counts
+    only in the first table in which it meets. Equal fingerprints are one entry, so copies never meet each other.
+
+    Fingerprints alone with a front go first. The others of a front are dealt in blocks, and each meets every block as one
+    array: a front of m fingerprints makes m * m / BLOCK rows in as many groups, never a row for each pair.
     """
     edges = [BITS * k // (radius + 2) for k in range(radius + 3)]
 
@@ -165,30 +180,45 @@ def within_radius(prints: DataFrame, radius: int = 3) -> DataFrame:
         signed = [m - (1 << 64) if m >> 63 else m for m in (mask >> 64, mask & ((1 << 64) - 1))]
         return hi.bitwiseAND(F.lit(signed[0]).cast("long")), lo.bitwiseAND(F.lit(signed[1]).cast("long"))
 
-    prints = prints.select("hi", "lo").distinct()
+    mine = (F.col("hi"), F.col("lo"))
     pairs = list(combinations(range(radius + 2), 2))
-    fronts = F.array(*[F.struct(F.lit(t).alias("table"), F.xxhash64(*block(F.col("hi"), F.col("lo"), a),
-                                                                     *block(F.col("hi"), F.col("lo"), b)).alias("front"))
+    fronts = F.array(*[F.struct(F.lit(t).alias("table"), F.xxhash64(*block(*mine, a), *block(*mine, b)).alias("front"))
                        for t, (a, b) in enumerate(pairs)])
+    prints = prints.select("hi", "lo").distinct()
     tables = prints.select("hi", "lo", F.explode(fronts).alias("f")).select("hi", "lo", "f.table", "f.front")
-    other = tables.select(F.col("hi").alias("other_hi"), F.col("lo").alias("other_lo"), "table", "front")
-    mine, theirs = (F.col("hi"), F.col("lo")), (F.col("other_hi"), F.col("other_lo"))
-    same: list[Column] = []
-    for k in range(radius + 2):
-        x, y = block(*mine, k), block(*theirs, k)
-        same.append((x[0] == y[0]) & (x[1] == y[1]))
-    first = F.lit(-1)
-    for t, (a, b) in reversed(list(enumerate(pairs))):
-        first = F.when(same[a] & same[b], F.lit(t)).otherwise(first)
+    shared = tables.groupBy("table", "front").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    shared = written(tables.join(shared.select("table", "front", blocks.alias("blocks")), ["table", "front"]), "fronts")
+    key = ["table", "front", "block"]
+    entries = shared.withColumn("block", F.pmod(F.xxhash64(*mine), F.col("blocks")).cast("int")).groupBy(*key).agg(
+        F.collect_list(F.struct("hi", "lo")).alias("entries"))
+    asks = shared.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+    def near(other: Column) -> Column:
+        theirs = (other["hi"], other["lo"])
+        bits = distance(mine, theirs)
+        same = []
+        for k in range(radius + 2):
+            x, y = block(*mine, k), block(*theirs, k)
+            same.append((x[0] == y[0]) & (x[1] == y[1]))
+        first = F.lit(-1)
+        for t, (a, b) in reversed(list(enumerate(pairs))):
+            first = F.when(same[a] & same[b], F.lit(t)).otherwise(first)
+        return (bits > 0) & (bits <= radius) & (first == F.col("table"))
+
+    return asks.join(entries, key).select("hi", "lo", F.filter("entries", near).alias("others"))
+
+
+def within_radius(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """All pairs of distinct fingerprints (hi, lo) that differ in 1 to ``radius`` bits: hi, lo, other_hi, other_lo, bits."""
+    found = _met(prints, radius).select("hi", "lo", F.explode("others").alias("o")).select(
+        "hi", "lo", F.col("o.hi").alias("other_hi"), F.col("o.lo").alias("other_lo"))
     ahead = (F.col("hi") < F.col("other_hi")) | ((F.col("hi") == F.col("other_hi")) & (F.col("lo") < F.col("other_lo")))
-    near = tables.join(other, ["table", "front"]).filter(
-        ahead & (distance(mine, theirs) <= radius) & (first == F.col("table")))
-    return near.select("hi", "lo", "other_hi", "other_lo", distance(mine, theirs).alias("bits"))
+    bits = distance((F.col("hi"), F.col("lo")), (F.col("other_hi"), F.col("other_lo")))
+    return found.filter(ahead).withColumn("bits", bits)
 
 
 def with_neighbours(found: DataFrame, radius: int = 3) -> DataFrame:
     """``found`` with n_near: how many other fingerprints lie within ``radius`` bits."""
-    pairs = within_radius(found, radius)
-    ends = pairs.select("hi", "lo").unionByName(pairs.select(F.col("other_hi").alias("hi"), F.col("other_lo").alias("lo")))
-    counts = ends.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_near"))
+    counts = _met(found, radius).groupBy("hi", "lo").agg(F.sum(F.size("others")).cast("long").alias("n_near"))
     return found.join(counts, ["hi", "lo"], "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))

@@ -263,6 +263,33 @@ def test_runs_of_neighbours(spark, monkeypatch):
         assert found[i] == hashlib.sha256((t[:len(t) - half] + n[:half]).encode()).hexdigest()
 
 
+def test_runs_are_even(spark, monkeypatch):
+    """Clustered ids and null ids: no run holds many rows, and the order of runs is that of the ids."""
+    monkeypatch.setattr(fingerprints, "RUN_ROWS", 20)
+    monkeypatch.setattr(fingerprints, "KNOTS", 4)
+    ids = [*range(10**12, 10**12 + 900), *(k * 10**9 for k in range(50)), *[None] * 400]
+    docs = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    runs = [(r["doc_id"], r["run"], r["md5"]) for r in fingerprints._runs(docs).withColumn("md5", F.md5("text")).collect()]
+    assert max(Counter(run for _, run, _ in runs).values()) <= 80
+    order = sorted(runs, key=lambda r: (r[0] is None, -(r[0] or 0), r[2]))
+    assert [r[1] for r in order] == sorted((r[1] for r in order), reverse=True)
+    found = fingerprints.edited_fingerprints(docs).collect()
+    following = {(r[0], r[2]): order[(k + 1) % len(order)][2] for k, r in enumerate(order)}
+    text = {hashlib.md5(f"t{k}".encode()).hexdigest(): f"t{k}" for k in range(len(ids))}
+    edited = sorted(hashlib.sha256((text[m][:len(text[m]) - len(text[m]) // 2] + text[n][:len(text[m]) // 2]).encode()).hexdigest()
+                    for (_, m), n in following.items())
+    assert sorted(r["edited_sha256"] for r in found) == edited
+
+
+def test_a_front_of_many_fingerprints(spark, monkeypatch):
+    """Fingerprints that differ in their last bits only meet in blocks; counts are those of all pairs."""
+    monkeypatch.setattr(fingerprints, "BLOCK", 16)
+    low = list(range(200))
+    df = spark.createDataFrame([(7, x) for x in low], "hi long, lo long")
+    want = {x: sum(0 < (x ^ y).bit_count() <= 3 for y in low) for x in low}
+    assert {r["lo"]: r["n_near"] for r in fingerprints.with_neighbours(df).collect()} == want
+
+
 def test_fingerprints_of_nothing(nothing):
     assert fingerprints.edited_fingerprints(nothing).collect() == []
 
