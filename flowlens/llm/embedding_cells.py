@@ -22,8 +22,12 @@ from flowlens.llm.links import components, join_labels
 from flowlens.session import written
 
 THRESHOLD = 0.98
-#: Vectors that centroids are fitted on at most, and centroids at most: both travel through the driver.
-SAMPLE, MOST_CELLS = 20_000, 1024
+#: Vectors that up to 1024 centroids are fitted on, and for each centroid where there are more.
+SAMPLE, CELL_SAMPLE = 20_000, 4
+#: Centroids at most, and their bytes: they travel through the driver, and to every executor.
+MOST_CELLS, CENTER_BYTES = 65_536, 64_000_000
+#: Rows times centroids that a task measures at a time.
+PRODUCTS = 4_000_000
 #: Distinct vectors of a cell, about, and of a block that one task multiplies.
 CELL_ROWS, BLOCK = 2_000, 2_048
 
@@ -56,6 +60,16 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 3) ->
     return centers
 
 
+def cell_centers(x: np.ndarray, k: int, most: int = 1024) -> np.ndarray:
+    """About ``k`` unit centroids; more than ``most`` are fitted in two levels, each part of the first by itself."""
+    if k <= most:
+        return spherical_kmeans(x, k)
+    tops = spherical_kmeans(x, math.ceil(math.sqrt(k)))
+    near = np.concatenate([(x[i : i + 4096] @ tops.T).argmax(axis=1) for i in range(0, len(x), 4096)])
+    parts = [x[near == j] for j in range(len(tops))]
+    return np.concatenate([spherical_kmeans(p, max(1, round(k * len(p) / len(x)))) for p in parts if len(p)])
+
+
 def visited(x: np.ndarray, centers: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """The nearest cell of each row, and which cells each row visits (its own included)."""
     dots = x @ centers.T
@@ -106,9 +120,11 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     n_classes = classes.count()
     widths = classes.groupBy(F.length("unit").alias("w")).count().orderBy(F.desc("count"), "w").first()
     width = widths["w"] // 8 if widths else 0
-    k = max(1, min(MOST_CELLS, cells or math.ceil(n_classes / CELL_ROWS)))
+    most = max(1, min(MOST_CELLS, CENTER_BYTES // (8 * max(width, 1))))
+    k = max(1, min(most, cells or math.ceil(n_classes / CELL_ROWS)))
+    sample = max(sample, CELL_SAMPLE * k if k > 1024 else 0)
     picked = classes.filter(F.length("unit") == width * 8).orderBy("key", "label").limit(sample).select("unit").toArrow()
-    centers = spherical_kmeans(_matrix(picked["unit"], width), k) if picked.num_rows else np.zeros((1, max(width, 1)))
+    centers = cell_centers(_matrix(picked["unit"], width), k) if picked.num_rows else np.zeros((1, max(width, 1)))
     shared = spark.sparkContext.broadcast(centers)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,9 +134,11 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
             home = np.full(len(batch), -1)
             lists = [[-1]] * len(batch)  # other lengths have a cell of their own for each length
             at = np.flatnonzero(usual)
-            if len(at):
-                home[at], visits = visited(_matrix(batch.column("unit").take(pa.array(at)), known.shape[1]), known, threshold)
-                for r, v in zip(at, visits):
+            step = max(1, PRODUCTS // len(known))
+            for begin in range(0, len(at), step):
+                some = at[begin : begin + step]
+                home[some], visits = visited(_matrix(batch.column("unit").take(pa.array(some)), known.shape[1]), known, threshold)
+                for r, v in zip(some, visits):
                     lists[r] = np.flatnonzero(v).tolist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("cid"), batch.column("label"), pa.array(home.astype(np.int32)),

@@ -207,6 +207,19 @@ def test_near_embeddings(spark):
         same_rows(embedding_cells.near_embeddings(df, cells=cells, block=block).collect(), want)
 
 
+def test_many_cells_lose_no_link():
+    """Centroids of two levels: as many as asked for, and either end of a link visits the cell of the other."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 8))[rng.integers(0, 60, 1200)] + 0.1 * rng.normal(size=(1200, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centers = embedding_cells.cell_centers(x, 100, most=30)
+    assert 80 <= len(centers) <= 120 and np.allclose(np.linalg.norm(centers, axis=1), 1)
+    home, visits = embedding_cells.visited(x, centers, 0.98)
+    a, b = np.nonzero(x @ x.T >= 0.98)
+    assert len(a) > 2 * len(x) and visits[a, home[b]].all()
+    assert visits.mean() < 0.5
+
+
 def test_embeddings_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_cells.near_embeddings(empty).collect() == []
