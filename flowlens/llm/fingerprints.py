@@ -22,6 +22,8 @@ LANE_TERMS = 120
 RUN_ROWS, KNOTS = 400, 32
 #: Fingerprints of a block of those that meet in one front of a table.
 BLOCK = 512
+#: Keys that the rows of one fingerprint are dealt over.
+SALTS = 16
 BITS = 128
 
 _BYTES = 0x0101010101010101
@@ -221,4 +223,8 @@ def within_radius(prints: DataFrame, radius: int = 3) -> DataFrame:
 def with_neighbours(found: DataFrame, radius: int = 3) -> DataFrame:
     """``found`` with n_near: how many other fingerprints lie within ``radius`` bits."""
     counts = _met(found, radius).groupBy("hi", "lo").agg(F.sum(F.size("others")).cast("long").alias("n_near"))
-    return found.join(counts, ["hi", "lo"], "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))
+    # Copies share a fingerprint: they are dealt over several keys, and the few fingerprints with neighbours go to all.
+    counts = counts.filter("n_near > 0").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = found.withColumn("_salt", F.pmod(F.xxhash64(*found.columns), F.lit(SALTS)).cast("int"))
+    return salted.join(counts, ["hi", "lo", "_salt"], "left").drop("_salt").withColumn(
+        "n_near", F.coalesce("n_near", F.lit(0).cast("long")))
