@@ -42,7 +42,7 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source", "source_size", "target", "copies", "taken")
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
