@@ -5,6 +5,8 @@ import socket
 import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,3 +293,48 @@ def test_capture_to_flows(spark, tmp_path):
     assert [(r.bidirectional_packets, r.src2dst_packets, r.bidirectional_syn_packets, r.bidirectional_fin_packets)
             for r in rows] == [(3, 2, 2, 0), (1, 1, 0, 1)]
     assert rows[0].packets_per_second == 3.0 and rows[0].bidirectional_mean_piat_ms == 500
+
+
+def test_a_query_is_sent_once_to_a_block_of_rows(spark, monkeypatch):
+    """Rows sent to the tasks: queries by blocks of base rows, not by the cells or leaves that they visit."""
+    from flowlens.operators import knn as module
+
+    rows, df = vectors(spark, 400, width=16)
+    sent, search = [], module._search
+    monkeypatch.setattr(module, "QUERY_BLOCKS", 1)
+
+    def watched(visits, queries, base, sizes, *rest):
+        blocks = visits.select("block").distinct().count()
+        cells = visits.count()
+        found = search(visits, queries, base, sizes, *rest)
+        sent.append((blocks, cells))
+        return found
+
+    monkeypatch.setattr(module, "_search", watched)
+    found = knn(df, as_queries(df), 5, cells=20, fields=[])
+    assert shown(found) == brute(rows, rows, 5, "cosine")
+    assert all(blocks == 1 and cells <= 20 for blocks, cells in sent)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+@pytest.mark.parametrize("scale", [1e-6, 1.0, 1e4])
+def test_single_precision_misses_no_pair(metric, scale):
+    """Close and equal vectors of any size: ties at the k-th distance go to the smaller id, as in double precision."""
+    from flowlens.operators.knn import _meet, distances
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 12))[rng.integers(0, 40, 3000)] * scale
+    x[::2] += rng.normal(size=x[::2].shape) * scale * 1e-6
+    lists = pa.array(x.tolist(), pa.list_(pa.float64()))
+    ids = np.random.default_rng(6).permutation(3000)
+    base = pa.table({"id": ids, "embedding": lists, "cell": pa.array(np.arange(3000) % 3, pa.int32())})
+    asks = pa.table({"query_id": ids[:60], "embedding": lists.slice(0, 60), "bound": np.full(60, np.inf)})
+    got = _meet(7, metric, "id", "embedding", [], None)(asks, base)
+    gap = np.round(distances(x[:60], x, metric), 6) + 0.0
+    for i in range(60):
+        mine = sorted((r["distance"], r["id"]) for r in got.filter(pa.compute.equal(got["query_id"], int(ids[i]))).to_pylist())
+        order = np.lexsort((ids, gap[i]))[:7]
+        close = 2e-6 if metric != "ip" else 2e-6 * max(1.0, scale * scale)
+        assert np.allclose([d for d, _ in mine], gap[i][order], atol=close + (1e-3 if metric == "l2" and scale > 1 else 0), rtol=1e-9)
+        if metric == "cosine":
+            assert [j for _, j in mine] == ids[order].tolist()
