@@ -31,6 +31,16 @@ _FILES = T.StructType([T.StructField("file", T.StringType()), T.StructField("bat
                        T.StructField("rows", T.LongType())])
 
 
+#: Bytes of rows that a task sorts at most for one file, about.
+TASK_BYTES = 512 << 20
+
+
+def row_bytes(schema: T.StructType) -> int:
+    """About the bytes of a row that is sorted: 16 for a column, and 32 more for one of no fixed width."""
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+    return sum(16 if isinstance(f.dataType, fixed) else 48 for f in schema.fields)
+
+
 class Conflict(RuntimeError):
     """Another change was committed meanwhile; the snapshot is as that change left it."""
 
@@ -119,7 +129,7 @@ class SnapshotTable:
     def merge(self, until: dt.datetime, files: int = 1, rows: int = 5_000_000) -> dict:
         """Rewrite the months that ended before ``until`` and have more than ``files`` files, in ranges of the order.
 
-        About ``rows`` rows a file. The newest batch stays as it is. Runs jobs for each such month.
+        About ``rows`` rows a file, and no more than a task sorts in TASK_BYTES. The newest batch stays as it is. Runs jobs for each such month.
         """
         before = self.snapshot()
         months = dict(before["months"])
@@ -132,7 +142,7 @@ class SnapshotTable:
             due = listed.filter(F.col("batch") <= last)
             total = due.agg(F.sum("rows"), F.count(F.lit(1))).first()
             if total[1] > files:
-                count = max(files, -(-total[0] // rows))
+                count = max(files, -(-total[0] // rows), -(-total[0] * row_bytes(self.schema) // TASK_BYTES))
                 made = self._merged(self._read([r["file"] for r in due.select("file").collect()]), last, count)
                 months[month] = self._month(listed.filter(F.col("batch") > last).unionByName(made), last)
             listed.unpersist()

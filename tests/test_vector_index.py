@@ -158,3 +158,9 @@ def test_lookups_read_bounded_leaves(spark, tmp_path):
     read = store.leaves(opened[0], 2).inputFiles()
     assert 0 < len(read) and all(f"/leaf={opened[0][0]}/" in f or len(opened[0]) > 1 for f in read)
     assert len(read) <= len(store.leaves(sorted(held)).inputFiles()) / 4
+
+
+def test_the_approximate_query_gives_all_its_hits(spark):
+    found = queries()["v6_approximate"](spark, "/root/testdata/sf0.001").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("rank").alias("last")).collect()
+    assert found and {(r["n"], r["last"]) for r in found} == {(5, 5)}
