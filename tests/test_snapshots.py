@@ -95,3 +95,17 @@ def test_empty_batches(spark, flows, tmp_path):
     assert t.read().collect() == [] and t.snapshot()["months"] == {}
     t.merge(dt.datetime(2100, 1, 1))
     t.expire(1, dt.datetime(2100, 1, 1))
+
+
+def test_merged_files_are_bounded_by_what_a_task_sorts(spark, flows, tmp_path, monkeypatch):
+    from flowlens.sources import snapshots
+
+    monkeypatch.setattr(snapshots, "TASK_BYTES", 100 * snapshots.row_bytes(FLOWS))
+    t = table(spark, tmp_path)
+    for k in range(3):
+        t.append(batch(flows, k, 3), k)
+    t.append(flows.limit(0), 3)
+    t.merge(dt.datetime(2100, 1, 1))
+    held = t._listed([t.snapshot()["months"]["202402"]]).collect()
+    assert len(held) >= 3 and max(r["rows"] for r in held) < 200
+    assert ports(t.read()) == list(range(600))
