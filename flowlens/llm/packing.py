@@ -1,13 +1,17 @@
 """Packing documents into sequences along a space-filling curve.
 
 A document's tokens are counted into a hashed vector, which fixed random directions project to a few dimensions; the
-place of that point on a Hilbert curve is the document's sort key. Documents are range-sorted by it, each range is
-packed in order by one task, and documents are cut where a sequence is full, so neighbours on the curve share
-sequences. What is left at the end of a range becomes sequences whose lengths are powers of two: nothing is padded.
+place of that point on a Hilbert curve is the document's sort key. A sample tells where the key is cut into ranges of
+about equal size; documents are encoded once and sent straight to their range, which one task sorts and packs in
+order. Documents are cut where a sequence is full, so neighbours on the curve share sequences. What is left at the end
+of a range becomes sequences whose lengths are powers of two: nothing is padded.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +22,15 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.common import blocks
 from flowlens.llm.tokens import encoder
-from flowlens.session import written
 
 LENGTH = 2048
 #: Hashed vector, dimensions of the curve and bits of each.
 HASHED, DIMENSIONS, PLACES = 256, 4, 15
 _SPREAD = 4.0
+#: Encoded bytes of a range, about, and the most where there would be more than RANGES of them.
+RANGE_BYTES, RANGES, MOST_BYTES = 8 << 20, 2_000, 64 << 20
+#: Documents that the ranges are chosen by: one of SHARE, but no fewer than the first and no more than the second.
+SHARE, SAMPLED = 200, (2_048, 1_000_000)
 
 
 def hilbert_keys(points: np.ndarray, places: int = PLACES) -> np.ndarray:
@@ -120,6 +127,54 @@ class _Packer:
             [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
+def _hash(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple]:
+    """For rows of doc_id and text: doc_id, key, hashes of the content and of the id, and the token ids as bytes.
+
+    The hashes let ranges cut even a point that very many documents share: by content first, then among equal texts.
+    """
+    known = encoder(path)
+    for batch in batches:
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        for start, end in blocks(texts):
+            ids = [np.frombuffer(b, dtype="<u4") for b in known.ids(texts[start:end])]
+            key = hilbert_keys(curve_points(ids)).tolist()
+            # Two bytes for each id where they fit; the first byte tells.
+            small = [not len(i) or i.max() < 1 << 16 for i in ids]
+            packed = [b"\2" + i.astype("<u2").tobytes() if s else b"\4" + i.tobytes() for i, s in zip(ids, small)]
+            own = batch.column("doc_id").slice(start, end - start)
+            yield own, key, list(map(_hash, packed)), [_hash(str(i).encode()) for i in own.to_pylist()], packed
+
+
+def _bounds(chosen: DataFrame, path: str) -> list[tuple[int, int, int]]:
+    """The places (key, hashes of content and id) where the ranges of documents end, from a sample. Runs jobs.
+
+    The ranges divide the sample's bytes about equally. Only numbers reach the driver, at most SAMPLED rows of four.
+    """
+    n = chosen.count()
+    want = min(max(SAMPLED[0], n // SHARE), SAMPLED[1])
+    sample = chosen if n <= want else chosen.sample(want / n, seed=8)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, key, tie, spread, packed in _encoded(batches, path):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (key, tie, spread, list(map(len, packed)))],
+                                             names=["key", "tie", "spread", "size"])
+
+    found = sample.mapInArrow(places, "key long, tie long, spread long, size long").toArrow()
+    if not found.num_rows:
+        return []
+    key, tie, spread, size = (found[c].to_numpy() for c in ("key", "tie", "spread", "size"))
+    total = size.sum() * (n / found.num_rows)
+    count = min(math.ceil(total / RANGE_BYTES), max(RANGES, math.ceil(total / MOST_BYTES)))
+    order = np.lexsort((spread, tie, key))
+    share = np.cumsum(size[order]) * count // size.sum()
+    ends = order[np.flatnonzero(np.diff(share)) + 1]
+    return sorted({(int(key[i]), int(tie[i]), int(spread[i])) for i in ends})
+
+
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = 1, id_col: str = "doc_id",
          text: str = "text") -> DataFrame:
     """Pieces of documents in sequences of at most ``length`` tokens.
@@ -129,30 +184,22 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = 1, id_c
     numbers), doc_tokens, sequence_id, offset. Every id lies in exactly one piece; offsets of a sequence have no gap.
     Sequences are full, but for at most ``log2(length)`` at the end of each range, whose lengths are powers of two.
     Repeated rows and null ids are documents by themselves; equal documents are neighbours. Other columns play no part;
-    an empty table gives an empty result.
+    an empty table gives an empty result. Runs jobs over a sample.
     """
     chosen = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    bounds = _bounds(chosen, path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(path)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for start, end in blocks(texts):
-                ids = [np.frombuffer(b, dtype="<u4") for b in known.ids(texts[start:end])]
-                key = hilbert_keys(curve_points(ids))
-                # Two bytes for each id where they fit; the first byte tells.
-                small = [not len(i) or i.max() < 1 << 16 for i in ids]
-                packed = [b"\2" + i.astype("<u2").tobytes() if s else b"\4" + i.tobytes() for i, s in zip(ids, small)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(start, end - start), pa.array(key), pa.array(packed, pa.binary())],
-                    names=["doc_id", "key", "packed"])
+        for doc_ids, key, tie, spread, packed in _encoded(batches, path):
+            own = [bisect_right(bounds, place) for place in zip(key, tie, spread)]
+            yield pa.RecordBatch.from_arrays(
+                [doc_ids, pa.array(key, pa.int64()), pa.array(tie, pa.int64()), pa.array(own, pa.int32()),
+                 pa.array(packed, pa.binary())], names=["doc_id", "key", "tie", "range", "packed"])
 
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    encoded = chosen.mapInArrow(encode, f"doc_id {kind}, key long, packed binary")
-    encoded = written(encoded.withColumn("tie", F.xxhash64("packed")), "encoded")
-    # The tie by content and id lets the ranges split even a point that very many documents share.
-    order = ["key", "tie", "doc_id"]
-    sorted_ = encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "packed")
+    encoded = chosen.mapInArrow(encode, f"doc_id {kind}, key long, tie long, range int, packed binary")
+    sorted_ = encoded.repartitionById(len(bounds) + 1, "range").sortWithinPartitions("key", "tie", "doc_id").select(
+        "doc_id", "packed")
     out = encoded.select("doc_id", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"),
                          F.lit(b"").alias("ids"), F.lit(0).cast("long").alias("doc_tokens"),
                          F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema

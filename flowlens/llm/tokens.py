@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -56,6 +56,24 @@ def pieces(text: str) -> list[str]:
     return _CUT.split(text) if "\x01" in text or any(map(ragged, parts)) else parts
 
 
+class _Ragged(Exception):
+    """White characters met in a text: its quick pieces are not right."""
+
+
+class _Quick(dict):
+    """Ids of quick pieces, each found once by ``one``."""
+
+    def __init__(self, one: Callable[[str], bytes]):
+        super().__init__()
+        self.one = one
+
+    def __missing__(self, piece: str) -> bytes:
+        if ragged(piece):
+            raise _Ragged
+        ids = self[piece] = self.one(piece)
+        return ids
+
+
 class Encoder:
     """Ids of whole texts, piece by piece; see :func:`encoder`."""
 
@@ -81,6 +99,7 @@ class Encoder:
         self.most = memo
         self.memo: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.quick = _Quick(self._one)
 
     def whole(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids, as the library gives them for whole texts."""
@@ -107,11 +126,14 @@ class Encoder:
             ids = self.words[word] = array("I", [t.id for t in self.bpe.tokenize(shown(word))]).tobytes()
         return ids
 
+    def _bounded(self) -> None:
+        if len(self.memo) + len(self.quick) > self.most:
+            for known in (self.memo, self.quick, self.words):
+                known.clear()
+
     def learn(self, new: Iterable[str]) -> None:
         """Remember these pieces, and only them once the memo is full."""
-        if len(self.memo) > self.most:
-            self.memo.clear()
-            self.words.clear()
+        self._bounded()
         for piece in new:
             self.memo[piece] = self._one(piece)
 
@@ -125,7 +147,7 @@ class Encoder:
         # Not a matter of the memo, which may know the same string as a piece of a careful cut.
         ragged_now = {p for p in found if ragged(p)}
         found -= ragged_now
-        self.learn(found if len(self.memo) > self.most else found.difference(self.memo))
+        self.learn(found if len(self.memo) + len(self.quick) > self.most else found.difference(self.memo))
         known = self.memo
         for i, text in enumerate(texts):
             if "\x01" in text or not ragged_now.isdisjoint(split[i]):
@@ -135,10 +157,26 @@ class Encoder:
                         known[p] = self._one(p)
         return split
 
+    def _careful(self, text: str) -> bytes:
+        """The ids of a text in which white characters met."""
+        parts = _CUT.split(text) if text else []
+        for p in parts:
+            if p not in self.memo:
+                self.memo[p] = self._one(p)
+        return b"".join(map(self.memo.__getitem__, parts))
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = self.split(texts)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, parts)) for parts in split]
+        """The ids of each text. A piece is looked up once for each time it stands there; no set of them is made."""
+        if not self.by_pieces:
+            return list(self.whole(texts))
+        found, get = [], self.quick.__getitem__
+        for text in texts:
+            self._bounded()
+            try:
+                found.append(self._careful(text) if "\x01" in text else b"".join(map(get, quick_pieces(text))))
+            except _Ragged:
+                found.append(self._careful(text))
+        return found
 
 
 def encoder(path: str) -> Encoder:

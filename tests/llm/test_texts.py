@@ -1,7 +1,8 @@
 """Mixing, languages, packing, token counts and quality against plain versions, round trips and held-out rows."""
 
+import os
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm import langid, mixing, packing, quality, tokens
 from flowlens.llm.common import crc32_mod
+from flowlens.session import scratch_root
 from tests.llm.conftest import awkward_rows
 
 SF = "/root/testdata/sf0.01"
@@ -204,6 +206,37 @@ def test_packing_round_trip(awkward, nothing, tokenizer):
     assert packing.pack(nothing, tokenizer).collect() == []
 
 
+def test_packing_encodes_once_and_stores_nothing(spark, tokenizer, monkeypatch):
+    """Ranges come from a sample: no table of all encoded documents is written, and many copies are cut between ranges."""
+    monkeypatch.setattr(packing, "RANGE_BYTES", 2000)
+    rows = [(i, "one and the same text of many copies " * 20) for i in range(200)] + [(None, None), (7, ""), (7, "")]
+    rows += [(1000 + i, f"own words {i * i} of document {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder = scratch_root(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    pieces = packing.pack(docs, tokenizer, length=64)
+    per_range = Counter(p["sequence_id"] >> 40 for p in pieces.collect())
+    assert len(per_range) > 10 and max(per_range.values()) < 0.3 * sum(per_range.values())
+    after = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert after == before
+    tokens_of = Counter()
+    for p in pieces.collect():
+        tokens_of[p["doc_id"]] += p["length"]
+    known = tokens.encoder(tokenizer)
+    want = Counter()
+    for i, t in rows:
+        want[i] += len(known.ids([t or ""])[0]) // 4 + 1
+    assert tokens_of == want
+
+
+def test_ids_are_those_of_whole_texts(tokenizer):
+    known = tokens.Encoder(tokenizer, memo=40)
+    texts = [r[1] or "" for r in awkward_rows() if len(r[1] or "") < 5000] + ["a  b", "a\n\nb", " a", "a ", "a \n b", "a\tb c"]
+    for _ in range(2):
+        assert known.ids(texts) == list(known.whole(texts))
+    assert len(known.memo) + len(known.quick) < 5000
+
+
 def test_hilbert_curve_visits_every_cell_next_to_the_last():
     grid = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     key = packing.hilbert_keys(grid, 3)
