@@ -170,7 +170,7 @@ def _bounds(chosen: DataFrame, path: str) -> list[tuple[int, int, int]]:
     total = size.sum() * (n / found.num_rows)
     count = min(math.ceil(total / RANGE_BYTES), max(RANGES, math.ceil(total / MOST_BYTES)))
     order = np.lexsort((spread, tie, key))
-    share = np.cumsum(size[order]) * count // size.sum()
+    share = (np.cumsum(size[order]) - size[order]) * count // size.sum()
     ends = order[np.flatnonzero(np.diff(share)) + 1]
     return sorted({(int(key[i]), int(tie[i]), int(spread[i])) for i in ends})
 
@@ -193,13 +193,13 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = 1, id_c
         for doc_ids, key, tie, spread, packed in _encoded(batches, path):
             own = [bisect_right(bounds, place) for place in zip(key, tie, spread)]
             yield pa.RecordBatch.from_arrays(
-                [doc_ids, pa.array(key, pa.int64()), pa.array(tie, pa.int64()), pa.array(own, pa.int32()),
-                 pa.array(packed, pa.binary())], names=["doc_id", "key", "tie", "range", "packed"])
+                [doc_ids, pa.array(key, pa.int64()), pa.array(own, pa.int32()), pa.array(packed, pa.binary())],
+                names=["doc_id", "key", "range", "packed"])
 
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    encoded = chosen.mapInArrow(encode, f"doc_id {kind}, key long, tie long, range int, packed binary")
-    sorted_ = encoded.repartitionById(len(bounds) + 1, "range").sortWithinPartitions("key", "tie", "doc_id").select(
-        "doc_id", "packed")
+    encoded = chosen.mapInArrow(encode, f"doc_id {kind}, key long, range int, packed binary")
+    dealt = encoded.repartitionById(len(bounds) + 1, "range").withColumn("tie", F.xxhash64("packed"))
+    sorted_ = dealt.sortWithinPartitions("key", "tie", "doc_id").select("doc_id", "packed")
     out = encoded.select("doc_id", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"),
                          F.lit(b"").alias("ids"), F.lit(0).cast("long").alias("doc_tokens"),
                          F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema

@@ -229,6 +229,10 @@ def test_packing_encodes_once_and_stores_nothing(spark, tokenizer, monkeypatch):
     assert tokens_of == want
 
 
+def test_small_tables_are_one_range(awkward, tokenizer):
+    assert {p["sequence_id"] >> 40 for p in packing.pack(awkward, tokenizer).collect()} == {0}
+
+
 def test_ids_are_those_of_whole_texts(tokenizer):
     known = tokens.Encoder(tokenizer, memo=40)
     texts = [r[1] or "" for r in awkward_rows() if len(r[1] or "") < 5000] + ["a  b", "a\n\nb", " a", "a ", "a \n b", "a\tb c"]
