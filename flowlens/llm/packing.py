@@ -20,13 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import blocks
+from flowlens.llm.common import text_blocks
 from flowlens.llm.tokens import encoder
 
 LENGTH = 2048
 #: Hashed vector, dimensions of the curve and bits of each.
 HASHED, DIMENSIONS, PLACES = 256, 4, 15
 _SPREAD = 4.0
+#: Distinct pieces that the encoder remembers; a worker keeps them for what it runs next.
+PIECES = 400_000
 #: Encoded bytes of a range, about, and the most where there would be more than RANGES of them.
 RANGE_BYTES, RANGES, MOST_BYTES = 8 << 20, 2_000, 64 << 20
 #: Documents that the ranges are chosen by: one of SHARE, but no fewer than the first and no more than the second.
@@ -136,11 +138,10 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple]:
 
     The hashes let ranges cut even a point that very many documents share: by content first, then among equal texts.
     """
-    known = encoder(path)
+    known = encoder(path, PIECES)
     for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        for start, end in blocks(texts):
-            ids = [np.frombuffer(b, dtype="<u4") for b in known.ids(texts[start:end])]
+        for start, end, texts in text_blocks(batch.column("text")):
+            ids = [np.frombuffer(b, dtype="<u4") for b in known.ids(texts)]
             key = hilbert_keys(curve_points(ids)).tolist()
             # Two bytes for each id where they fit; the first byte tells.
             small = [not len(i) or i.max() < 1 << 16 for i in ids]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import blocks
+from flowlens.llm.common import text_blocks
 from flowlens.session import written
 
 #: Hashed features: 2 to this power.
@@ -204,9 +204,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for start, end in blocks(texts):
-                ids, offsets = features(texts[start:end], bits)
+            for start, end, texts in text_blocks(batch.column("text")):
+                ids, offsets = features(texts, bits)
                 packed = [ids[a:b].astype("<i4").tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
                 part = batch.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("label"), pa.array(packed, pa.binary())],
@@ -261,9 +260,9 @@ def quality_scores(docs: DataFrame, model: Model, threshold: float = 0.7, text:
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = shared.value
         for batch in batches:
-            texts, out = batch.to_pylist(), np.empty(len(batch))
-            for start, end in blocks(texts):
-                out[start:end] = known.scores(*features(texts[start:end], known.bits))
+            out = np.empty(len(batch))
+            for start, end, texts in text_blocks(batch):
+                out[start:end] = known.scores(*features(texts, known.bits))
             yield pa.array(out)
 
     return docs.withColumn("score", score(F.col(text))).withColumn(

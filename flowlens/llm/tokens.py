@@ -115,17 +115,20 @@ class Encoder:
             return next(self.whole([piece]))
         body = piece[1:] if piece[:1] == " " else piece
         if body.isalpha():  # the common pieces: a word, or a word and one mark
-            return self._word(piece)
+            return self.words.get(piece) or self._ids_of(piece)
         if body[-1:] in (",", ".") and body[:-1].isalpha():
             return self._word(piece[:-1]) + self._word(piece[-1])
         return b"".join(map(self._word, PRE_TOKEN.findall(piece)))
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
+        ids = self.words.get(word) or self.quick.get(word) or self.memo.get(word)  # a piece that is a word is kept once
         if ids is None:
-            ids = self.words[word] = array("I", [t.id for t in self.bpe.tokenize(shown(word))]).tobytes()
+            ids = self.words[word] = self._ids_of(word)
         return ids
 
+    def _ids_of(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.bpe.tokenize(shown(word))]).tobytes()
+
     def _bounded(self) -> None:
         if len(self.memo) + len(self.quick) > self.most:
             for known in (self.memo, self.quick, self.words):
@@ -179,10 +182,11 @@ class Encoder:
         return found
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of this Python worker; tasks that follow each other share its memo."""
+def encoder(path: str, memo: int = MEMO) -> Encoder:
+    """The encoder of this Python worker; tasks that follow each other share its memo, of ``memo`` pieces at most."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].most = memo
     return _ENCODERS[path]
 
 
