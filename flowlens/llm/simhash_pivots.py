@@ -137,7 +137,8 @@ def bucket_links(rows: DataFrame, words: int, radius: int, references: np.ndarra
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / F.lit(bucket)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    rows = rows.join(sizes, "key").withColumn("parts", parts).withColumn("own", own)
+    # Merged: rows have many keys for each row they come from, by whose size they would be broadcast through the driver.
+    rows = rows.join(sizes.hint("merge"), "key").withColumn("parts", parts).withColumn("own", own)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", *bits)
     dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")

@@ -29,3 +29,13 @@ def test_a_piece_is_remembered_once():
     known, text = Encoder(path), "Some words and words. Other words, too."
     assert known.ids([text]) == list(known.whole([text]))
     assert " words" in known.quick and " words" not in known.words
+
+
+def test_keys_of_fingerprints_are_not_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from flowlens.llm.simhash_pivots import links
+
+    distinct = spark.range(300).select(F.xxhash64(F.col("id") % 100 * 8).alias("bits")).distinct()
+    plan = links(distinct)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
