@@ -135,8 +135,11 @@ def dual_descent(ids: np.ndarray, offsets: np.ndarray, value: np.ndarray, y: np.
     rng = np.random.default_rng(seed)
     w, bias = np.zeros(len(value)), 0.0
     alpha = np.zeros(len(y))
-    rows = [r[value[r] != 0] for r in (ids[a:b] for a, b in zip(offsets[:-1], offsets[1:]))]
-    values = [value[r] for r in rows]
+    # Views of two long arrays: many small ones would leave the driver's Python large for good.
+    used = value[ids] != 0
+    ends = np.concatenate([[0], np.cumsum(used)])[offsets[1:-1]]
+    ids = ids[used]
+    rows, values = np.split(ids, ends), np.split(value[ids], ends)
     norm = np.array([v @ v + 1.0 for v in values])
     everyone = np.arange(len(y))
     active = everyone
@@ -164,9 +167,7 @@ def dual_descent(ids: np.ndarray, offsets: np.ndarray, value: np.ndarray, y: np.
 
 def fit_rows(ids: np.ndarray, offsets: np.ndarray, good: np.ndarray, bits: int = BITS, cost: float = 0.1) -> Model:
     """Log-count ratios, then the hinge-loss model over features scaled by them; classes weigh the same."""
-    n = len(good)
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    count = [1.0 + np.bincount(ids, weights=(good[row] == side).astype(float), minlength=1 << bits) for side in (1, 0)]
+    count = [1.0 + np.bincount(ids[np.repeat(good == side, np.diff(offsets))], minlength=1 << bits) for side in (1, 0)]
     seen = np.bincount(ids, minlength=1 << bits)
     ratio = np.log(count[0] / (1.0 + (good == 1).sum())) - np.log(count[1] / (1.0 + (good == 0).sum()))
     ratio[seen < LEAST_ROWS] = 0.0
@@ -220,7 +221,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
     fit_in = max(1, int(np.searchsorted(np.cumsum(sizes), most, side="right")))
     found = found.orderBy("key", "label", F.xxhash64("ids")).limit(fit_in).toArrow()
     good = found["label"].to_numpy().astype(np.int64)
-    each = [np.frombuffer(b, dtype="<i4").astype(np.int64) for b in found["ids"].to_pylist()]
+    each = [np.frombuffer(b.as_buffer(), dtype="<i4") for b in found["ids"]]
     return fit_sample(each, good, bits)
 
 
@@ -232,7 +233,7 @@ def fit_sample(each: list[np.ndarray], good: np.ndarray, bits: int = BITS, folds
     def flat(pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = [each[i] for i in pick]
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        return (np.concatenate(rows) if rows else np.empty(0, np.int64)), offsets
+        return (np.concatenate(rows) if rows else np.empty(0, np.int32)), offsets
 
     margin = np.zeros(len(good))
     fold = np.arange(len(good)) % folds

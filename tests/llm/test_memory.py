@@ -39,3 +39,23 @@ def test_keys_of_fingerprints_are_not_broadcast(spark):
     distinct = spark.range(300).select(F.xxhash64(F.col("id") % 100 * 8).alias("bits")).distinct()
     plan = links(distinct)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_the_fit_holds_few_bytes_for_a_feature():
+    import tracemalloc
+
+    import numpy as np
+
+    from flowlens.llm.quality import fit_rows
+
+    rng = np.random.default_rng(3)
+    each = [np.unique(rng.integers(0, 4096, 3000)).astype("<i4") for _ in range(200)]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in each])])
+    good, ids = np.arange(200) % 2, np.concatenate(each)
+    tracemalloc.start()
+    model = fit_rows(ids, offsets, good, 12)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most / len(ids) < 21
+    wide = fit_rows(ids.astype(np.int64), offsets, good, 12)
+    assert (model.weight == wide.weight).all() and model.bias == wide.bias
